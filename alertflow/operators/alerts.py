@@ -182,7 +182,7 @@ def alert_stats(alerts: DataFrame) -> DataFrame:
         .cube("service_name", "severity", "topic")
         .agg(
             F.grouping_id().cast("int").alias("grouping_level"),
-            F.count(F.lit(1)).alias("alerts"),
+            F.count("*").alias("alerts"),
             F.avg("anomaly_score").alias("average_score"),
         )
     )

@@ -344,4 +344,4 @@ def assemble_results(
 def prediction_counts(scored: DataFrame) -> DataFrame:
     return scored.groupBy(
         F.when(F.col("is_anomaly"), F.lit("anomaly")).otherwise(F.lit("normal")).alias("prediction")
-    ).agg(F.count(F.lit(1)).alias("predictions"))
+    ).agg(F.count("*").alias("predictions"))
