@@ -172,18 +172,17 @@ def dashboard_metrics(alerts: DataFrame, as_of: Column, history: int = HISTORY)
 
 def dashboard_summary(alerts: DataFrame, as_of: Column, recent: int = 10, top: int = 5) -> DataFrame:
     """Head numbers with the newest alerts and the busiest services as nested lists (bounded by their limits)."""
-    last = recent_alerts(alerts, recent).agg(
-        F.array_sort(F.collect_list(F.struct((-_micros("created_at")).alias("age"), "alert_id", "title"))).alias("a")
-    )
-    busy = top_services(alerts, top).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("alerts")).alias("rank"), "service_name", "alerts"))).alias("s")
-    )
-    drop_rank = lambda arr, *names: F.transform(arr, lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    def ordered(rank: Column, *names: str) -> Column:
+        entries = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), *names)))
+        return F.transform(entries, lambda x: F.struct(*[x[n].alias(n) for n in names]))
+
+    last = recent_alerts(alerts, recent).agg(ordered(-_micros("created_at"), "alert_id", "title"))
+    busy = top_services(alerts, top).agg(ordered(-F.col("alerts"), "service_name", "alerts"))
     return dashboard_metrics(alerts, as_of).select(
         "total_alerts",
         "critical_alerts",
-        drop_rank(last.scalar(), "alert_id", "title").alias("recent_alerts"),
-        drop_rank(busy.scalar(), "service_name", "alerts").alias("top_services"),
+        last.scalar().alias("recent_alerts"),
+        busy.scalar().alias("top_services"),
         F.col("system_health_score").alias("system_health"),
         F.col("timestamp").alias("last_updated"),
     )

@@ -41,7 +41,7 @@ def iso_created() -> Column:
 
 
 def recipients(addresses: Column) -> Column:
-    return F.filter(F.transform(F.split(addresses, ","), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(addresses, ","), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def subject(text: str = SUBJECT) -> Column:

@@ -1,10 +1,11 @@
 """Run registered queries in Spark and in DuckDB and compare the rows.
 
-    python tests/oracle.py [sf_dir] [name ...]
+    python tests/oracle.py [sf_dir] [name ...] [+module ...]
 """
 
 from __future__ import annotations
 
+import importlib
 import math
 import sys
 import time
@@ -57,6 +58,8 @@ def check(spark, con, sf_dir, query, sql):
     off = [f"{n}: {t} / {kinds[n]}" for n, t in df.dtypes if KIND.get(t, "?") != kinds[n]]
     if off:
         return f"types {off}"
+    if not want:
+        return "no rows on either side"
     a, b = rows_of(df.columns, got), rows_of(cols, want)
     if a == b:
         return None
@@ -74,11 +77,14 @@ def main(argv):
     from alertflow.session import get_session
 
     sf_dir = next((a for a in argv if "/" in a), "/root/testdata/sf0.01")
-    names = [a for a in argv if "/" not in a]
+    names = [a for a in argv if "/" not in a and not a.startswith("+")]
+    modules = [a[1:] for a in argv if a.startswith("+")]
     spark = get_session("oracle", "local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()
+    for m in modules:
+        names += list(importlib.import_module(f"alertflow.plans.{m}").plans.queries)
     bad = 0
     for name in names or queries:
         began = time.time()
