@@ -41,27 +41,19 @@ def pattern_count(message: Column, name: str) -> Column:
 def entropy(message: Column) -> Column:
     """Shannon entropy in bits over code points; empty or null gives 0.
 
-    Sorting the characters turns each distinct one into a run, so a single fold
-    over the array sums -p*log2(p) without a per-character map.
+    With counts k of the distinct characters of n in total, the entropy is
+    log2(n) - sum(k * log2(k)) / n. The fold runs over the distinct characters
+    only and takes each count from the length that removing the character costs.
     """
-    chars = F.array_sort(F.regexp_extract_all(F.coalesce(message, F.lit("")), F.lit("(?s)."), F.lit(0)))
-    n = F.size(chars).cast("double")
+    msg = F.coalesce(message, F.lit(""))
+    n = F.length(msg)
 
-    def close_run(acc: Column) -> Column:
-        p = acc["run"] / n
-        return F.when(acc["run"] > 0, acc["h"] - p * F.log2(p)).otherwise(acc["h"])
+    def add(total: Column, c: Column) -> Column:
+        k = (F.length(msg) - F.length(F.replace(msg, c, F.lit("")))).cast("double")
+        return total + k * F.log2(k)
 
-    start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("run"), F.lit(0.0).alias("h"))
-
-    def step(acc: Column, c: Column) -> Column:
-        same = acc["c"] == c
-        return F.struct(
-            c.alias("c"),
-            F.when(same, acc["run"] + F.lit(1.0)).otherwise(F.lit(1.0)).alias("run"),
-            F.when(same, acc["h"]).otherwise(close_run(acc)).alias("h"),
-        )
-
-    return F.when(F.size(chars) == 0, F.lit(0.0)).otherwise(F.aggregate(chars, start, step, close_run))
+    weighted = F.aggregate(F.array_distinct(F.split(msg, "")), F.lit(0.0), add)
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.log2(n.cast("double")) - weighted / n)
 
 
 @functools.lru_cache(maxsize=1)
@@ -101,14 +93,14 @@ def tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring tokens, joined by a blank."""
-    if n == 1:
-        return words
-    last = F.size(words) - n + 1
-    return F.when(
-        last > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-            lambda i: F.array_join(F.slice(words, i, n), " "),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    """All runs of ``n`` neighbouring tokens, joined by a blank.
+
+    Shifted copies are zipped, so every array is built once per row.
+    """
+    out = words
+    for shift in range(1, n):
+        rest = F.slice(words, shift + 1, 1_000_000_000)
+        out = F.filter(
+            F.zip_with(out, rest, lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull()
+        )
+    return out

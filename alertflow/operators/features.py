@@ -162,12 +162,22 @@ def fit_vocabulary(
 ) -> DataFrame:
     """(term, idx, df, idf) of at most ``max_terms`` terms, most frequent first.
 
-    A document's terms are counted inside its row, so one combined shuffle by term
-    yields both document and term frequency, and a frequent term arrives at its
-    reducer as one partial row per task.
+    Document and term frequency come from one shuffle by term: each row sends
+    every term with weight one and every distinct term as one document, and both
+    are summed before the shuffle, so a frequent term is one partial row per task.
     """
-    counted = docs.select(F.explode(term_counts(F.col(text_col), stop_words, max_n)).alias("term", "tf"))
-    by_term = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    found = terms(F.col(text_col), stop_words, max_n)
+    both = F.concat(
+        F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+        F.transform(
+            F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
+        ),
+    )
+    by_term = (
+        docs.select(F.explode(both).alias("_t"))
+        .groupBy(F.col("_t.term").alias("term"))
+        .agg(F.sum("_t.tf").alias("tf"), F.sum("_t.df").alias("df"))
+    )
     n = docs.agg(F.count("*")).scalar()
     kept = by_term.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * n))
     top = kept.orderBy(F.desc("tf"), F.asc("term")).limit(max_terms)
@@ -176,19 +186,6 @@ def fit_vocabulary(
     return top.select("term", (F.row_number().over(order) - 1).alias("idx"), "df", idf.alias("idf"))
 
 
-def term_counts(source: Column, stop_words: Sequence[str], max_n: int) -> Column:
-    """Map term -> count of one document, built from its sorted terms in one fold."""
-    ordered = F.array_sort(terms(source, stop_words, max_n))
-    starts = F.filter(
-        F.transform(ordered, lambda t, i: F.when((i == 0) | (t != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull()
-    )
-    ends = F.concat(F.slice(starts, 2, F.size(ordered) + 1), F.array(F.size(ordered)))
-    counts = F.zip_with(starts, ends, lambda a, b: (b - a).cast("bigint"))
-    keys = F.transform(starts, lambda i: F.get(ordered, i))
-    empty = F.create_map().cast("map<string,bigint>")
-    return F.when(F.size(ordered) > 0, F.map_from_arrays(keys, counts)).otherwise(empty)
-
-
 def tfidf(
     docs: DataFrame,
     vocabulary: DataFrame,
@@ -201,11 +198,16 @@ def tfidf(
     """(id, term, idx, weight): L2-normalised term weights.
 
     The vocabulary has at most ``max_terms`` rows by construction, so it is
-    broadcast; only the matching (id, weight) pairs are summed for the norm.
+    broadcast. Terms outside it are gone before the first shuffle.
     """
-    counted = docs.select(id_col, F.explode(term_counts(F.col(text_col), stop_words, max_n)).alias("term", "tf"))
+    found = docs.select(id_col, F.explode(terms(F.col(text_col), stop_words, max_n)).alias("term"))
     bounded = vocabulary.limit(max_terms).select("term", "idx", "idf")
-    raw = counted.join(F.broadcast(bounded), "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    raw = (
+        found.join(F.broadcast(bounded), "term")
+        .groupBy(id_col, "term", "idx", "idf")
+        .agg(F.count("*").alias("tf"))
+        .withColumn("_w", F.col("tf") * F.col("idf"))
+    )
     norm = Window.partitionBy(id_col)
     return raw.withColumn("weight", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(norm))).select(
         id_col, "term", "idx", "weight"
