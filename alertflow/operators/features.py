@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertflow.functions import rules, text
+from alertflow.session import cut_lineage
 
 CATEGORICAL = ("service_name", "hostname", "level", "logger")
 NUMERIC = ("duration_ms", "line_number")
@@ -277,12 +278,15 @@ def seen_before(logs: DataFrame) -> DataFrame:
 def fit_features(
     logs: DataFrame, stop_words: Sequence[str] = (), max_terms: int = MAX_TERMS, with_text: bool = True
 ) -> dict[str, DataFrame]:
-    """All fitted tables: statistics, categories and (optionally) the vocabulary."""
+    """All fitted tables: statistics, categories and (optionally) the vocabulary.
+
+    They are written to the checkpoint folder, so applying them never scans the training rows again.
+    """
     tables = {"statistics": fit_statistics(logs), "categories": fit_categories(logs)}
     if with_text:
         cleaned = logs.select("id", text.clean_text(F.col("message")).alias("cleaned"))
         tables["vocabulary"] = fit_vocabulary(cleaned, "id", "cleaned", stop_words, max_terms=max_terms)
-    return tables
+    return {name: cut_lineage(t) for name, t in tables.items()}
 
 
 def dense_names() -> list[str]:

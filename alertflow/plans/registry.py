@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("scoring", "alerting", "suppression", "incidents", "listing", "dashboards", "deliveries", "features")
+MODULES = ("scoring", "alerting", "suppression", "incidents", "listing", "dashboards", "deliveries", "features", "novelty")
 
 
 class Plans:
