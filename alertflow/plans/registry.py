@@ -5,7 +5,10 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("scoring", "alerting", "suppression", "incidents", "listing", "dashboards", "deliveries", "features", "novelty")
+MODULES = (
+    "scoring", "alerting", "suppression", "incidents", "listing", "dashboards", "deliveries", "features", "novelty",
+    "intake",
+)
 
 
 class Plans:
