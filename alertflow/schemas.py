@@ -23,8 +23,24 @@ ACTION_TYPES = (
 ACTION_STATUSES = ("PENDING", "EXECUTING", "COMPLETED", "FAILED", "SKIPPED", "DRY_RUN")
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+    "array<string>": T.ArrayType(T.StringType()),
+    "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+    "map<string,double>": T.MapType(T.StringType(), T.DoubleType()),
+    "map<string,bigint>": T.MapType(T.StringType(), T.LongType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """``name type`` pairs to a struct; usable before a session exists."""
+    pairs = (c.split(" ") for c in columns.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 LOG_EVENT = _struct(

@@ -29,12 +29,12 @@ def _decider(window: int, cap: int | None, reset: int):
     def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory, *held = state.get if state.exists else (json.dumps(suppress.fresh_state()), [], [], [], [])
         waiting = pd.DataFrame(dict(zip(ROW, held)))
-        if not state.hasTimedOut:
-            arrived = [b[list(ROW)] for b in batches]
-            waiting = pd.concat([waiting, *arrived], ignore_index=True)
+        # a key that only timed out arrives with an empty placeholder row
+        arrived = [b[list(ROW)].dropna(subset=["t"]) for b in batches]
+        waiting = pd.concat([waiting, *arrived], ignore_index=True).astype({"t": "int64"})
         mark = state.getCurrentWatermarkMs() * 1000
-        ready = waiting[waiting["t"].astype("int64") <= mark].sort_values(["t", "id"])
-        waiting = waiting[waiting["t"].astype("int64") > mark]
+        ready = waiting[waiting["t"] <= mark].sort_values(["t", "id"])
+        waiting = waiting[waiting["t"] > mark]
         if len(ready):
             now = json.loads(memory)
             t, fp = ready["t"].to_numpy(dtype=np.int64), ready["fp"].to_numpy()
