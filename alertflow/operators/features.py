@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertflow.functions import rules, text
-from alertflow.session import cut_lineage
+from alertflow.session import cut_lineage, once
 
 CATEGORICAL = ("service_name", "hostname", "level", "logger")
 NUMERIC = ("duration_ms", "line_number")
@@ -146,9 +146,11 @@ def one_hot(encoded: DataFrame, id_col: str = "id", columns: Sequence[str] = CAT
 # -- text ------------------------------------------------------------------------------
 
 
-def terms(cleaned: Column, stop_words: Sequence[str] = (), max_n: int = MAX_N) -> Column:
-    words = text.tokens(cleaned, stop_words)
-    return F.concat(*[text.ngrams(words, n) for n in range(1, max_n + 1)])
+def with_terms(docs: DataFrame, text_col: str, stop_words: Sequence[str] = (), max_n: int = MAX_N) -> DataFrame:
+    """``_terms``: all n-grams of a text. Tokens and terms are each computed once per row."""
+    words = once(docs, "_words", text.tokens(F.col(text_col), stop_words))
+    grams = F.concat(*[text.ngrams(F.col("_words"), n) for n in range(1, max_n + 1)])
+    return once(words, "_terms", grams).drop("_words")
 
 
 def fit_vocabulary(
@@ -167,7 +169,7 @@ def fit_vocabulary(
     every term with weight one and every distinct term as one document, and both
     are summed before the shuffle, so a frequent term is one partial row per task.
     """
-    found = terms(F.col(text_col), stop_words, max_n)
+    found = F.col("_terms")
     both = F.concat(
         F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
         F.transform(
@@ -175,7 +177,8 @@ def fit_vocabulary(
         ),
     )
     by_term = (
-        docs.select(F.explode(both).alias("_t"))
+        with_terms(docs.select(text_col), text_col, stop_words, max_n)
+        .select(F.explode(both).alias("_t"))
         .groupBy(F.col("_t.term").alias("term"))
         .agg(F.sum("_t.tf").alias("tf"), F.sum("_t.df").alias("df"))
     )
@@ -201,7 +204,9 @@ def tfidf(
     The vocabulary has at most ``max_terms`` rows by construction, so it is
     broadcast. Terms outside it are gone before the first shuffle.
     """
-    found = docs.select(id_col, F.explode(terms(F.col(text_col), stop_words, max_n)).alias("term"))
+    found = with_terms(docs.select(id_col, text_col), text_col, stop_words, max_n).select(
+        id_col, F.explode("_terms").alias("term")
+    )
     bounded = vocabulary.limit(max_terms).select("term", "idx", "idf")
     raw = (
         found.join(F.broadcast(bounded), "term")

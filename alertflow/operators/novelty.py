@@ -26,7 +26,7 @@ TREES, TREE_SAMPLE, SEED, CONTAMINATION = 100, 256, 42, 0.1
 SUPPORT, NU = 500, 0.1
 NEIGHBOURS, REFERENCE = 20, 1000
 MIN_SAMPLES, MAX_SAMPLES, REFIT_HOURS = 1000, 100_000, 24
-ROW_CHUNK = 2000
+ROW_CHUNK = 1000
 
 
 # -- bounded samples ---------------------------------------------------------------
@@ -103,8 +103,9 @@ def fit_isolation_forest(
     vectors: DataFrame, trees: int = TREES, sample: int = TREE_SAMPLE, seed: int = SEED, pool: int | None = None
 ) -> DataFrame:
     """Tree table. Every tree draws ``sample`` rows from a shared bounded pool and is grown in its own task."""
-    pool = pool or min(trees * sample, MAX_SAMPLES)
-    rows = bounded_sample(vectors.select("id", "features"), pool, seed=seed)
+    pool = pool or 32 * sample
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    rows = bounded_sample(vectors.select("id", "features"), pool, seed=seed).repartition(cores, "id")
     size = rows.agg(F.count("*")).scalar()
     h = F.md5(F.concat(F.col("id").cast("string"), F.lit("/"), F.col("tree").cast("string"), F.lit(f":{seed}")))
     share = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
@@ -175,11 +176,27 @@ def fit_kernel(vectors: DataFrame, support: int = SUPPORT, seed: int = SEED) ->
 
 
 def square_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Exact differences, one dimension at a time, so equal rows are at distance zero."""
-    out = np.zeros((len(x), len(y)))
-    for j in range(y.shape[1]):
-        out += (x[:, j, None] - y[None, :, j]) ** 2
-    return out
+    """All pairs by one matrix product; rounding may leave a tiny value where rows are equal."""
+    out = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * (x @ y.T)
+    return np.maximum(out, 0.0, out=out)
+
+
+def nearest(x: np.ndarray, ref: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and exact distances of the ``k`` nearest reference rows, ties by position.
+
+    A slightly larger candidate set is picked from the fast distances and measured
+    again by differences, so equal rows come out at distance zero.
+    """
+    rough = square_distances(x, ref)
+    if own is not None:
+        rough[np.arange(len(x)), own] = np.inf
+    k = min(k, len(ref) - (own is not None))
+    wide = min(k + 8, len(ref) - (own is not None))
+    at = np.argpartition(rough, wide - 1, axis=1)[:, :wide] if wide < len(ref) else np.argsort(rough, axis=1)
+    at = np.sort(at, axis=1)
+    exact = np.sqrt(((x[:, None, :] - ref[at]) ** 2).sum(axis=2))
+    order = np.argsort(exact, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(at, order, axis=1), np.take_along_axis(exact, order, axis=1)
 
 
 def in_chunks(x: np.ndarray, fn) -> np.ndarray:
@@ -208,12 +225,6 @@ class Kernel:
 # -- local outlier factor -----------------------------------------------------------------
 
 
-def _nearest(x: np.ndarray, ref: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    d = np.sqrt(square_distances(x, ref))
-    at = np.argsort(d, axis=1, kind="stable")[:, :k]
-    return at, np.take_along_axis(d, at, axis=1)
-
-
 def fit_lof(vectors: DataFrame, k: int = NEIGHBOURS, reference: int = REFERENCE, seed: int = SEED) -> DataFrame:
     """Reference rows with their k-distance and local reachability density.
 
@@ -232,14 +243,12 @@ def fit_lof(vectors: DataFrame, k: int = NEIGHBOURS, reference: int = REFERENCE,
         place = {v: i for i, v in enumerate(names)}
         for b in batches:
             own = np.array([place[v] for v in b["id"]])
-            d = np.sqrt(square_distances(_matrix(b["features"]), all_rows))
-            d[np.arange(len(own)), own] = np.inf
-            at = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(names) - 1)]
+            at, d = nearest(_matrix(b["features"]), all_rows, k, own)
             yield pd.DataFrame(
                 {
                     "id": np.repeat(b["id"].to_numpy(), at.shape[1]),
                     "other": names[at].ravel(),
-                    "d": np.take_along_axis(d, at, axis=1).ravel(),
+                    "d": d.ravel(),
                 }
             )
 
@@ -275,7 +284,7 @@ class Lof:
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         def part(c: np.ndarray) -> np.ndarray:
-            at, d = _nearest(c, self.reference, self.k)
+            at, d = nearest(c, self.reference, self.k)
             own = 1.0 / (np.maximum(d, self.k_distance[at]).mean(axis=1) + 1e-10)
             return -(self.density[at].mean(axis=1) / own)
 
@@ -404,7 +413,9 @@ def training_sample(vectors: DataFrame, max_samples: int = MAX_SAMPLES, terms: i
         slots = F.sequence(F.lit(0), F.lit(terms - 1))
         block = F.transform(slots, lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
         rows = rows.withColumn("features", F.concat("features", block))
-    return cut_lineage(rows.select("id", "features"))
+    # a limit leaves one partition; later passes over the sample should use every core
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    return cut_lineage(rows.select("id", "features").repartition(cores, "id"))
 
 
 def fit_models(sample: DataFrame, models: Sequence[str] = scoring.MODELS) -> dict[str, DataFrame]:

@@ -29,8 +29,8 @@ alerts AS (SELECT 'ALERT-' || upper(substr(sha256(id), 1, 16)) AS alert_id,
 BASE = (LOGS, HEURISTIC, ALERTS)
 
 
-def build(spark, d):
-    return alerts.build_alerts(alerts.alert_candidates(heuristic(spark, d)))
+def build(spark, d, wide=False):
+    return alerts.build_alerts(alerts.alert_candidates(heuristic(spark, d, wide)))
 
 
 @plans.add("alerts_by_service_severity_topic", sql(LOGS, """s AS (SELECT service_name,

@@ -39,7 +39,7 @@ def clean_sql(col):
 
 @plans.add("clean_message", sql(LOGS, f"SELECT id, {clean_sql('message')} AS cleaned FROM logs"))
 def _(spark, d):
-    return logs(spark, d).select("id", text.clean_text(F.col("message")).alias("cleaned"))
+    return logs(spark, d, True).select("id", text.clean_text(F.col("message")).alias("cleaned"))
 
 
 def tfidf_sql(source, id_col, max_terms):
@@ -57,7 +57,7 @@ def tfidf_sql(source, id_col, max_terms):
 
 
 def log_text(spark, d):
-    return logs(spark, d).select("id", text.clean_text(F.col("message")).alias("cleaned"))
+    return logs(spark, d, True).select("id", text.clean_text(F.col("message")).alias("cleaned"))
 
 
 LOG_TEXT = f"src AS (SELECT id, {clean_sql('message')} AS cleaned FROM logs)"
@@ -86,7 +86,7 @@ DOC_TEXT = "src AS (SELECT doc_id, text AS cleaned FROM documents)"
   arg_max(term, weight) AS top_term, round(max(weight), 6) AS top_weight FROM (SELECT * FROM weights ORDER BY doc_id, weight DESC, term) GROUP BY doc_id""".replace(
     "arg_max(term, weight) AS top_term, ", "")))
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("cleaned"))
+    docs = table(spark, d, "documents", True).select("doc_id", F.col("text").alias("cleaned"))
     vocabulary = features.fit_vocabulary(docs, "doc_id", "cleaned", STOP)
     return (
         features.tfidf(docs, vocabulary, "doc_id", "cleaned", STOP)
@@ -178,13 +178,13 @@ ENTROPY = """chars AS (SELECT {i} AS i, unnest(regexp_extract_all({t}, '(?s).'))
 
 @plans.add("message_entropy", sql(LOGS, ENTROPY.format(i="id", t="message", s="logs"), "SELECT i AS id, message_entropy FROM h"))
 def _(spark, d):
-    return logs(spark, d).select("id", F.round(text.entropy(F.col("message")), 6).alias("message_entropy"))
+    return logs(spark, d, True).select("id", F.round(text.entropy(F.col("message")), 6).alias("message_entropy"))
 
 
 @plans.add("document_entropy", sql(ENTROPY.format(i="doc_id", t="text", s="documents"), """SELECT doc_id,
   coalesce(message_entropy, 0) + 0 AS message_entropy FROM documents LEFT JOIN h ON i = doc_id"""))
 def _(spark, d):
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", True)
     return docs.select("doc_id", F.round(text.entropy(F.col("text")) + 0.0, 6).alias("message_entropy"))
 
 
@@ -194,7 +194,7 @@ def _(spark, d):
   round((epoch_us(event_ts) // 1000000 - lo) / (hi - lo + 1e-8::DOUBLE), 6) AS time_since_epoch_norm, 19::INTEGER AS n_features
   FROM logs, s WHERE event_ts >= TIMESTAMP '2024-01-16 00:00:00'"""))
 def _(spark, d):
-    rows = logs(spark, d)
+    rows = logs(spark, d, True)
     cut = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
     fitted = features.fit_features(rows.filter(F.col("event_ts") < cut), with_text=False)
     out = features.transform_features(rows.filter(F.col("event_ts") >= cut), fitted)

@@ -22,7 +22,7 @@ def _(spark, d):
 
 def simple_vectors(spark, d):
     """Three plain numbers per log, for the models that have a SQL counterpart."""
-    return logs(spark, d).select(
+    return logs(spark, d, True).select(
         "id",
         F.array(
             F.col("duration_ms") / 1000.0, F.col("line_number") / 100.0, F.hour("event_ts").cast("double")
@@ -67,7 +67,7 @@ def _(spark, d):
 
 
 def embedding_vectors(spark, d):
-    e = table(spark, d, "embeddings")
+    e = table(spark, d, "embeddings", True)
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
 
 
@@ -96,7 +96,7 @@ def _(spark, d):
 
 
 def verdicts(spark, d, with_text):
-    rows = logs(spark, d)
+    rows = logs(spark, d, True)
     fitted = features.fit_features(rows, with_text=with_text)
     v = novelty.model_vectors(rows, fitted)
     terms = fitted["vocabulary"].count() if with_text else 0

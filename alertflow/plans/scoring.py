@@ -50,8 +50,8 @@ def default(spark, d):
     return scoring.score_default(logs(spark, d))
 
 
-def heuristic(spark, d):
-    return scoring.score_heuristic(logs(spark, d))
+def heuristic(spark, d, wide=False):
+    return scoring.score_heuristic(logs(spark, d, wide))
 
 
 @plans.add("ml_field_mapping", sql(LOGS, """SELECT id AS log_id, event_ts AS timestamp, service_name, hostname,

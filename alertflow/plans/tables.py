@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertflow.sources.tables import spread
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """A given table; ``wide`` asks for at least one task per core, for costly row work."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if wide else rows
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def logs(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     """Log rows derived from ``events``; one narrow projection, no shuffle."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = table(spark, sf_dir, "events", wide).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     k, kind, user = F.col("k"), F.col("event_type"), F.col("user_id")
     ks = k.cast("string")
     err = kind == "error"

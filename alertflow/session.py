@@ -44,3 +44,14 @@ def cut_lineage(df, eager: bool = True):
             folder = tempfile.mkdtemp(prefix="alertflow-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=eager)
+
+
+def once(df, name: str, value):
+    """Add a costly column that is computed once per row.
+
+    The optimizer copies an expression into every filter and projection that uses
+    it. Behind a generator it is an ordinary attribute and is not copied.
+    """
+    from pyspark.sql import functions as F
+
+    return df.select("*", F.explode(F.array(value)).alias(name))

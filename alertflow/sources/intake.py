@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from alertflow.functions import rules
 from alertflow.schemas import LEVELS, LOG_EVENT, RAW_LOG
+from alertflow.session import once
 
 CORRUPT = "_corrupt_record"
 # Wire name of each canonical column where the two differ.
@@ -26,7 +27,7 @@ def ingest_logs(raw: DataFrame, value: str = "value") -> DataFrame:
     schema = T.StructType([*RAW_LOG.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     text = F.col(value).cast("string")
-    parsed = raw.select(text.alias("payload"), F.from_json(text, schema, options).alias("_j"))
+    parsed = once(raw.select(text.alias("payload")), "_j", F.from_json("payload", schema, options))
     named = parsed.select(
         "payload",
         *[F.col(f"_j.{WIRE_NAMES.get(f.name, f.name)}").cast(f.dataType).alias(f.name) for f in LOG_EVENT.fields],

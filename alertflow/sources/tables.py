@@ -52,6 +52,18 @@ def read_folder(
     return reader.load(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a plain scan over at least as many tasks as there are cores.
+
+    Costly per-row work on one small file would otherwise run in one task. A scan
+    that already has enough partitions, as any large table does, is left alone.
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def read_scored(spark: SparkSession, path: str, streaming: bool = False, **kw) -> DataFrame:
     """Scored logs from the beginning; with a checkpoint a restart goes on where it stopped."""
     return read_folder(spark, path, SCORED_LOG, streaming=streaming, **kw)
