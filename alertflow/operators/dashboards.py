@@ -81,7 +81,11 @@ def time_series(alerts: DataFrame, as_of: Column, keep_hours: int = 24) -> DataF
     """Alerts per minute; minutes older than the kept span are filtered at the scan."""
     oldest = minutes_before(as_of, keep_hours * 60)
     return (
-        alerts.filter((F.col("created_at") <= as_of) & (F.date_trunc("minute", "created_at") >= oldest))
+        alerts.filter(
+            (F.col("created_at") <= as_of)
+            & (F.col("created_at") >= oldest)
+            & (F.date_trunc("minute", "created_at") >= oldest)
+        )
         .groupBy(F.window("created_at", "1 minute")["start"].alias("minute"))
         .agg(F.count("*").alias("alerts"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertflow.functions import rules, text
+from alertflow.functions.quantile import exact_quantile
 from alertflow.session import cut_lineage, once
 
 CATEGORICAL = ("service_name", "hostname", "level", "logger")
@@ -72,9 +73,9 @@ def fit_statistics(logs: DataFrame, numeric: Sequence[str] = NUMERIC) -> DataFra
 
 
 def fit_medians(logs: DataFrame, numeric: Sequence[str] = NUMERIC) -> DataFrame:
-    """One row of exact medians. Exact percentiles keep one counter per distinct value, so
-    on continuous columns of very large tables use the approximate ones in the statistics."""
-    return logs.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"{c}_median") for c in numeric])
+    """One row of exact medians."""
+    one = logs.sparkSession.range(1)
+    return one.select(*[exact_quantile(logs, c, 0.5).alias(f"{c}_median") for c in numeric])
 
 
 def one_row(stats: DataFrame) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alertflow.functions.quantile import exact_quantile
 from alertflow.operators import features as fx
 from alertflow.operators import scoring
 from alertflow.session import cut_lineage
@@ -342,14 +343,17 @@ def fit_thresholds(
     sample: DataFrame, tables: Mapping[str, DataFrame], contamination: float = CONTAMINATION
 ) -> DataFrame:
     """(model, threshold): the contamination quantile of the raw scores of the training sample."""
-    scored = with_raw_scores(sample.select("id", "features"), tables, "")
-    return contamination_threshold(scored.unpivot("id", list(tables), "model", "raw"), contamination)
+    scored = cut_lineage(with_raw_scores(sample.select("id", "features"), tables, "").select(*tables))
+    return contamination_threshold(scored, list(tables), contamination)
 
 
-def contamination_threshold(long: DataFrame, contamination: float = CONTAMINATION, exact: bool = True) -> DataFrame:
-    """Quantile per model over (model, raw) rows."""
-    q = F.percentile("raw", contamination) if exact else F.percentile_approx("raw", contamination, 10_000)
-    return long.groupBy("model").agg(q.alias("threshold"))
+def contamination_threshold(
+    scored: DataFrame, models: Sequence[str], contamination: float = CONTAMINATION
+) -> DataFrame:
+    """(model, threshold): exact quantile of each model's raw score column."""
+    one = scored.sparkSession.range(1)
+    cuts = [F.struct(F.lit(m).alias("model"), exact_quantile(scored, m, contamination).alias("threshold")) for m in models]
+    return one.select(F.inline(F.array(*cuts)))
 
 
 def flag_models(scored: DataFrame, thresholds: DataFrame, models: Sequence[str]) -> DataFrame:

@@ -7,8 +7,8 @@ of the rows, the work is cut along (key, time) ranges:
 1. rows shrink to one candidate per (key, fingerprint, instant);
 2. the candidates are range-partitioned by (key, time), so a hot key spreads
    over many partitions, and are written to the checkpoint folder once;
-3. every partition is walked in parallel as if nothing had happened before it
-   and reports the little state it leaves behind;
+3. every partition is walked in parallel as if nothing had happened before it,
+   one Arrow batch at a time, and reports the little state it leaves behind;
 4. partitions that begin inside a key whose earlier state turns out to matter
    are walked again with that state until nothing changes.
 
@@ -106,35 +106,36 @@ def _relevant(state: dict, first_t: int, window: int, cap: int | None, reset: in
 
 def _walker(window: int, cap: int | None, reset: int, incoming: dict[int, dict], report_state: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        chunk = int(pdf["chunk"].iloc[0])
-        keys = pdf["k"].to_numpy()
-        t = pdf["t"].to_numpy(dtype=np.int64)
-        fps = pdf["fp"].to_numpy()
-        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-        decision = np.full(len(pdf), SUPPRESSED, dtype=object)
-        state = incoming.get(chunk, fresh_state())
-        for a, b in zip(edges[:-1], edges[1:]):
-            out, limited, left = walk(t[a:b], fps[a:b], state, window, cap, reset)
-            part = decision[a:b]
-            part[out] = EMITTED
-            part[limited] = LIMITED
-            state = fresh_state()
-        if report_state:
+        chunk = key = state = first = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, fps = pdf["k"].to_numpy(), pdf["fp"].to_numpy()
+            t = pdf["t"].to_numpy(dtype=np.int64)
+            if chunk is None:
+                chunk, first = int(pdf["chunk"].iloc[0]), (keys[0], int(t[0]))
+                key, state = keys[0], incoming.get(chunk, fresh_state())
+            edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+            decision = np.full(len(pdf), SUPPRESSED, dtype=object)
+            for a, b in zip(edges[:-1], edges[1:]):
+                if keys[a] != key:
+                    key, state = keys[a], fresh_state()
+                out, limited, state = walk(t[a:b], fps[a:b], state, window, cap, reset)
+                part = decision[a:b]
+                part[out] = EMITTED
+                part[limited] = LIMITED
+            if not report_state:
+                yield pdf.assign(decision=decision)[["k", "fp", "t", "id", "decision"]]
+        if report_state and chunk is not None:
             yield pd.DataFrame(
                 {
                     "chunk": [chunk],
-                    "first_k": [keys[0]],
-                    "last_k": [keys[-1]],
-                    "first_t": [int(t[0])],
-                    "state": [json.dumps(left)],
+                    "first_k": [first[0]],
+                    "last_k": [key],
+                    "first_t": [first[1]],
+                    "state": [json.dumps(state)],
                 }
             )
-        else:
-            yield pdf.assign(decision=decision)[["k", "fp", "t", "id", "decision"]]
 
     return run
 
@@ -171,15 +172,19 @@ def decide(
     fingerprint: str = "fingerprint",
     ts: str = "created_at",
     id_col: str = "alert_id",
+    partitions: int | None = None,
 ) -> DataFrame:
-    """(k, fp, t, id, decision) for the first alert of every (key, fingerprint, instant)."""
+    """(k, fp, t, id, decision) for the first alert of every (key, fingerprint, instant).
+
+    ``partitions`` sets the number of ranges; the session's shuffle partitions otherwise.
+    """
     window, reset = int(window_s) * MICROS, int(reset_s) * MICROS
     named = _named(alerts, window_s, cap, key, fingerprint, ts, id_col)
     first = named.groupBy("k", "fp", "t").agg(F.min("id").alias("id"))
     if window_s == 0:
         first = named.select("k", "fp", "t", "id").distinct()
     chunks = cut_lineage(
-        first.repartitionByRange("k", "t")
+        (first.repartitionByRange(partitions, "k", "t") if partitions else first.repartitionByRange("k", "t"))
         .sortWithinPartitions("k", "t", "id")
         .withColumn("chunk", F.spark_partition_id())
     )
@@ -208,7 +213,8 @@ def label_alerts(alerts: DataFrame, window_s: int = 300, cap: int | None = 10, r
     ``suppress_duplicates = false`` rows are not expected here: see :func:`emit`.
     """
     names = {"key": "service_name", "fingerprint": "fingerprint", "ts": "created_at", "id_col": "alert_id", **cols}
-    decided = decide(alerts, window_s, cap, reset_s, **names).withColumnRenamed("id", "_first")
+    partitions = names.pop("partitions", None)
+    decided = decide(alerts, window_s, cap, reset_s, partitions=partitions, **names).withColumnRenamed("id", "_first")
     base = _named(alerts, window_s, cap, names["key"], names["fingerprint"], names["ts"], names["id_col"])
     on = ["k", "fp", "t"]
     if window_s == 0:

@@ -53,16 +53,17 @@ def _(spark, d):
 @plans.add("contamination_threshold", sql(LOGS, SIMPLE, sampled_sql("v", 500), KERNEL,
   "SELECT 'one_class_svm' AS model, round(quantile_cont(raw, 0.1), 6) AS threshold FROM kernel"))
 def _(spark, d):
-    long = kernel_scores(spark, d).select(F.lit("one_class_svm").alias("model"), F.col("raw_one_class_svm").alias("raw"))
-    return novelty.contamination_threshold(long).withColumn("threshold", F.round("threshold", 6))
+    scored = kernel_scores(spark, d).withColumnRenamed("raw_one_class_svm", "one_class_svm")
+    cut = novelty.contamination_threshold(scored, ["one_class_svm"])
+    return cut.withColumn("threshold", F.round("threshold", 6))
 
 
 @plans.add("model_flags", sql(LOGS, SIMPLE, sampled_sql("v", 500), KERNEL,
   "SELECT id, raw < (SELECT quantile_cont(raw, 0.1) FROM kernel) AS one_class_svm_flag FROM kernel"))
 def _(spark, d):
     scored = kernel_scores(spark, d)
-    long = scored.select(F.lit("one_class_svm").alias("model"), F.col("raw_one_class_svm").alias("raw"))
-    flagged = novelty.flag_models(scored, novelty.contamination_threshold(long), ["one_class_svm"])
+    cut = novelty.contamination_threshold(scored.withColumnRenamed("raw_one_class_svm", "one_class_svm"), ["one_class_svm"])
+    flagged = novelty.flag_models(scored, cut, ["one_class_svm"])
     return flagged.select("id", "one_class_svm_flag")
 
 

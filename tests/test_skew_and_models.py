@@ -163,3 +163,14 @@ def test_rank_normalise_does_not_saturate(spark):
     df = spark.range(1000).select((-F.col("id").cast("double")).alias("raw"))
     out = scoring.rank_normalise(df, "raw", "score").agg(F.min("score"), F.max("score"), F.avg("score")).first()
     assert out[0] <= 0.01 and out[1] >= 0.99 and abs(out[2] - 0.5) < 0.01
+
+
+@pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.93, 1.0])
+def test_exact_quantile(spark, q):
+    from alertflow.functions.quantile import exact_quantile
+
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=3000), np.full(500, 0.25)])
+    df = spark.createDataFrame(pd.DataFrame({"v": v})).repartition(5)
+    got = spark.range(1).select(exact_quantile(df, "v", q, accuracy=100)).first()[0]
+    assert got == pytest.approx(np.quantile(v, q), abs=1e-12)

@@ -56,6 +56,7 @@ def test_matches_loop_with_a_hot_service(spark, seed, n, span, window, cap, part
         rows.append((f"id{i:05d}", service, fp, at))
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
     try:
         got = labels(suppress.label_alerts(frame(spark, rows), window, cap))
         emitted = suppress.emit(frame(spark, rows), window, cap)
@@ -63,6 +64,7 @@ def test_matches_loop_with_a_hot_service(spark, seed, n, span, window, cap, part
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     want = loop(rows, window, cap)
     assert got == want
     assert ids == {i for i, d in want.items() if d == "emitted"}
