@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Days a closed incident is kept per environment, and life times of the tables.
@@ -39,25 +39,49 @@ def archive_split(incidents: DataFrame, as_of: Column, days: int = ARCHIVE_DAYS)
     )
 
 
-def write_archive(incidents: DataFrame, as_of: Column, live: str, archive: str, days: int = ARCHIVE_DAYS) -> None:
-    """Two day-partitioned writes. Old days are moved by whole partitions, so a rerun
-    overwrites only the days it touches."""
-    split = archive_split(incidents, as_of, days)
-    for name, path in (("archive", archive), ("live", live)):
-        part = split.filter(F.col("store") == name).drop("store")
-        (
-            part.repartitionByRange("created_date", "service_name", "alert_id")
-            .sortWithinPartitions("created_date", "service_name", "created_at")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("created_date")
-            .parquet(path)
-        )
-
-
-def clean_partitions(incidents: DataFrame, as_of: Column, path: str, days: int = KEEP_DAYS["default"]) -> None:
-    """Rewrite only the days that hold an outdated row. ``incidents`` must be read from ``path``
-    and carry ``created_date``; days without any survivor are written empty."""
-    touched = incidents.filter(is_outdated(as_of, days)).select("created_date").distinct()
-    rest = drop_old_closed(incidents.join(touched, "created_date", "left_semi"), as_of, days)
-    rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("created_date").parquet(path)
+def write_days(incidents: DataFrame, path: str) -> None:
+    """Replace the days present in ``incidents``; other days stay as they are."""
+    (
+        incidents.repartitionByRange("created_date", "service_name", "alert_id")
+        .sortWithinPartitions("created_date", "service_name", "created_at")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("created_date")
+        .parquet(path)
+    )
+
+
+def _delete_days(spark: SparkSession, path: str, days: list) -> None:
+    for day in days:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/created_date={day}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def archive_old_days(spark: SparkSession, live: str, archive: str, as_of: Column, days: int = ARCHIVE_DAYS) -> None:
+    """Copy every day that lies wholly before the limit to the archive, then drop it from the live table.
+
+    Only the old day folders are read. A run that is repeated after a failure copies
+    the same days again and ends in the same state.
+    """
+    table = spark.read.parquet(live)
+    old = table.filter(F.col("created_date") < F.to_date(_days_before(as_of, days)))
+    gone = [r.created_date for r in old.select("created_date").distinct().collect()]
+    if gone:
+        write_days(old, archive)
+        _delete_days(spark, live, gone)
+
+
+def clean_days(spark: SparkSession, path: str, as_of: Column, days: int = KEEP_DAYS["default"]) -> None:
+    """Remove outdated closed incidents from a day-partitioned table.
+
+    Days are the unit of work: those without an outdated row are not touched, those
+    with nothing else are dropped, and only the others are rewritten.
+    """
+    table = spark.read.parquet(path).filter(F.col("created_date") <= F.to_date(_days_before(as_of, days)))
+    dead = is_outdated(as_of, days)
+    per_day = table.groupBy("created_date").agg(F.count_if(dead).alias("dead"), F.count("*").alias("n"))
+    hit = per_day.filter(F.col("dead") > 0).collect()
+    mixed = [r.created_date for r in hit if r.dead < r.n]
+    if mixed:
+        write_days(table.filter(F.col("created_date").isin(mixed) & ~dead), path)
+    _delete_days(spark, path, [r.created_date for r in hit if r.dead == r.n])

@@ -56,6 +56,22 @@ _NO_REASONS = "array<string>"
 _NO_FEATURES = "map<string,double>"
 
 
+Threshold = float | Column
+
+
+def _number(value: Threshold) -> Column:
+    return value.cast("double") if isinstance(value, Column) else F.lit(float(value))
+
+
+def setting(config: DataFrame, name: str, default: float) -> Column:
+    """Value of a (name, value) settings table as a scalar, read when the query runs.
+
+    Built inside ``foreachBatch`` it picks up a changed setting with the next batch.
+    """
+    found = config.filter(F.col("name") == name).agg(F.max("value").cast("double"))
+    return F.coalesce(found.scalar(), F.lit(float(default)))
+
+
 def _empty_features() -> Column:
     return F.create_map().cast(_NO_FEATURES)
 
@@ -80,39 +96,39 @@ def to_ml_schema(logs: DataFrame) -> DataFrame:
     )
 
 
-def _default_columns(threshold: float) -> dict[str, Column]:
+def _default_columns(threshold: Threshold) -> dict[str, Column]:
     score = rules.lookup(F.col("level"), DEFAULT_SCORES, 0.1)
     return {
         "anomaly_score": score,
         "anomaly_reasons": F.array(F.lit(DEFAULT_REASON)),
         "feature_scores": _empty_features(),
-        "is_anomaly": score > F.lit(threshold),
+        "is_anomaly": score > _number(threshold),
         "anomaly_type": F.lit("default"),
     }
 
 
-def score_default(logs: DataFrame, threshold: float = DETECTOR_THRESHOLD) -> DataFrame:
+def score_default(logs: DataFrame, threshold: Threshold = DETECTOR_THRESHOLD) -> DataFrame:
     """Score by level alone; the event time stands in for the scoring clock."""
     return logs.withColumns({**_default_columns(threshold), "scored_at": F.col("event_ts")})
 
 
-def _result_struct(threshold: float) -> Column:
+def _result_struct(threshold: Threshold) -> Column:
     score = F.coalesce(F.col("anomaly_score"), F.lit(0.0))
     return F.struct(
         score.alias("anomaly_score"),
         F.coalesce(F.col("anomaly_reasons"), F.array().cast(_NO_REASONS)).alias("anomaly_reasons"),
         F.coalesce(F.col("feature_scores"), _empty_features()).alias("feature_scores"),
-        (score > F.lit(threshold)).alias("is_anomaly"),
+        (score > _number(threshold)).alias("is_anomaly"),
         F.coalesce(F.col("anomaly_type"), F.lit("unknown")).alias("anomaly_type"),
     )
 
 
-def _join_results(logs: DataFrame, results: DataFrame, threshold: float) -> DataFrame:
+def _join_results(logs: DataFrame, results: DataFrame, threshold: Threshold) -> DataFrame:
     answer = results.select("id", _result_struct(threshold).alias("_r"))
     return logs.join(answer, "id", "left")
 
 
-def attach_scores(logs: DataFrame, results: DataFrame, threshold: float = DETECTOR_THRESHOLD) -> DataFrame:
+def attach_scores(logs: DataFrame, results: DataFrame, threshold: Threshold = DETECTOR_THRESHOLD) -> DataFrame:
     """Join model answers; fields an answer leaves out take neutral values.
 
     ``results`` holds at most one row per id with anomaly_score, anomaly_reasons,
@@ -122,14 +138,14 @@ def attach_scores(logs: DataFrame, results: DataFrame, threshold: float = DETECT
         F.lit(0.0).alias("anomaly_score"),
         F.array().cast(_NO_REASONS).alias("anomaly_reasons"),
         _empty_features().alias("feature_scores"),
-        (F.lit(0.0) > F.lit(threshold)).alias("is_anomaly"),
+        (F.lit(0.0) > _number(threshold)).alias("is_anomaly"),
         F.lit("unknown").alias("anomaly_type"),
     )
     joined = _join_results(logs, results, threshold).withColumn("_r", F.coalesce("_r", neutral))
     return joined.select(*logs.columns, "_r.*", F.col("event_ts").alias("scored_at"))
 
 
-def score_with_fallback(logs: DataFrame, results: DataFrame, threshold: float = DETECTOR_THRESHOLD) -> DataFrame:
+def score_with_fallback(logs: DataFrame, results: DataFrame, threshold: Threshold = DETECTOR_THRESHOLD) -> DataFrame:
     """Model answer where there is one, level default where there is none."""
     default = F.struct(*[c.alias(n) for n, c in _default_columns(threshold).items()])
     joined = _join_results(logs, results, threshold).withColumn("_r", F.coalesce("_r", default))
@@ -141,7 +157,7 @@ def _said(col: str) -> Column:
     return F.coalesce(F.col(col) != "", F.lit(False))
 
 
-def score_heuristic(logs: DataFrame, threshold: float = MODEL_THRESHOLD, version: str = MODEL_VERSION) -> DataFrame:
+def score_heuristic(logs: DataFrame, threshold: Threshold = MODEL_THRESHOLD, version: str = MODEL_VERSION) -> DataFrame:
     """Additive rule score, used when no model has answered."""
     level, status, duration = F.col("level"), F.col("http_status"), F.col("duration_ms")
     server_error = F.coalesce(status >= 500, F.lit(False))
@@ -164,7 +180,7 @@ def score_heuristic(logs: DataFrame, threshold: float = MODEL_THRESHOLD, version
         F.when(slow, F.lit("High response time")),
     )
     scored = logs.withColumns({"anomaly_score": score, "_kind": kind, "_reasons": reasons})
-    flagged = F.col("anomaly_score") > F.lit(threshold)
+    flagged = F.col("anomaly_score") > _number(threshold)
     scored = scored.withColumns(
         {
             "is_anomaly": flagged,
@@ -174,7 +190,7 @@ def score_heuristic(logs: DataFrame, threshold: float = MODEL_THRESHOLD, version
             "feature_scores": _empty_features(),
             "features_analyzed": F.array(F.lit("heuristic_rules")),
             "model_version": F.lit(f"{version}_fallback"),
-            "threshold_used": F.lit(float(threshold)),
+            "threshold_used": _number(threshold),
             "recommendations": recommendations(F.col("service_name"), F.col("_kind"), F.col("anomaly_score")),
             "result_metadata": F.create_map(F.lit("scoring_method"), F.lit("heuristic_fallback")),
             "scored_at": F.col("event_ts"),
@@ -207,7 +223,7 @@ def rank_normalise(scored: DataFrame, raw: str, out: str, steps: int = 1000, acc
 def ensemble(
     wide: DataFrame,
     models: Sequence[str] = MODELS,
-    threshold: float = MODEL_THRESHOLD,
+    threshold: Threshold = MODEL_THRESHOLD,
     weights: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """Mean (or weighted mean) of the model score columns present in a row; no shuffle.
@@ -227,7 +243,7 @@ def ensemble(
 
 
 def ensemble_long(
-    scores: DataFrame, threshold: float = MODEL_THRESHOLD, weights: Mapping[str, float] | None = None
+    scores: DataFrame, threshold: Threshold = MODEL_THRESHOLD, weights: Mapping[str, float] | None = None
 ) -> DataFrame:
     """Same over (id, model, score) rows; one map-side combined aggregate."""
     if weights is None:
@@ -240,13 +256,13 @@ def ensemble_long(
     return _with_verdict(out, threshold)
 
 
-def _with_verdict(df: DataFrame, threshold: float) -> DataFrame:
+def _with_verdict(df: DataFrame, threshold: Threshold) -> DataFrame:
     s = F.col("anomaly_score")
     return df.withColumns(
         {
-            "is_anomaly": s > F.lit(threshold),
+            "is_anomaly": s > _number(threshold),
             "confidence": F.abs(s - F.lit(0.5)) * F.lit(2.0),
-            "threshold_used": F.lit(float(threshold)),
+            "threshold_used": _number(threshold),
         }
     )
 
@@ -316,7 +332,7 @@ def assemble_results(
     scored: DataFrame,
     feature_names: Sequence[str],
     models: Sequence[str] = MODELS,
-    threshold: float = MODEL_THRESHOLD,
+    threshold: Threshold = MODEL_THRESHOLD,
     version: str = MODEL_VERSION,
     feature_count: int | None = None,
 ) -> DataFrame:

@@ -195,23 +195,29 @@ def decide(
 
 
 def _named(alerts, window_s, cap, key, fingerprint, ts, id_col) -> DataFrame:
-    # Without a cap nothing links two fingerprints, so the fingerprint itself is the key.
-    by = fingerprint if cap is None else key
+    fp = suppression_key(alerts, fingerprint, id_col)
     return alerts.withColumns(
         {
-            "k": rules.text_or_null(F.col(by)),
-            "fp": rules.text_or_null(F.col(fingerprint)),
+            # without a cap nothing links two fingerprints, so the fingerprint itself is the key
+            "k": fp if cap is None else rules.text_or_null(F.col(key)),
+            "fp": fp,
             "t": epoch_micros(ts),
             "id": F.col(id_col).cast("string"),
         }
     )
 
 
-def label_alerts(alerts: DataFrame, window_s: int = 300, cap: int | None = 10, reset_s: int = 3600, **cols) -> DataFrame:
-    """Every alert with its ``decision``: emitted, suppressed or limited.
+def suppression_key(alerts: DataFrame, fingerprint: str, id_col: str):
+    """The fingerprint; an alert that asks not to be suppressed is only ever like itself."""
+    fp = rules.text_or_null(F.col(fingerprint))
+    if "suppress_duplicates" not in alerts.columns:
+        return fp
+    own = F.concat(F.lit("#"), F.col(id_col).cast("string"))
+    return F.when(F.coalesce(F.col("suppress_duplicates"), F.lit(True)), fp).otherwise(own)
 
-    ``suppress_duplicates = false`` rows are not expected here: see :func:`emit`.
-    """
+
+def label_alerts(alerts: DataFrame, window_s: int = 300, cap: int | None = 10, reset_s: int = 3600, **cols) -> DataFrame:
+    """Every alert with its ``decision``: emitted, suppressed or limited."""
     names = {"key": "service_name", "fingerprint": "fingerprint", "ts": "created_at", "id_col": "alert_id", **cols}
     partitions = names.pop("partitions", None)
     decided = decide(alerts, window_s, cap, reset_s, partitions=partitions, **names).withColumnRenamed("id", "_first")

@@ -246,6 +246,16 @@ def _(spark, d):
     return scoring.score_heuristic(logs(spark, d), threshold=0.35).select("id", "is_anomaly")
 
 
+@plans.add("threshold_from_table", sql(LOGS, HEURISTIC, """SELECT id, anomaly_score > (SELECT count(*) FROM region) / 20::DOUBLE AS is_anomaly,
+  (SELECT count(*) FROM region) / 20::DOUBLE AS threshold_used FROM heuristic"""))
+def _(spark, d):
+    """The threshold is looked up in a settings table, here one made from ``region``."""
+    region = spark.read.parquet(f"{d}/region.parquet")
+    config = region.agg((F.count("*") / F.lit(20.0)).alias("value")).withColumn("name", F.lit("anomaly_threshold"))
+    threshold = scoring.setting(config, "anomaly_threshold", scoring.MODEL_THRESHOLD)
+    return scoring.score_heuristic(logs(spark, d), threshold).select("id", "is_anomaly", "threshold_used")
+
+
 @plans.add("prediction_counts", sql(LOGS, HEURISTIC, """SELECT CASE WHEN is_anomaly THEN 'anomaly' ELSE 'normal' END AS prediction,
   count(*) AS predictions FROM heuristic GROUP BY 1"""))
 def _(spark, d):

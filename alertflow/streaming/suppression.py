@@ -70,11 +70,11 @@ def decide_stream(
 ) -> DataFrame:
     """Streaming alerts with their decision. Without a cap the key is the fingerprint, which
     spreads a busy service; a cap needs all rows of a service in one order."""
-    by = "fingerprint" if cap is None else key
+    fp = suppress.suppression_key(alerts, "fingerprint", "alert_id")
     named = alerts.select(
-        rules.text_or_null(F.col(by)).alias("k"),
+        (fp if cap is None else rules.text_or_null(F.col(key))).alias("k"),
         suppress.epoch_micros("created_at").alias("t"),
-        rules.text_or_null(F.col("fingerprint")).alias("fp"),
+        fp.alias("fp"),
         F.col("alert_id").alias("id"),
         F.to_json(F.struct(*[f.name for f in ALERT.fields])).alias("payload"),
         F.col("created_at").cast("timestamp").alias("clock"),

@@ -149,3 +149,38 @@ def test_dedupe_on_a_stream(spark, tiny, tmp_path):
     )
     assert q.awaitTermination(120) and q.exception() is None
     assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()
+
+
+def test_scored_stream_to_routing_and_deliveries(spark, tiny, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    logs = tables.logs(spark, tiny)
+    raw = logs.select(F.to_json(F.struct("id", F.col("service_name").alias("serviceName"), "hostname", "level", "message",
+                                         F.col("event_ts").alias("timestamp"))).alias("value"))
+    raw.coalesce(2).write.parquet(at("raw"))
+    good = flow.logs_from_raw(spark.readStream.schema("value string").parquet(at("raw")))
+    scored = scoring.score_default(good)
+    q = src.write_scored(scored, at("scored"), at("chk1"))
+    assert q.awaitTermination(120) and q.exception() is None
+    back = src.read_scored(spark, at("scored"))
+    assert back.count() == logs.count()
+
+    found = al.build_alerts(al.alert_candidates(src.read_scored(spark, at("scored"), streaming=True)))
+    q = flow.start_routing(found, at("alerts"), at("chk2"), deliveries=at("deliveries"))
+    assert q.awaitTermination(120) and q.exception() is None
+    want = al.fan_out(al.build_alerts(al.alert_candidates(scoring.score_default(logs))))
+    key = lambda df: {(r.alert_id, r.queue) for r in df.select("alert_id", "queue").collect()}
+    assert key(spark.read.parquet(at("deliveries"))) == key(want)
+    assert src.read_alerts(spark, at("alerts")).count() == want.filter("queue = 'notifications'").count()
+
+
+def test_incident_stream_equals_one_fold(spark, tiny, tmp_path):
+    v = lifecycle.versions(spark, tiny)
+    path = str(tmp_path / "versions")
+    in_files(v, path, 3, "version_ts")
+    store = IncidentStore(spark, str(tmp_path / "store"), buckets=4)
+    stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = flow.start_incidents(stream, store, str(tmp_path / "chk"))
+    assert q.awaitTermination(240) and q.exception() is None
+    cols = ["alert_id", "status", "severity", "assignee", "resolved_at", "time_to_resolve", "escalation_count"]
+    got = {tuple(r) for r in store.read().select(cols).collect()}
+    assert got == {tuple(r) for r in incidents.fold_incidents(v).select(cols).collect()}

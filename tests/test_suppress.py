@@ -93,3 +93,14 @@ def test_known_counts(spark, small, window, cap, counts):
     got = labels(suppress.label_alerts(alerts, window, cap))
     tally = tuple(sum(v == d for v in got.values()) for d in ("suppressed", "limited", "emitted"))
     assert tally == counts
+
+
+def test_rows_that_refuse_suppression(spark):
+    at = lambda s: START + dt.timedelta(seconds=s)
+    rows = [("a", "s", "f", at(0), True), ("b", "s", "f", at(1), False), ("c", "s", "f", at(2), False), ("d", "s", "f", at(3), True)]
+    df = spark.createDataFrame(
+        rows, "alert_id string, service_name string, fingerprint string, created_at timestamp_ntz, suppress_duplicates boolean"
+    )
+    got = labels(suppress.label_alerts(df, 300, 2))
+    assert got == {"a": "emitted", "b": "emitted", "c": "limited", "d": "suppressed"}
+    assert labels(suppress.label_alerts(df, 300, None))["c"] == "emitted"
