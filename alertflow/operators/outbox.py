@@ -18,7 +18,7 @@ CHAT_MESSAGE = (
     "*Score:* {{ anomalyScore }}\n"
     "*Time:* {{ createdAt }}\n"
 )
-CHAT_USER = "Incident Platform"
+CHAT_USER = "alertflow"
 CHAT_ICON = ":warning:"
 # Channel settings when nothing else is given.
 CHANNELS = (
@@ -91,8 +91,8 @@ def html_body() -> Column:
     )
 
 
-def chat_payload(channel: str | None = "#alerts") -> Column:
-    """Structured chat message as JSON."""
+def chat_payload(channel: str | None = "#alerts", username: str = CHAT_USER) -> Column:
+    """Structured chat message as JSON, sent under ``username``."""
 
     def field(title: str, value: Column) -> Column:
         return F.struct(F.lit(title).alias("title"), value.alias("value"), F.lit(True).alias("short"))
@@ -116,7 +116,7 @@ def chat_payload(channel: str | None = "#alerts") -> Column:
     return F.to_json(
         F.struct(
             *head,
-            F.lit(CHAT_USER).alias("username"),
+            F.lit(username).alias("username"),
             F.lit(CHAT_ICON).alias("icon_emoji"),
             F.array(attachment).alias("attachments"),
         )
