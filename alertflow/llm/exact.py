@@ -49,6 +49,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
+        table = table.cast(pa.schema([f.with_nullable(True) for f in table.schema]))
         table = table if last is None else pa.concat_tables([last, table])
         differs = np.zeros(table.num_rows, bool)
         differs[0] = True
