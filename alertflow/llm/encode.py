@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Chunks remembered by a worker; past it the memory starts afresh. It bounds memory and never changes a result.
-REMEMBER = 300_000
+REMEMBER = 1_000_000
+#: Where a letter or digit meets a sign, a new token starts.
+_SIGN = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-/:-@\[-`{-~])")
 #: White space other than a single space or line end between two other characters.
-_BLANK = re.compile(r"[^\S \n]")
+_BLANK = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A word of Latin letters, which is one pre-token whatever the vocabulary.
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def byte_letters() -> list[str]:
+    """The printable letter a byte-level vocabulary writes for each byte: itself if visible, else one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
 def plain_spacing(text: str) -> bool:
@@ -26,6 +37,18 @@ def plain_spacing(text: str) -> bool:
     )
 
 
+class _Known(dict):
+    """Remembers what ``make`` gives for a key."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class ChunkEncoder:
     """Encodes with ``tokenizers``, one chunk at a time.
 
@@ -46,33 +69,64 @@ class ChunkEncoder:
         self.library.no_padding()
         #: Byte-level vocabularies keep white space in their tokens, the others drop it.
         self.keeps_blanks = self.library.normalizer is None
-        self.known: dict[str, bytes] = {}
+        # the words that reach the library are new; its own cache of words only costs time then
+        getattr(self.library.model, "_resize_cache", lambda n: None)(0)
+        self.model, self.letters = self.library.model, dict(enumerate(byte_letters()))
+        self.space = self.letters[32]
+        self.parts = _Known(self.whole)
+        self.first = _Known(self._first)
+        self.after = _Known(self._after)
+        self.line_end = self.whole("\n")
 
     @staticmethod
-    def _bytes(encoded) -> bytes:
-        return np.asarray(encoded.ids, "<u4").tobytes()
+    def _bytes(ids: list[int]) -> bytes:
+        ids = array("I", ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def whole(self, text: str) -> bytes:
-        return self._bytes(self.library.encode(text, add_special_tokens=False))
-
-    def _chunks(self, text: str) -> list[str] | None:
+        return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        """A single pre-token goes to the library's model at once, in the letters it writes for bytes."""
+        word = word if self.keeps_blanks else word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        elif word[0] == " ":
+            word = self.space + word[1:]
+        return self._bytes([t.id for t in self.model.tokenize(word)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if _WORD.fullmatch(chunk):
+            return self._word(chunk)
+        return b"".join(self._word(p) if _WORD.fullmatch(p) else self.parts[p] for p in _SIGN.split(chunk))
+
+    # words are remembered once for all the points and commas that follow them
+    def _first(self, word: str) -> bytes:
+        if word[-1:] in (".", ",") and _WORD.fullmatch(word, 0, len(word) - 1):
+            return self.first[word[:-1]] + self.parts[word[-1]]
+        return self._chunk(word)
+
+    def _after(self, word: str) -> bytes:
+        if word[-1:] in (".", ",") and _WORD.fullmatch(word, 0, len(word) - 1):
+            return self.after[word[:-1]] + self.parts[word[-1]]
+        return self._chunk(" " + word)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of the text as little-endian unsigned 32-bit integers."""
         if "<|" in text or not plain_spacing(text):
-            return None
-        if self.keeps_blanks:  # "a b\nc" -> "a", " b", "\n", "c"
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else None
-        return text.replace("\n", " ").split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        chunks = [self._chunks(t) for t in texts]
-        known = self.known
-        new = list({c for cs in chunks if cs for c in cs if c not in known})
-        for chunk, encoded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[chunk] = self._bytes(encoded)
-        look = known.__getitem__
-        return [self.whole(t) if cs is None else b"".join(map(look, cs)) for t, cs in zip(texts, chunks, strict=True)]
+            return self.whole(text)
+        for known in (self.first, self.after, self.parts):
+            if len(known) > REMEMBER:
+                known.clear()
+        if not self.keeps_blanks:
+            return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
+        lines = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            lines.append(self.first[words[0]] + b"".join(map(self.after.__getitem__, words[1:])))
+        return self.line_end.join(lines)
 
 
 @lru_cache(maxsize=4)

@@ -78,8 +78,8 @@ def near_duplicates(
 
     Equal sets are one class and take part once, through their smallest id, so a group of exact copies costs a row per
     task. A null, empty or blank text has no set and is linked with nothing. A row with a null id is returned with a
-    null component and kept, and links nothing. Rows that repeat an id are one node with the links of all their texts
-    and are all returned. Other columns are ignored. An empty table gives an empty result.
+    null component and kept, and links nothing. Rows that repeat an id are all returned, each judged by its own text; a
+    link of one of their texts is a link of the id. Other columns are ignored. An empty table gives an empty result.
     """
     rows = saved(signatures(docs, id_col, text_col, scheme, shingle), "signatures")
     with_set = rows.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
@@ -102,3 +102,15 @@ def near_duplicates(
     lone = lone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     whole = linked.union(lone)
     return whole.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """``docs`` with all columns, without documents that another of their group stands for.
+
+    The document with the smallest id of a group stays. Rows with a null id or without words stay. Rows that repeat the
+    id of a document that stays all stay, as their texts are exact or near copies that the id itself stands for.
+    """
+    found = near_duplicates(docs, id_col, text_col, Scheme(percent=percent))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+    return rows.join(gone, F.col(f"d.`{id_col}`").cast("long") == F.col("gone_id"), "left_anti").select("d.*")

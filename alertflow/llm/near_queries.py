@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertflow.llm import exact
+from alertflow.llm import exact, lines, minhash, passages
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(_documents(spark, sf_dir)).drop("text_hash")
+
+
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_documents(spark, sf_dir))
 
@@ -27,5 +39,10 @@ FROM (SELECT *,
   FROM t)
 """
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
+QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_passage_dedup": op10_passage_dedup,
+}
 SQL = {"op2_exact_dedup": EXACT_SQL}

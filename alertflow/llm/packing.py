@@ -61,7 +61,7 @@ def _cut(vocabulary: str, end: int, size: int):
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
                 out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-                texts = encoder(vocabulary).encode(piece.column("text").to_pylist())
+                texts = map(encoder(vocabulary).encode, piece.column("text").to_pylist())
                 for doc, raw in zip(piece.column("doc_id").to_pylist(), texts, strict=True):
                     raw += tail
                     for low in range(0, len(raw), 4 * size):

@@ -13,18 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertflow.llm.common import SLICE, narrow
-from alertflow.llm.encode import REMEMBER, plain_spacing
+from alertflow.llm.encode import REMEMBER, byte_letters, plain_spacing
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
 
 
-def byte_letters() -> list[str]:
-    """The printable letter a byte-level vocabulary writes for each byte: itself if visible, else one from 256 on."""
-    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
-
-
 def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """Symbols left after always merging the adjacent pair of lowest rank, the leftmost of equals first.
 

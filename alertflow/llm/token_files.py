@@ -33,7 +33,7 @@ def _write(folder: str, vocabulary: str, end: int, dtype: str):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                for raw in encoder(vocabulary).encode(piece.column("text").to_pylist()):
+                for raw in map(encoder(vocabulary).encode, piece.column("text").to_pylist()):
                     ids_file = ids_file or store.open_output_stream(f"{base}/{stem}.ids")
                     ids_file.write(np.frombuffer(raw, "<u4").astype(dtype).tobytes() + tail)
                     lengths.append(len(raw) // 4 + 1)

@@ -23,9 +23,9 @@ def test_chunks_give_the_ids_of_whole_texts(name):
     bits = ["the", "Etre", "été", " ", " ", " ", "\n", "\n", "  ", "'s", "'", "3", "42", ".", ",", "́", "\t", " ", "\x1c",
             "<|endoftext|>", "<|", "你", "\U0001f600", "\0", "İ", "re", " ", "\u0085", "Σ", "-", "%%%", "​", "᠎", "Å"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
-    texts += ["".join(rng.choice(bits[:10] + ["a", "b."]) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["".join(rng.choice(bits[:10] + ["a", "b.", "ÀÉß", "x_y", "(z)", "A1."]) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
     tk, enc = library(name), ChunkEncoder(name)
-    got = enc.encode(texts)
+    got = map(enc.encode, texts)
     for text, raw in zip(texts, got, strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == tk.encode(text, add_special_tokens=False).ids, repr(text)
 
