@@ -9,8 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_MESSAGE_LENGTH = 10_000
-
 # The message patterns, in the order in which they are replaced and counted.
 # The url body is one character range, so long urls cannot exhaust the regex stack.
 PATTERNS = {
@@ -26,9 +24,11 @@ REPLACED = ("ip_address", "email", "url", "uuid", "number")
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def clean_text(message: Column, limit: int = MAX_MESSAGE_LENGTH) -> Column:
-    """Mask addresses, ids and numbers, collapse white space; null becomes empty."""
-    out = F.substring(F.coalesce(message, F.lit("")), 1, limit)
+def clean_text(message: Column, limit: int | None = None) -> Column:
+    """Mask addresses, ids and numbers, collapse white space; null becomes empty. ``limit`` cuts the text first."""
+    out = F.coalesce(message, F.lit(""))
+    if limit is not None:
+        out = F.substring(out, 1, limit)
     for name in REPLACED:
         out = F.regexp_replace(out, PATTERNS[name], f"<{name.upper()}>")
     return F.regexp_replace(F.regexp_replace(out, r"(?U)\s+", " "), r"^ | $", "")

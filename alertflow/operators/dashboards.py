@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from alertflow.functions import rules
 from alertflow.schemas import SEVERITIES
 
-HISTORY = 1000
 # Look-back names and their length in minutes.
 LOOK_BACKS = {"last5min": 5, "last15min": 15, "last30min": 30, "lastHour": 60, "last24Hours": 1440}
 TRENDS = ("last5min", "last15min", "last30min", "lastHour")
@@ -46,9 +45,14 @@ def recent_alerts(alerts: DataFrame, limit: int = 20) -> DataFrame:
     return alerts.orderBy(F.desc("created_at"), F.asc("alert_id")).limit(limit)
 
 
-def recent_of_service(alerts: DataFrame, service: str, limit: int = 20, history: int = HISTORY) -> DataFrame:
-    """Newest alerts of one service among the newest ``history`` of all."""
-    return recent_alerts(recent_alerts(alerts, history).filter(F.col("service_name") == service), limit)
+def newest(alerts: DataFrame, history: int | None) -> DataFrame:
+    """All alerts, or the newest ``history`` of them where a caller wants a ring of fixed length."""
+    return alerts if history is None else recent_alerts(alerts, history)
+
+
+def recent_of_service(alerts: DataFrame, service: str, limit: int = 20, history: int | None = None) -> DataFrame:
+    """Newest alerts of one service."""
+    return recent_alerts(newest(alerts, history).filter(F.col("service_name") == service), limit)
 
 
 def newest_per_service(alerts: DataFrame, limit: int = 10) -> DataFrame:
@@ -56,8 +60,8 @@ def newest_per_service(alerts: DataFrame, limit: int = 10) -> DataFrame:
     return alerts.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= limit)
 
 
-def average_score_by_service(alerts: DataFrame, history: int = HISTORY) -> DataFrame:
-    return recent_alerts(alerts, history).groupBy("service_name").agg(F.avg("anomaly_score").alias("average_score"))
+def average_score_by_service(alerts: DataFrame, history: int | None = None) -> DataFrame:
+    return newest(alerts, history).groupBy("service_name").agg(F.avg("anomaly_score").alias("average_score"))
 
 
 def _within(as_of: Column, minutes: int) -> Column:
@@ -65,15 +69,15 @@ def _within(as_of: Column, minutes: int) -> Column:
     return (at >= minutes_before(as_of, minutes)) & (at <= as_of)
 
 
-def count_in_range(alerts: DataFrame, start, end, history: int | None = HISTORY) -> DataFrame:
-    """Both ends included."""
-    base = alerts if history is None else recent_alerts(alerts, history)
-    return base.agg(F.count_if(F.col("created_at").between(F.lit(start), F.lit(end))).alias("alerts"))
+def count_in_range(alerts: DataFrame, start, end, history: int | None = None) -> DataFrame:
+    """Both ends included; the range reaches the scan as a filter."""
+    inside = F.col("created_at").between(F.lit(start), F.lit(end))
+    return newest(alerts, history).filter(inside).agg(F.count("*").alias("alerts"))
 
 
-def look_back_counts(alerts: DataFrame, as_of: Column, history: int | None = HISTORY) -> DataFrame:
-    """All look-backs from one pass over the recent alerts."""
-    base = alerts if history is None else recent_alerts(alerts, history)
+def look_back_counts(alerts: DataFrame, as_of: Column, history: int | None = None) -> DataFrame:
+    """All look-backs from one pass over the alerts of the longest."""
+    base = newest(alerts, history).filter(_within(as_of, max(LOOK_BACKS.values())))
     return base.agg(*[F.count_if(_within(as_of, m)).alias(n) for n, m in LOOK_BACKS.items()])
 
 
@@ -103,13 +107,14 @@ def system_health(alerts: DataFrame) -> DataFrame:
     return counts.select(health(F.col("_n"), F.col("_CRITICAL"), F.col("_HIGH")).alias("system_health"))
 
 
-def service_status(alerts: DataFrame, history: int = HISTORY) -> DataFrame:
-    """Worst recent severity per service; every service ever seen is listed."""
-    seen = alerts.select("service_name").distinct()
-    recent = recent_alerts(alerts, history).groupBy("service_name").agg(
-        F.bool_or(F.col("severity") == "CRITICAL").alias("_c"), F.bool_or(F.col("severity") == "HIGH").alias("_h")
+def service_status(alerts: DataFrame, since=None) -> DataFrame:
+    """Worst severity per service, from ``since`` on if given; every service ever seen is listed."""
+    counted = F.lit(True) if since is None else F.col("created_at") >= since
+    worst = alerts.groupBy("service_name").agg(
+        F.bool_or(counted & (F.col("severity") == "CRITICAL")).alias("_c"),
+        F.bool_or(counted & (F.col("severity") == "HIGH")).alias("_h"),
     )
-    return seen.join(recent, "service_name", "left").select(
+    return worst.select(
         "service_name",
         F.when(F.col("_c"), F.lit("CRITICAL")).when(F.col("_h"), F.lit("DEGRADED")).otherwise(F.lit("HEALTHY")).alias(
             "service_status"
@@ -121,29 +126,21 @@ def top_services(alerts: DataFrame, limit: int = 5) -> DataFrame:
     return count_by(alerts, "service_name").orderBy(F.desc("alerts"), F.asc("service_name")).limit(limit)
 
 
-def dashboard_metrics(alerts: DataFrame, as_of: Column, history: int = HISTORY) -> DataFrame:
-    """One record: life-time counters plus numbers over the newest ``history`` alerts.
+def dashboard_metrics(alerts: DataFrame, as_of: Column) -> DataFrame:
+    """One record: counters, scores, states and look-backs over all alerts.
 
-    The life-time part is one aggregate by service (severities and statuses are
-    pivoted inside it); the recent part is one top-k. Both meet as single rows.
+    One aggregate by service, with severities, statuses and look-backs pivoted inside it; the record is folded from its
+    rows, of which there are as many as services.
     """
-    per_service = alerts.groupBy("service_name").agg(
+    both = alerts.groupBy("service_name").agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES],
         *[F.count_if(F.col("status") == s).alias(f"{s.lower()}_status") for s in SHOWN_STATUSES],
+        F.avg("anomaly_score").alias("score"),
+        F.bool_or(F.col("severity") == "CRITICAL").alias("c"),
+        F.bool_or(F.col("severity") == "HIGH").alias("h"),
+        *[F.count_if(_within(as_of, m)).alias(n) for n, m in LOOK_BACKS.items()],
     )
-    newest = (
-        recent_alerts(alerts, history)
-        .groupBy("service_name")
-        .agg(
-            F.count("*").alias("recent"),
-            F.avg("anomaly_score").alias("score"),
-            F.bool_or(F.col("severity") == "CRITICAL").alias("c"),
-            F.bool_or(F.col("severity") == "HIGH").alias("h"),
-            *[F.count_if(_within(as_of, m)).alias(n) for n, m in LOOK_BACKS.items()],
-        )
-    )
-    both = per_service.join(newest, "service_name", "left")
     status = F.when(F.col("c"), F.lit("CRITICAL")).when(F.col("h"), F.lit("DEGRADED")).otherwise(F.lit("HEALTHY"))
 
     def total(col: str) -> Column:
@@ -154,7 +151,7 @@ def dashboard_metrics(alerts: DataFrame, as_of: Column, history: int = HISTORY)
         return F.map_from_entries(F.array_sort(F.collect_list(pair if keep is None else F.when(keep, pair))))
 
     row = both.agg(
-        total("recent").alias("total_alerts"),
+        total("n").alias("total_alerts"),
         *[total(s.lower()).alias(f"{s.lower()}_alerts") for s in SEVERITIES],
         *[total(f"{s.lower()}_status").alias(f"{s.lower()}_status_alerts") for s in SHOWN_STATUSES],
         as_map(F.col("n")).alias("alerts_by_service"),

@@ -20,7 +20,7 @@ NUMERIC = ("duration_ms", "line_number")
 PATTERN_NAMES = tuple(text.PATTERNS)
 WINDOWS_MINUTES = (1, 5, 15, 60)
 # Vocabulary limits.
-MAX_TERMS, MIN_DF, MAX_DF, MAX_N = 10_000, 2, 0.95, 2
+MIN_DF, MAX_DF, MAX_N = 2, 0.95, 2
 EPSILON = 1e-8
 
 
@@ -154,6 +154,20 @@ def with_terms(docs: DataFrame, text_col: str, stop_words: Sequence[str] = (), m
     return once(words, "_terms", grams).drop("_words")
 
 
+def numbered(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """Number rows from 0 in the order of a text, without bringing them into one task.
+
+    Rows are counted by the first two letters; running totals of these counts, which are few, give each group its start.
+    """
+    group = F.coalesce(F.substring(text_col, 1, 2), F.lit(""))
+    sizes = rows.groupBy(group.alias("_g")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_g", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_g").orderBy(text_col)) - 1
+    placed = rows.withColumn("_g", group).withColumn("_k", place).join(starts, "_g")
+    return placed.withColumn(name, (F.col("_start") + F.col("_k")).cast("int")).drop("_g", "_k", "_start")
+
+
 def fit_vocabulary(
     docs: DataFrame,
     id_col: str,
@@ -162,9 +176,9 @@ def fit_vocabulary(
     max_n: int = MAX_N,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
-    max_terms: int = MAX_TERMS,
+    max_terms: int | None = None,
 ) -> DataFrame:
-    """(term, idx, df, idf) of at most ``max_terms`` terms, most frequent first.
+    """(term, idx, df, idf) of every term within the frequency bounds, or of the ``max_terms`` most frequent ones.
 
     Document and term frequency come from one shuffle by term: each row sends
     every term with weight one and every distinct term as one document, and both
@@ -185,10 +199,9 @@ def fit_vocabulary(
     )
     n = docs.agg(F.count("*")).scalar()
     kept = by_term.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * n))
-    top = kept.orderBy(F.desc("tf"), F.asc("term")).limit(max_terms)
-    order = Window.orderBy("term")
+    top = kept if max_terms is None else kept.orderBy(F.desc("tf"), F.asc("term")).limit(max_terms)
     idf = F.log((n + 1).cast("double") / (F.col("df") + 1)) + F.lit(1.0)
-    return top.select("term", (F.row_number().over(order) - 1).alias("idx"), "df", idf.alias("idf"))
+    return numbered(top.select("term", "df", idf.alias("idf")), "term", "idx").select("term", "idx", "df", "idf")
 
 
 def tfidf(
@@ -198,19 +211,18 @@ def tfidf(
     text_col: str,
     stop_words: Sequence[str] = (),
     max_n: int = MAX_N,
-    max_terms: int = MAX_TERMS,
 ) -> DataFrame:
     """(id, term, idx, weight): L2-normalised term weights.
 
-    The vocabulary has at most ``max_terms`` rows by construction, so it is
-    broadcast. Terms outside it are gone before the first shuffle.
+    The planner broadcasts the vocabulary while it is small and joins by term when it is not. Rows are then dealt by id
+    once; counting and the norm both work on that.
     """
     found = with_terms(docs.select(id_col, text_col), text_col, stop_words, max_n).select(
         id_col, F.explode("_terms").alias("term")
     )
-    bounded = vocabulary.limit(max_terms).select("term", "idx", "idf")
     raw = (
-        found.join(F.broadcast(bounded), "term")
+        found.join(vocabulary.select("term", "idx", "idf"), "term")
+        .repartition(id_col)
         .groupBy(id_col, "term", "idx", "idf")
         .agg(F.count("*").alias("tf"))
         .withColumn("_w", F.col("tf") * F.col("idf"))
@@ -282,7 +294,7 @@ def seen_before(logs: DataFrame) -> DataFrame:
 
 
 def fit_features(
-    logs: DataFrame, stop_words: Sequence[str] = (), max_terms: int = MAX_TERMS, with_text: bool = True
+    logs: DataFrame, stop_words: Sequence[str] = (), max_terms: int | None = None, with_text: bool = True
 ) -> dict[str, DataFrame]:
     """All fitted tables: statistics, categories and (optionally) the vocabulary.
 

@@ -8,9 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest search result per environment.
-SEARCH_CAPS = {"staging": 500, "development": 1000, "production": 10_000}
-
 
 def _same(**wanted) -> Column:
     out = F.lit(True)

@@ -111,8 +111,11 @@ def incident_events(versions: DataFrame, bucket_s: int = 86_400) -> DataFrame:
     )
 
 
-def fold_incidents(versions: DataFrame, bucket_s: int = 86_400) -> DataFrame:
-    """Final incident per alert_id; every column is a combinable aggregate of its versions."""
+def fold_incidents(versions: DataFrame, bucket_s: int = 86_400, carried: str | None = None) -> DataFrame:
+    """Final incident per alert_id; every column is a combinable aggregate of its versions.
+
+    ``carried`` names a column that is returned as the oldest version has it.
+    """
     at = F.struct("version_ts", "version_no")
     changed = F.col("status_changed") | F.col("severity_changed") | F.col("assignee_changed")
     to_resolved = F.col("status_changed") & (F.col("status") == "RESOLVED")
@@ -120,7 +123,7 @@ def fold_incidents(versions: DataFrame, bucket_s: int = 86_400) -> DataFrame:
     reopened = F.col("status_changed") & F.col("previous_status").isin("RESOLVED", "CLOSED") & F.col("status").isin(
         "OPEN", "ACKNOWLEDGED", "INVESTIGATING"
     )
-    first = F.struct(*COPIED, "severity", "updated_at", "resolved_at")
+    first = F.struct(*COPIED, "severity", "updated_at", "resolved_at", *([carried] if carried else []))
     state = (
         changes(versions, bucket_s)
         .groupBy("alert_id")
@@ -156,6 +159,7 @@ def fold_incidents(versions: DataFrame, bucket_s: int = 86_400) -> DataFrame:
         F.array("_f.service_name").alias("affected_services"),
         impact_score(F.col("_f.severity"), F.col("_f.anomaly_score")).alias("impact_score"),
         F.expr(f"_f.created_at + INTERVAL '{INCIDENT_DAYS}' DAY").alias("expires_at"),
+        *([F.col(f"_f.{carried}").alias(carried)] if carried else []),
     )
 
 
@@ -163,24 +167,23 @@ def apply_versions(state: DataFrame, batch: DataFrame) -> DataFrame:
     """Create or update: fold a batch of new versions into the stored incidents they touch.
 
     A stored incident enters the fold as its own oldest version, so create and
-    update are the same aggregate. Totals that only the past knows are added back.
+    update are the same aggregate. That version carries the totals that only the
+    past knows, so the stored table is read once and nothing is joined.
     """
+    totals = (
+        "time_to_acknowledge", "time_to_resolve", "escalation_count", "reopen_count", "impact_score",
+        "notifications_sent", "automated_actions_triggered",
+    )
     base = state.select(
         "alert_id", *COPIED, "severity", "status", "assignee", "updated_at", "resolved_at",
         F.lit(None).cast("timestamp_ntz").alias("version_ts"), F.lit(-1).cast("bigint").alias("version_no"),
+        F.struct(*totals).alias("_o"),
     )
-    cols = base.columns
-    new = batch.withColumn("version_no", F.col("version_no").cast("bigint")).select(*cols)
+    new = batch.withColumns(
+        {"version_no": F.col("version_no").cast("bigint"), "_o": F.lit(None).cast(base.schema["_o"].dataType)}
+    ).select(*base.columns)
     oldest = F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00"))
-    folded = fold_incidents(base.withColumn("version_ts", oldest).unionByName(new))
-    old = state.select(
-        "alert_id",
-        F.struct(
-            "time_to_acknowledge", "time_to_resolve", "escalation_count", "reopen_count", "impact_score",
-            "notifications_sent", "automated_actions_triggered",
-        ).alias("_o"),
-    )
-    merged = folded.join(old, "alert_id", "left")
+    merged = fold_incidents(base.withColumn("version_ts", oldest).unionByName(new), carried="_o")
     zero = F.lit(0)
     return merged.withColumns(
         {

@@ -14,7 +14,7 @@ from alertflow.plans.tables import sql
 
 plans = Plans()
 NOW = "TIMESTAMP '2024-01-30 12:00:00'"
-RECENT = "recent AS (SELECT * FROM alerts ORDER BY created_at DESC, alert_id LIMIT 1000)"
+RECENT = "recent AS (SELECT * FROM alerts)"
 r6 = lambda c: F.round(c, 6).alias(c)
 
 

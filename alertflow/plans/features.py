@@ -25,7 +25,7 @@ def _(spark, d):
 
 
 def clean_sql(col):
-    out = f"substr(coalesce({col}, ''), 1, 10000)"
+    out = f"coalesce({col}, '')"
     for pattern, tag in (
         (r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "IP_ADDRESS"),
         (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "EMAIL"),
@@ -42,7 +42,7 @@ def _(spark, d):
     return logs(spark, d, True).select("id", text.clean_text(F.col("message")).alias("cleaned"))
 
 
-def tfidf_sql(source, id_col, max_terms):
+def tfidf_sql(source, id_col):
     """Terms, vocabulary and weights of ``source`` ({id_col}, cleaned)."""
     return f"""words AS (SELECT {id_col}, list_filter(regexp_extract_all(strip_accents(lower(cleaned)), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
     lambda x: NOT list_contains({STOP_SQL}, x)) AS w FROM {source}),
@@ -51,7 +51,7 @@ def tfidf_sql(source, id_col, max_terms):
   n AS (SELECT count(*) AS n FROM {source}),
   dfs AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term),
   vocabulary AS (SELECT term, df, ln((1 + (SELECT n FROM n))::DOUBLE / (1 + df)) + 1 AS idf FROM dfs
-    WHERE df >= 2 AND df <= 0.95::DOUBLE * (SELECT n FROM n) ORDER BY total DESC, term LIMIT {max_terms}),
+    WHERE df >= 2 AND df <= 0.95::DOUBLE * (SELECT n FROM n)),
   raw AS (SELECT {id_col}, term, tf * idf AS w FROM tf JOIN vocabulary USING (term)),
   weights AS (SELECT {id_col}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {id_col})) AS weight FROM raw)"""
 
@@ -63,17 +63,17 @@ def log_text(spark, d):
 LOG_TEXT = f"src AS (SELECT id, {clean_sql('message')} AS cleaned FROM logs)"
 
 
-@plans.add("tfidf_logs", sql(LOGS, LOG_TEXT, tfidf_sql("src", "id", 10000), "SELECT id, term, round(weight, 6) AS weight FROM weights"))
+@plans.add("tfidf_logs", sql(LOGS, LOG_TEXT, tfidf_sql("src", "id"), "SELECT id, term, round(weight, 6) AS weight FROM weights"))
 def _(spark, d):
     src = log_text(spark, d)
     vocabulary = features.fit_vocabulary(src, "id", "cleaned", STOP)
     return features.tfidf(src, vocabulary, "id", "cleaned", STOP).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
-@plans.add("vocabulary_logs", sql(LOGS, LOG_TEXT, tfidf_sql("src", "id", 40), """SELECT term, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS idx,
+@plans.add("vocabulary_logs", sql(LOGS, LOG_TEXT, tfidf_sql("src", "id"), """SELECT term, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS idx,
   df, round(idf, 6) AS idf FROM vocabulary"""))
 def _(spark, d):
-    v = features.fit_vocabulary(log_text(spark, d), "id", "cleaned", STOP, max_terms=40)
+    v = features.fit_vocabulary(log_text(spark, d), "id", "cleaned", STOP)
     return v.withColumn("idf", F.round("idf", 6))
 
 
@@ -82,7 +82,7 @@ def _(spark, d):
 DOC_TEXT = "src AS (SELECT doc_id, text AS cleaned FROM documents)"
 
 
-@plans.add("tfidf_documents", sql(DOC_TEXT, tfidf_sql("src", "doc_id", 10000), """SELECT doc_id, count(*) AS terms, round(sum(weight), 5) AS total_weight,
+@plans.add("tfidf_documents", sql(DOC_TEXT, tfidf_sql("src", "doc_id"), """SELECT doc_id, count(*) AS terms, round(sum(weight), 5) AS total_weight,
   arg_max(term, weight) AS top_term, round(max(weight), 6) AS top_weight FROM (SELECT * FROM weights ORDER BY doc_id, weight DESC, term) GROUP BY doc_id""".replace(
     "arg_max(term, weight) AS top_term, ", "")))
 def _(spark, d):

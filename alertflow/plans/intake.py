@@ -60,7 +60,8 @@ def _(spark, d):
 
 
 @plans.add("default_id_and_time", sql(LOGS, FEED, f"""n AS (SELECT *, coalesce(sent_ts, {NOW}) AS t FROM good)""",
-  """SELECT coalesce(sent_id, 'LOG-' || substr(sha256(concat_ws('|', service_name, hostname, sent_level, message, epoch_us(t))), 1, 16)) AS id,
+  """SELECT coalesce(sent_id, 'LOG-' || substr(sha256(concat_ws('|', service_name, hostname, sent_level, message, epoch_us(t),
+    row_number() OVER (PARTITION BY sent_id, service_name, hostname, sent_level, message, t ORDER BY event_id))), 1, 16)) AS id,
   t AS event_ts, message FROM n"""))
 def _(spark, d):
     good, _ = intake.split_malformed(parsed(spark, d))
@@ -94,19 +95,16 @@ def _(spark, d):
     return bad.groupBy("reject_reason").agg(F.count("*").alias("records"))
 
 
-@plans.add("dead_letters", sql(LOGS, FEED, f"""SELECT event_id, k::INTEGER AS k, {NOW} AS rejected_at FROM feed WHERE NOT cut AND (sent_level IS NULL OR sent_level = 'CRITICAL') AND sent_id IS NOT NULL"""))
+@plans.add("dead_letters", sql(LOGS, FEED, f"""SELECT CASE WHEN sent_id IS NOT NULL THEN event_id END AS event_id,
+  CASE WHEN NOT cut THEN k END::INTEGER AS k, CASE WHEN cut THEN 'not a valid record' WHEN sent_level IS NULL THEN 'missing level'
+  ELSE 'unknown level CRITICAL' END AS reject_reason, {NOW} AS rejected_at FROM feed WHERE cut OR sent_level IS NULL OR sent_level = 'CRITICAL'"""))
 def _(spark, d):
     _, bad = intake.split_malformed(parsed(spark, d))
     item = lambda path: F.get_json_object("payload", path)
-    return (
-        intake.dead_letters(bad, as_of())
-        .filter(F.col("reject_reason") != "not a valid record")
-        .select(
-            F.substring(item("$.id"), 5, 20).cast("bigint").alias("event_id"),
-            item("$.metadata.k").cast("int").alias("k"),
-            "rejected_at",
-        )
-        .filter(F.col("event_id").isNotNull())
+    # a payload that was cut short still shows its id
+    sent = F.nullif(F.regexp_extract("payload", r'"id":"log-(\d+)"', 1), F.lit(""))
+    return intake.dead_letters(bad, as_of()).select(
+        sent.cast("bigint").alias("event_id"), item("$.metadata.k").cast("int").alias("k"), "reject_reason", "rejected_at"
     )
 
 
@@ -122,10 +120,15 @@ def _(spark, d):
     return src.tail(build(spark, d), F.to_timestamp_ntz(F.lit("2024-01-25 00:00:00"))).select("alert_id")
 
 
-@plans.add("dedupe_deliveries", sql(LOGS, "SELECT id, event_ts FROM logs"))
+@plans.add("dedupe_deliveries", sql(LOGS, """SELECT id, event_ts, CASE WHEN k % 2 = 0 THEN 'again ' || message ELSE message END AS message FROM logs"""))
 def _(spark, d):
     rows = logs(spark, d)
-    return intake.dedupe(rows.unionByName(rows)).select("id", "event_ts")
+    later = rows.withColumn("event_ts", F.expr("event_ts + INTERVAL '1' SECOND"))
+    altered = rows.withColumn("message", F.concat(F.lit("again "), "message"))
+    k = F.col("line_number") / 5
+    # the later copy loses; of two copies of one time the smaller text wins
+    copies = later.unionByName(rows.filter(k % 2 != 0)).unionByName(altered.filter(k % 2 == 0))
+    return intake.dedupe(copies).select("id", "event_ts", "message")
 
 
 @plans.add("kafka_rows", sql(LOGS, DEFAULT, "SELECT service_name AS key, id, anomaly_score FROM scored_default"))

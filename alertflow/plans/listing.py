@@ -82,7 +82,7 @@ searched("text_search_phrase_without_word",
          "contains(low, 'authentication failed') AND NOT list_has_any(hay, ['order'])",
          lambda i: iq.text_search(i, '"Authentication failed" -order'))
 searched("text_search_limited", "list_has_any(hay, ['timeout']) ORDER BY created_at DESC, alert_id LIMIT 500",
-         lambda i: iq.text_search(i, "timeout", limit=iq.SEARCH_CAPS["staging"]))
+         lambda i: iq.text_search(i, "timeout", limit=500))
 
 
 # -- summaries ---------------------------------------------------------------

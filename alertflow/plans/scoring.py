@@ -226,7 +226,7 @@ def _(spark, d):
 
 @plans.add("result_metadata", sql(LOGS, THREE, """SELECT id, 'isolation_forest,local_outlier_factor,one_class_svm' AS models,
   (a > 0.7::DOUBLE) AS isolation_forest_flag, round(b, 9) AS one_class_svm_score, 12::INTEGER AS feature_count,
-  'f0,f1,f2,f3,f4,f5,f6,f7,f8,f9' AS features_analyzed FROM three"""))
+  'f0,f1,f2,f3,f4,f5,f6,f7,f8,f9,f10,f11' AS features_analyzed FROM three"""))
 def _(spark, d):
     base = logs(spark, d).join(normalised(spark, d), "id")
     flagged = base.withColumns({f"{m}_flag": F.col(m) > F.lit(0.7) for m in scoring.MODELS})

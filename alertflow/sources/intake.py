@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,13 +51,28 @@ def dead_letters(bad: DataFrame, as_of: Column) -> DataFrame:
     return bad.select("payload", "reject_reason", as_of.alias("rejected_at"))
 
 
-def normalise_logs(logs: DataFrame, as_of: Column) -> DataFrame:
-    """Fill a missing time with ``as_of`` and a missing id with a hash of the row, so a replay
-    gives the same ids."""
+def normalise_logs(logs: DataFrame, as_of: Column, position: Column | None = None) -> DataFrame:
+    """Fill a missing time with ``as_of`` and a missing id with a hash that no two records share.
+
+    ``position`` is where a record comes from (topic, partition and offset; file and row; batch): it tells equal records
+    apart and makes a replay give the same ids. In a batch, equal records are also numbered, so ``position`` may be left
+    out or be the same for all. On a stream a record is known by ``position`` and content only.
+    """
     out = logs.withColumn("event_ts", F.coalesce("event_ts", as_of))
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', event_ts)")
-    row = F.concat_ws("|", "service_name", "hostname", "level", "message", micros.cast("string"))
-    return out.withColumn("id", F.coalesce("id", F.concat(F.lit("LOG-"), rules.short_hash(row))))
+    told = [F.coalesce(c, F.lit("\\N")) for c in ("service_name", "hostname", "level", "message")] + [micros.cast("string")]
+    told += [] if position is None else [position.cast("string")]
+    if logs.isStreaming:
+        return out.withColumn("id", F.coalesce("id", _log_id(told)))
+    lacking = out.filter(F.col("id").isNull()).withColumn("_content", F.concat_ws("|", *told))
+    same = Window.partitionBy("_content").orderBy(F.to_json(F.struct(*logs.columns)))
+    lacking = lacking.withColumn("_nth", F.row_number().over(same))
+    named = lacking.withColumn("id", _log_id([F.col("_content"), F.col("_nth").cast("string")]))
+    return out.filter(F.col("id").isNotNull()).unionByName(named.drop("_content", "_nth"))
+
+
+def _log_id(parts: list[Column]) -> Column:
+    return F.concat(F.lit("LOG-"), rules.short_hash(F.concat_ws("|", *parts)))
 
 
 def with_headers(logs: DataFrame) -> DataFrame:
@@ -99,9 +114,13 @@ def partition_by_service(logs: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def dedupe(rows: DataFrame, id_col: str = "id", ts: str = "event_ts", lateness: str | None = None) -> DataFrame:
-    """One row per id. On a stream, state is kept for ``lateness`` behind the watermark."""
+    """One row per id: the earliest delivery, equal times in order of their text.
+
+    On a stream the first to arrive is kept, with state for ``lateness`` behind the watermark.
+    """
     if not rows.isStreaming:
-        return rows.dropDuplicates([id_col])
+        row = F.struct(*rows.columns)
+        return rows.groupBy(id_col).agg(F.min_by(row, F.struct(ts, F.to_json(row))).alias("_first")).select("_first.*")
     if lateness is None:
         raise ValueError("a stream needs a lateness bound")
     clock = rows.withColumn("_wm", F.col(ts).cast("timestamp"))

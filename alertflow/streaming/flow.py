@@ -18,7 +18,10 @@ ONCE = {"availableNow": True}
 
 
 def logs_from_raw(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Good log rows of a raw stream; the arrival time stands in for a missing time."""
+    """Good log rows of a raw stream; the arrival time stands in for a missing time.
+
+    Records without an id and with equal content are one record here; ``start_intake`` keeps them apart.
+    """
     good, _ = intake.split_malformed(intake.ingest_logs(raw, value))
     return intake.normalise_logs(good, F.current_timestamp().cast("timestamp_ntz"))
 
@@ -45,15 +48,15 @@ def run_batches(rows: DataFrame, each: Callable[[DataFrame, int], None], checkpo
 
 def start_intake(raw: DataFrame, logs_path: str, dead_path: str, checkpoint: str, trigger: dict | None = None):
     """Raw records to a log table and a dead-letter table. Each batch owns its folder, so a batch
-    that is replayed after a failure overwrites itself."""
+    that is replayed after a failure overwrites itself. A batch is parsed once for both."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        good, bad = intake.split_malformed(intake.ingest_logs(batch))
+        good, bad = intake.split_malformed(batch)
         now = F.current_timestamp().cast("timestamp_ntz")
-        intake.normalise_logs(good, now).write.mode("overwrite").parquet(f"{logs_path}/batch={batch_id}")
+        intake.normalise_logs(good, now, F.lit(batch_id)).write.mode("overwrite").parquet(f"{logs_path}/batch={batch_id}")
         intake.dead_letters(bad, now).write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
 
-    return run_batches(raw, each, checkpoint, trigger)
+    return run_batches(intake.ingest_logs(raw), each, checkpoint, trigger)
 
 
 def start_routing(emitted: DataFrame, path: str, checkpoint: str, deliveries: str | None = None, trigger: dict | None = None):
@@ -79,7 +82,7 @@ def start_counters(alerts: DataFrame, path: str, checkpoint: str, trigger: dict
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/refresh={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/refresh={batch_id}")
 
     writer = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
     return writer.foreachBatch(each).trigger(**(trigger or EVERY)).start()

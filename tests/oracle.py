@@ -79,7 +79,7 @@ def main(argv):
     sf_dir = next((a for a in argv if "/" in a), "/root/testdata/sf0.01")
     names = [a for a in argv if "/" not in a and not a.startswith("+")]
     modules = [a[1:] for a in argv if a.startswith("+")]
-    spark = get_session("oracle", "local[8]", 8)
+    spark = get_session("oracle", os.environ.get("ORACLE_MASTER", "local[8]"), 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()
