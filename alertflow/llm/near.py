@@ -124,7 +124,7 @@ def unlike(a: Column, b: Column, scheme: Scheme) -> Column:
         differ = None
         for plane in range(scheme.bits):
             at = plane * scheme.words + w
-            x = a.getItem(at).bitwiseXOR(b.getItem(at))
+            x = a[at].bitwiseXOR(b[at])
             differ = x if differ is None else differ.bitwiseOR(x)
         total = total + F.bit_count(differ)
     return total
@@ -148,7 +148,7 @@ def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
 
     Links are found in two steps, so that a bucket of m near copies costs about m rows and not m * m:
 
-    1. every member of a bucket is compared with the smallest and the largest node of the bucket;
+    1. every member of a bucket is compared with the smallest node of the bucket;
     2. in buckets whose members still lie in several components, each member outside the bucket's main component is
        compared with all members of other components. The comparison is a join condition on the packed bits, so only
        pairs that pass the estimate, each in the first band it shares, become rows.
@@ -157,35 +157,31 @@ def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     compared. Both steps confirm on the full sets.
     """
     banded = items.select("node", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
-    members = saved(banded.join(buckets.where(F.col("low") < F.col("high")), "key"), "buckets")
-    pairs = (
-        members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")),
-                                         F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p"))
-        .select("p.*").where(F.col("a") < F.col("b")).distinct()
-    )
+    buckets = banded.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n"))
+    members = saved(banded.join(buckets.where(F.col("n") > 1), "key"), "buckets")
+    pairs = members.where(F.col("low") < F.col("node")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     bits = items.select("node", "planes")
     first = bits.select(F.col("node").alias("a"), F.col("planes").alias("planes_a"))
     second = bits.select(F.col("node").alias("b"), F.col("planes").alias("planes_b"))
     alike = unlike(F.col("planes_a"), F.col("planes_b"), scheme) <= scheme.most_unlike
     pairs = saved(pairs.join(first, "a").join(second, "b").where(alike).select("a", "b"), "pairs")
-    sets = saved(sets_of(members.where(F.col("n") > 3).select("node").union(pairs.select("a")).union(pairs.select("b"))
+    sets = saved(sets_of(members.where(F.col("n") > 2).select("node").union(pairs.select("a")).union(pairs.select("b"))
                          .distinct()), "sets")
     links = saved(confirm(pairs, sets, scheme.percent), "links")
     roots = saved(components(links), "roots")
 
-    large = members.where(F.col("n") > 3)
+    large = members.where(F.col("n") > 2)
     large = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = large.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
-    open_ = large.join(main.where(F.col("roots") > 1), "key").where((F.col("node") != F.col("low")) & (F.col("node") != F.col("high")))
+    open_ = large.join(main.where(F.col("roots") > 1), "key").where(F.col("node") != F.col("low"))
     open_ = cut(open_.join(items, "node").select("key", "node", "root", "main", "planes", "keys"))
     p = open_.where(F.col("root") != F.col("main")).select(*(F.col(c).alias(f"{c}_p") for c in open_.columns))
     q = open_.select(*(F.col(c).alias(f"{c}_q") for c in open_.columns if c != "main"))
     band = F.col("key_p").bitwiseAND(F.lit(255)).cast("int")
     seen = F.exists(
         F.sequence(F.lit(0), F.greatest(band - 1, F.lit(0))),
-        lambda i: (i < band) & (F.col("keys_p").getItem(i) == F.col("keys_q").getItem(i)),
+        lambda i: (i < band) & (F.get("keys_p", i) == F.get("keys_q", i)),
     )
     rest = p.join(
         q,

@@ -137,7 +137,7 @@ def test_runs_merge_over_small_batches():
 
 
 def line_set(line):
-    return {line[m.start() : m.start() + 16] for m in re.finditer(r"(?<![ \t-\r])[^ \t-\r]", line)}
+    return {line[m.start() : m.start() + 16] for m in re.finditer(r"(?<![^ \t-\r])[^ \t-\r]", line)}
 
 
 def brute_lines(rows):
