@@ -185,19 +185,22 @@ def square_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def nearest(x: np.ndarray, ref: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions and exact distances of the ``k`` nearest reference rows, ties by position.
 
-    A slightly larger candidate set is picked from the fast distances and measured
-    again by differences, so equal rows come out at distance zero.
+    The fast distances only exclude: every row up to the k-th of them and a rounding margin is measured again by
+    differences, so equal rows come out at distance zero however many there are.
     """
     rough = square_distances(x, ref)
     if own is not None:
         rough[np.arange(len(x)), own] = np.inf
     k = min(k, len(ref) - (own is not None))
-    wide = min(k + 8, len(ref) - (own is not None))
-    at = np.argpartition(rough, wide - 1, axis=1)[:, :wide] if wide < len(ref) else np.argsort(rough, axis=1)
-    at = np.sort(at, axis=1)
-    exact = np.sqrt(((x[:, None, :] - ref[at]) ** 2).sum(axis=2))
-    order = np.argsort(exact, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(at, order, axis=1), np.take_along_axis(exact, order, axis=1)
+    scale = (x * x).sum(axis=1) + (ref * ref).sum(axis=1).max(initial=0.0)
+    reach = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (1.0 + scale)
+    at, exact = np.empty((len(x), k), dtype=np.int64), np.empty((len(x), k))
+    for i, row in enumerate(rough):
+        near = np.flatnonzero(row <= reach[i])
+        d = np.sqrt(((x[i] - ref[near]) ** 2).sum(axis=1))
+        first = np.argsort(d, kind="stable")[:k]
+        at[i], exact[i] = near[first], d[first]
+    return at, exact
 
 
 def in_chunks(x: np.ndarray, fn) -> np.ndarray:

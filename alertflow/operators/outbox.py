@@ -18,6 +18,9 @@ CHAT_MESSAGE = (
     "*Score:* {{ anomalyScore }}\n"
     "*Time:* {{ createdAt }}\n"
 )
+HTML_HEAD = "<html><body><h2>Alert Notification</h2><table border='1' cellpadding='5' cellspacing='0'>"
+HTML_ROW = ("<tr><td><b>{}:</b></td><td>", "</td></tr>")
+HTML_TAIL = "</table></body></html>"
 CHAT_USER = "alertflow"
 CHAT_ICON = ":warning:"
 # Channel settings when nothing else is given.
@@ -40,6 +43,19 @@ def iso_created() -> Column:
     return F.concat(whole, fraction)
 
 
+def java_created() -> Column:
+    """Local time as Java prints it: no seconds when they are zero, else the fraction in groups of three digits."""
+    us = F.date_format("created_at", "SSSSSS")
+    seconds = F.date_format("created_at", ":ss")
+    tail = (
+        F.when((us == "000000") & (seconds == ":00"), F.lit(""))
+        .when(us == "000000", seconds)
+        .when(F.endswith(us, F.lit("000")), F.concat(seconds, F.lit("."), F.substring(us, 1, 3)))
+        .otherwise(F.concat(seconds, F.lit("."), us))
+    )
+    return F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm"), tail)
+
+
 def recipients(addresses: Column) -> Column:
     return F.filter(F.transform(F.split(addresses, ","), lambda a: F.trim(a)), lambda a: a != "")
 
@@ -68,7 +84,7 @@ def html_body() -> Column:
     """Two-column table; host and pod rows only where known."""
 
     def row(label: str, value: Column) -> Column:
-        return F.concat(F.lit(f"<tr><td><b>{label}:</b></td><td>"), rules.text_or_null(value), F.lit("</td></tr>"))
+        return F.concat(F.lit(HTML_ROW[0].format(label)), rules.text_or_null(value), F.lit(HTML_ROW[1]))
 
     def optional(label: str, col: str) -> Column:
         return F.when(F.col(col).isNotNull(), row(label, F.col(col))).otherwise(F.lit(""))
@@ -80,14 +96,14 @@ def html_body() -> Column:
         "Title": F.col("title"),
         "Description": F.col("description"),
         "Anomaly Score": score_text(),
-        "Time": iso_created(),
+        "Time": java_created(),
     }
     return F.concat(
-        F.lit("<html><body><h2>Alert Notification</h2><table border='1' cellpadding='5' cellspacing='0'>"),
+        F.lit(HTML_HEAD),
         *[row(k, v) for k, v in shown.items()],
         optional("Host", "hostname"),
         optional("Pod", "pod_name"),
-        F.lit("</table></body></html>"),
+        F.lit(HTML_TAIL),
     )
 
 
@@ -142,7 +158,8 @@ def fan_out_channels(alerts: DataFrame, channels: Sequence[Mapping] = CHANNELS)
 def build_outbox(deliveries: DataFrame, channels: Sequence[Mapping] = CHANNELS) -> DataFrame:
     """Rendered messages, once per (alert, channel) even where an alert sits in two queues."""
     mail = F.col("channel") == "EMAIL"
-    rows = fan_out_channels(deliveries, channels).withColumns(
+    # keys first, so that no rendered text is shuffled
+    rows = fan_out_channels(deliveries.dropDuplicates(["alert_id"]), channels).withColumns(
         {
             "subject": F.when(mail, subject()),
             "body": F.when(mail, html_body()).otherwise(chat_message()),
@@ -151,7 +168,7 @@ def build_outbox(deliveries: DataFrame, channels: Sequence[Mapping] = CHANNELS)
             "next_attempt_at": F.col("created_at"),
         }
     )
-    return rows.dropDuplicates(["alert_id", "channel"])
+    return rows
 
 
 def after_attempt(
@@ -164,12 +181,16 @@ def after_attempt(
     """Next outbox state from (alert_id, channel, queue, delivered, attempted_at).
 
     Normal queues drop a message after its last retry; critical ones keep it queued.
+    Of several outcomes of one message (an alert may sit in two queues) a delivery
+    wins, then a critical queue, then the latest attempt: one attempt, one row.
     """
-    joined = outbox.join(
-        outcomes.select("alert_id", "channel", F.col("queue").alias("_queue"), "delivered", "attempted_at"),
-        ["alert_id", "channel"],
-        "left",
+    urgent = (F.col("queue") == "critical-alerts").cast("int")
+    best = F.max_by(
+        F.struct(F.col("queue").alias("_queue"), "delivered", "attempted_at"),
+        F.struct(F.col("delivered"), urgent, F.col("attempted_at")),
     )
+    once_each = outcomes.groupBy("alert_id", "channel").agg(best.alias("_o")).select("alert_id", "channel", "_o.*")
+    joined = outbox.join(once_each, ["alert_id", "channel"], "left")
     return joined.select(
         *[c for c in outbox.columns if c not in ("status", "attempts", "next_attempt_at")],
         *retry_state(max_attempts, first_s, max_s),

@@ -46,8 +46,10 @@ def _(spark, d):
   || '<tr><td><b>Alert ID:</b></td><td>' || alert_id || '</td></tr><tr><td><b>Service:</b></td><td>' || service_name
   || '</td></tr><tr><td><b>Severity:</b></td><td>' || severity || '</td></tr><tr><td><b>Title:</b></td><td>' || title
   || '</td></tr><tr><td><b>Description:</b></td><td>' || description || '</td></tr><tr><td><b>Anomaly Score:</b></td><td>'
-  || printf('%.3f', anomaly_score) || '</td></tr><tr><td><b>Time:</b></td><td>'
-  || regexp_replace(strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || '</td></tr><tr><td><b>Host:</b></td><td>'
+  || printf('%.3f', anomaly_score) || '</td></tr><tr><td><b>Time:</b></td><td>' || strftime(created_at, '%Y-%m-%dT%H:%M')
+  || CASE WHEN epoch_us(created_at) % 60000000 = 0 THEN '' WHEN epoch_us(created_at) % 1000000 = 0 THEN strftime(created_at, ':%S')
+    WHEN epoch_us(created_at) % 1000 = 0 THEN left(strftime(created_at, ':%S.%f'), 7) ELSE strftime(created_at, ':%S.%f') END
+  || '</td></tr><tr><td><b>Host:</b></td><td>'
   || hostname || '</td></tr></table></body></html>' AS body FROM alerts"""))
 def _(spark, d):
     return build(spark, d).select("alert_id", outbox.html_body().alias("body"))
@@ -98,6 +100,12 @@ def _(spark, d):
         (n % 3 == 0).alias("delivered"),
         (F.col("created_at") + F.expr("INTERVAL '1' MINUTE")).alias("attempted_at"),
     )
+    # the same message failed in a second queue earlier; it still has one outcome
+    earlier = outcomes.withColumns(
+        {"queue": F.lit("notifications"), "delivered": F.lit(False),
+         "attempted_at": F.col("attempted_at") - F.expr("INTERVAL '30' SECOND")}
+    )
+    outcomes = outcomes.unionByName(earlier)
     return outbox.after_attempt(box, outcomes).select("alert_id", "status", "attempts", "next_attempt_at")
 
 
