@@ -1,20 +1,30 @@
 """Duplicate suppression and per-service caps over whole alert tables.
 
-The decision for an alert depends on the last *emitted* alert, so it is a
-sequential walk per key. To run it wide, and with a key that holds a large part
-of the rows, the work is cut along (key, time) ranges:
+The decision for an alert depends on the last *emitted* alert. Without a cap
+every alert has one successor, the first alert of its fingerprint at least a
+window later, whatever happened before. Successors are found inside time buckets
+of one window, and the emitted alerts are those that a chain of successors
+reaches from the first alert after a pause of a window. Pointer doubling follows
+chains of n alerts in log n joins, so a fingerprint that repeats evenly and holds
+a large part of all rows needs no walk at all (``emitted_chain``).
+
+A cap links the fingerprints of a service, so there the rows are walked. To run
+it wide, and with a key that holds a large part of the rows, the work is cut
+along (key, time) ranges:
 
 1. rows shrink to one candidate per (key, fingerprint, instant);
 2. the candidates are range-partitioned by (key, time), so a hot key spreads
    over many partitions, and are written to the checkpoint folder once;
-3. every partition is walked in parallel as if nothing had happened before it,
-   one Arrow batch at a time, and reports the little state it leaves behind;
-4. partitions that begin inside a key whose earlier state turns out to matter
-   are walked again with that state until nothing changes.
-
-Only the state summaries (a handful of entries per partition) reach the driver.
-State dies after ``window_s`` and counters at each reset, so step 4 normally
-needs one short extra pass.
+3. every partition is walked in parallel, one Arrow batch at a time, starting
+   from the state that the alerts before it would leave if no cap applied, and
+   reports the little state it leaves behind;
+4. partitions that turn out to start from another state are walked again with
+   that state until nothing changes.
+
+Only the state summaries (live fingerprints and a counter per partition) reach
+the driver. Where the cap does not bind the first state is already right; where
+it binds, it is forgotten at the next reset. Step 4 is long only for a service
+that changes between the two again and again over many resets.
 """
 
 from __future__ import annotations
@@ -25,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertflow.functions import rules
@@ -140,10 +150,63 @@ def _walker(window: int, cap: int | None, reset: int, incoming: dict[int, dict],
     return run
 
 
-def _settle(chunks: DataFrame, window: int, cap: int | None, reset: int) -> dict[int, dict]:
+def emitted_chain(rows: DataFrame, window: int) -> DataFrame:
+    """(fp, t) of the emitted alerts without a cap, from distinct (fp, t) in microseconds; nothing is walked."""
+    rows = cut_lineage(rows.select("fp", "t", F.expr(f"t div {window}").alias("b")))
+    edges = rows.groupBy("fp", "b").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    shifted = lambda n, col: edges.select("fp", (F.col("b") + n).alias("b"), F.col(col).alias(f"{col}_{n}"))
+    # a successor lies in the next bucket, behind the alert's own place there, or is the first of the one after;
+    # if both lack one, a pause of a window follows and the chain starts anew
+    probes = rows.select("fp", (F.col("t") + window).alias("at"), (F.col("b") + 1).alias("b"), F.col("t").alias("of"))
+    both = rows.select("fp", F.col("t").alias("at"), "b", F.lit(None).cast("bigint").alias("of")).unionByName(probes)
+    later = Window.partitionBy("fp", "b").orderBy(F.desc("at"), F.col("of").asc_nulls_first())
+    seen = F.last(F.when(F.col("of").isNull(), F.col("at")), ignorenulls=True)
+    found = both.withColumn("n", seen.over(later.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("of").isNotNull())
+    following = edges.select("fp", (F.col("b") - 1).alias("b"), F.col("low").alias("next_low"))
+    jump = found.join(following, ["fp", "b"], "left").select("fp", F.col("of").alias("t"), F.coalesce("n", "next_low").alias("n"))
+    jump = cut_lineage(jump.filter(F.col("n").isNotNull()))
+
+    inside = Window.partitionBy("fp", "b").orderBy("t")
+    before = F.coalesce(F.lag("t").over(inside), F.col("high_1"))
+    heads = rows.join(shifted(1, "high"), ["fp", "b"], "left").withColumn("p", before)
+    reached = heads.filter(F.col("p").isNull() | (F.col("t") - F.col("p") >= window)).select("fp", "t")
+    reached = cut_lineage(reached)
+    while True:
+        fresh = cut_lineage(reached.join(jump, ["fp", "t"]).select("fp", F.col("n").alias("t")))
+        if fresh.isEmpty():
+            return reached
+        reached = cut_lineage(reached.unionByName(fresh))
+        twice = jump.select("fp", F.col("t").alias("n"), F.col("n").alias("nn"))
+        jump = cut_lineage(jump.join(twice, ["fp", "n"]).select("fp", "t", F.col("nn").alias("n")))
+
+
+def _expected(chunks: DataFrame, window: int, cap: int, reset: int) -> dict[int, dict]:
+    """State at the start of each partition if no cap applied before it."""
+    if not window:
+        return {}
+    first = chunks.groupBy("chunk").agg(F.min(F.struct("k", "t")).alias("f"))
+    first = first.select("chunk", F.col("f.k").alias("k"), F.col("f.t").alias("first_t"))
+    emitted = emitted_chain(chunks.select("fp", "t").distinct(), window)
+    emitted = chunks.select("k", "fp", "t").distinct().join(emitted, ["fp", "t"], "left_semi")
+    slot = F.expr(f"first_t div {reset}")
+    live = F.col("t") > F.col("first_t") - window
+    counted = F.expr(f"t div {reset}") == slot
+    near = emitted.join(first, "k").filter((F.col("t") < F.col("first_t")) & (live | counted))
+    per_fp = near.groupBy("chunk", "first_t", "fp").agg(F.max(F.when(live, F.col("t"))).alias("last"), F.count_if(counted).alias("n"))
+    state = per_fp.groupBy("chunk", "first_t").agg(
+        F.collect_list(F.when(F.col("last").isNotNull(), F.struct("fp", "last"))).alias("last"), F.sum("n").alias("n")
+    )
+    out = {}
+    for r in state.collect():
+        left = {"last": {x["fp"]: x["last"] for x in r["last"]}, "slot": r["first_t"] // reset, "count": min(int(r["n"]), cap)}
+        out[r["chunk"]] = _relevant(left, r["first_t"], window, cap, reset)
+    return out
+
+
+def _settle(chunks: DataFrame, window: int, cap: int, reset: int) -> dict[int, dict]:
     """Left-over state each partition must start from, found by repeated parallel passes."""
     schema = "chunk int, first_k string, last_k string, first_t bigint, state string"
-    used: dict[int, dict] = {}
+    used = _expected(chunks, window, cap, reset)
     ends: dict[int, tuple] = {}
     todo = None
     while todo is None or todo:
@@ -183,6 +246,13 @@ def decide(
     first = named.groupBy("k", "fp", "t").agg(F.min("id").alias("id"))
     if window_s == 0:
         first = named.select("k", "fp", "t", "id").distinct()
+    if cap is None:
+        if window_s == 0:
+            return first.withColumn("decision", F.lit(EMITTED))
+        first = cut_lineage(first)
+        emitted = emitted_chain(first.select("fp", "t"), window).withColumn("_e", F.lit(True))
+        decision = F.when(F.col("_e"), F.lit(EMITTED)).otherwise(F.lit(SUPPRESSED))
+        return first.join(emitted, ["fp", "t"], "left").select("k", "fp", "t", "id", decision.alias("decision"))
     chunks = cut_lineage(
         (first.repartitionByRange(partitions, "k", "t") if partitions else first.repartitionByRange("k", "t"))
         .sortWithinPartitions("k", "t", "id")

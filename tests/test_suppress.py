@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,32 @@ def test_rows_that_refuse_suppression(spark):
     got = labels(suppress.label_alerts(df, 300, 2))
     assert got == {"a": "emitted", "b": "emitted", "c": "limited", "d": "suppressed"}
     assert labels(suppress.label_alerts(df, 300, None))["c"] == "emitted"
+
+
+def jobs_of(spark, fn):
+    group = str(uuid.uuid4())
+    spark.sparkContext.setJobGroup(group, "count")
+    try:
+        fn()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("cap", [None, 10_000])
+def test_even_repeats_of_one_fingerprint_need_no_long_walk(spark, cap):
+    """One alert per second: the chains of neighbouring ranges never meet, so a walk would take a pass per range."""
+    n = 6_000
+    rows = spark.range(n).select(
+        F.concat(F.lit("a"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("alert_id"), F.lit("hot").alias("service_name"),
+        F.lit("f").alias("fingerprint"), F.expr("timestamp_ntz'2024-01-01 00:00:07' + make_dt_interval(0, 0, 0, id)").alias("created_at"),
+    )
+    want = {f"a{k:06d}" for k in range(0, n, 300)}
+    counts = {}
+    for parts in (8, 32):
+        got = []
+        counts[parts] = jobs_of(
+            spark, lambda: got.extend(r.alert_id for r in suppress.emit(rows, 300, cap, partitions=parts).collect())
+        )
+        assert set(got) == want and len(got) == len(want)
+    assert counts[32] <= counts[8] + 2
