@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,12 @@ def limit_actions(planned: DataFrame, cooldown_s: int, per_hour: int) -> DataFra
     return suppress.emit(keyed, cooldown_s, per_hour, key="_target", fingerprint="_target").drop("_target")
 
 
+def limit_all(planned: DataFrame, limits: Mapping[str, tuple[int, int]] = LIMITS) -> DataFrame:
+    """Every kind of action under its own cooldown and hourly bound."""
+    parts = [limit_actions(planned.filter(F.col("action_type") == kind), *bound) for kind, bound in limits.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def target_replicas(current: Column, wanted: Column) -> Column:
     """Wanted size within the fixed bounds and at most ``MAX_FACTOR`` times the current one."""
     upper = F.least(F.lit(MAX_REPLICAS), current * MAX_FACTOR)

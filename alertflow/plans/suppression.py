@@ -12,13 +12,13 @@ from alertflow.plans.tables import sql
 plans = Plans()
 
 
-def walk_sql(source: str, key: str, fp: str, window_s: int, cap: int) -> str:
+def walk_sql(source: str, key: str, fp: str, window_s: int, cap: int, out: str = "decided") -> str:
     """Decision per row of ``source`` (alert_id, created_at): state is carried row by row."""
-    return f"""numbered AS (SELECT alert_id, {key} AS k, {fp} AS f, created_at AS t,
+    return f"""numbered_{out} AS (SELECT alert_id, {key} AS k, {fp} AS f, created_at AS t,
   row_number() OVER (PARTITION BY {key} ORDER BY created_at, alert_id) AS rn FROM {source}),
-steps AS (
+steps_{out} AS (
   SELECT DISTINCT k, 0::BIGINT AS rn, MAP {{}}::MAP(VARCHAR, TIMESTAMP) AS seen, -1::BIGINT AS slot, 0 AS cnt,
-    NULL::VARCHAR AS alert_id, NULL::VARCHAR AS decision FROM numbered
+    NULL::VARCHAR AS alert_id, NULL::VARCHAR AS decision FROM numbered_{out}
   UNION ALL
   SELECT k, rn, CASE WHEN d = 'emitted' THEN map_concat(seen, MAP {{f: t}}) ELSE seen END, slot,
     cnt + (d = 'emitted')::INT, alert_id, d
@@ -26,8 +26,8 @@ steps AS (
       WHEN cnt >= {cap} THEN 'limited' ELSE 'emitted' END AS d
     FROM (SELECT n.k, n.rn, n.f, n.t, n.alert_id, s.seen, epoch_us(n.t) // 3600000000 AS slot,
         CASE WHEN epoch_us(n.t) // 3600000000 = s.slot THEN s.cnt ELSE 0 END AS cnt
-      FROM steps s JOIN numbered n ON n.k = s.k AND n.rn = s.rn + 1))),
-decided AS (SELECT alert_id, decision FROM steps WHERE alert_id IS NOT NULL)"""
+      FROM steps_{out} s JOIN numbered_{out} n ON n.k = s.k AND n.rn = s.rn + 1))),
+{out} AS (SELECT alert_id, decision FROM steps_{out} WHERE alert_id IS NOT NULL)"""
 
 
 def chain_sql(window_s: int) -> str:
@@ -78,7 +78,10 @@ def planned(spark, d):
 
 
 @plans.add("action_cooldown", sql(*BASE, PLANNED, "restarts AS (SELECT * FROM planned WHERE action_type = 'POD_RESTART')",
-    walk_sql("restarts", "service_name", "service_name", 900, 3), "SELECT alert_id FROM decided WHERE decision = 'emitted'"))
+    "grown AS (SELECT * FROM planned WHERE action_type = 'SERVICE_SCALE_UP')",
+    walk_sql("restarts", "service_name", "service_name", 900, 3, "kept_restarts"),
+    walk_sql("grown", "service_name", "service_name", 600, 10, "kept_grown"),
+    """SELECT alert_id, 'POD_RESTART' AS action_type FROM kept_restarts WHERE decision = 'emitted'
+  UNION ALL SELECT alert_id, 'SERVICE_SCALE_UP' FROM kept_grown WHERE decision = 'emitted'"""))
 def _(spark, d):
-    restarts = planned(spark, d).filter(F.col("action_type") == "POD_RESTART")
-    return responder.limit_actions(restarts, *responder.LIMITS["POD_RESTART"]).select("alert_id")
+    return responder.limit_all(planned(spark, d)).select("alert_id", "action_type")
