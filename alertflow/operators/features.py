@@ -241,13 +241,15 @@ def rolling_features(
     value: str = "duration_ms",
     minutes: Sequence[int] = WINDOWS_MINUTES,
     key: str = "service_name",
-    bucket_s: int = 21_600,
+    bucket_s: int = 7_200,
 ) -> DataFrame:
     """Count, mean, deviation and maximum of ``value`` over the last minutes of each service.
 
     Rows are windowed inside time buckets so that a busy service spreads over many
     tasks. A row near the end of its bucket is also sent to the next one as
-    context, which keeps every frame complete.
+    context, which keeps every frame complete. All frames start at the bucket's
+    beginning, so they are running values: the work grows with the rows, not with
+    the rows in a window.
     """
     reach = max(minutes) * 60
     if reach > bucket_s:
@@ -258,15 +260,52 @@ def rolling_features(
     near_end = (F.col("_own") + 1) * width - F.col("_us") <= reach * 1_000_000
     context = F.when(near_end, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))
     spread = placed.withColumn("_bucket", F.explode(context))
-    v = F.col(value).cast("double")
-    made = {}
+    # sums are taken around the bucket's mean, so that differences of running sums keep their digits
+    whole = Window.partitionBy(key, "_bucket")
+    spread = spread.withColumn("_v", F.col(value).cast("double"))
+    spread = spread.withColumn("_c", F.coalesce(F.avg("_v").over(whole), F.lit(0.0))).withColumn("_d", F.col("_v") - F.col("_c"))
+    terms = {"rows": F.count("*"), "n": F.count("_d"), "s": F.sum("_d"), "q": F.sum(F.col("_d") * F.col("_d"))}
+    out, order = spread, Window.partitionBy(key, "_bucket").orderBy("_us")
     for m in minutes:
-        w = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-m * 60_000_000, 0)
-        made[f"count_{m}m"] = F.count("*").over(w)
-        made[f"mean_{m}m"] = F.avg(v).over(w)
-        made[f"std_{m}m"] = F.stddev_samp(v).over(w)
-        made[f"max_{m}m"] = F.max(v).over(w)
-    return spread.withColumns(made).filter(F.col("_bucket") == F.col("_own")).drop("_us", "_own", "_bucket")
+        upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        past = order.rangeBetween(Window.unboundedPreceding, -m * 60_000_000 - 1)
+        got = {n: F.coalesce(f.over(upto), F.lit(0)) - F.coalesce(f.over(past), F.lit(0)) for n, f in terms.items()}
+        out = out.withColumns({f"_{n}_{m}": c for n, c in got.items()} | {f"_noise_{m}": terms["q"].over(upto) * F.lit(1e-13)})
+    for m in minutes:
+        n, s = F.col(f"_n_{m}"), F.col(f"_s_{m}")
+        # a spread below the rounding of the running sums is none
+        left = F.col(f"_q_{m}") - s * s / n
+        spare = F.when(left > F.col(f"_noise_{m}"), left).otherwise(F.lit(0.0))
+        out = out.withColumns(
+            {
+                f"count_{m}m": F.col(f"_rows_{m}"),
+                f"mean_{m}m": F.when(n > 0, F.col("_c") + s / n),
+                f"std_{m}m": F.when(n > 1, F.sqrt(spare / (n - 1))),
+            }
+        ).drop(*[f"_{x}_{m}" for x in (*terms, "noise")])
+    for m in minutes:
+        out = _window_max(out, key, m)
+    names = [f"{x}_{m}m" for m in minutes for x in ("count", "mean", "std", "max")]
+    return out.filter(F.col("_bucket") == F.col("_own")).select(*logs.columns, *names)
+
+
+def _window_max(rows: DataFrame, key: str, minutes: int) -> DataFrame:
+    """Largest ``_v`` of the last minutes from two running maxima, whatever the number of rows in the window.
+
+    Time is cut into blocks as long as the window, so a window is the start of its own block and the end of the one
+    before. A row is sent to its own block and, as context, to the next; there, rows are ordered by their place in the
+    block, forwards for the one part and backwards for the other.
+    """
+    width = minutes * 60_000_000
+    block = F.floor(F.col("_us") / width)
+    both = rows.withColumn("_block", F.explode(F.array(block, block + 1)))
+    both = both.withColumns({"_now": F.col("_block") == block, "_at": F.col("_us") - block * width})
+    group = Window.partitionBy(key, "_bucket", "_block")
+    forwards = group.orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    backwards = group.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.max(F.when(F.col("_now"), F.col("_v"))).over(forwards)
+    before = F.max(F.when(~F.col("_now"), F.col("_v"))).over(backwards)
+    return both.withColumn(f"max_{minutes}m", F.greatest(own, before)).filter("_now").drop("_block", "_now", "_at")
 
 
 def template_counts(logs: DataFrame) -> DataFrame:

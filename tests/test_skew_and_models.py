@@ -50,6 +50,22 @@ def test_rolling_features_across_buckets(spark):
                 assert got[i][f"std_{m}m"] == pytest.approx(np.std(near, ddof=1))
 
 
+def test_rolling_features_of_a_dense_hour(spark):
+    """A sliding frame that is summed anew for each row would take minutes here."""
+    n = 200_000
+    df = spark.range(n).select(
+        F.lit("hot").alias("service_name"), F.col("id"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 0.018)").alias("event_ts"),
+        (F.col("id") % 1000).cast("double").alias("duration_ms"),
+    )
+    last = features.rolling_features(df).filter(F.col("id") == n - 1).first()
+    k = 60 * 1000 // 18 + 1
+    near = [float(i % 1000) for i in range(n - k, n)]
+    assert last["count_1m"] == k and last["max_1m"] == 999.0
+    assert last["mean_1m"] == pytest.approx(np.mean(near)) and last["std_1m"] == pytest.approx(np.std(near, ddof=1))
+    assert last["count_60m"] == n
+
+
 def test_service_order_spreads_a_hot_service(spark):
     df = spark.range(4000).select(
         F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, "b").otherwise("hot").alias("service_name"),
