@@ -16,7 +16,7 @@ from alertflow.llm.near import Scheme, near_components, pick
 #: Characters of a shingle. One starts at every word of the line, so an edit moves no other shingle.
 SHINGLE = 16
 #: Similarity of 0.8 of the shingle sets. A pair at 0.8 shares one of the bands with 98.5 %, at 0.9 with 99.98 %.
-SCHEME = Scheme(percent=80, rows=4, bands=8, bits=4, slack=4.0)
+SCHEME = Scheme(percent=80, rows=4, bands=8, bits=4, slack=4.0, small_sets=True)
 
 
 def shingles(line: Column, n: int = SHINGLE) -> Column:

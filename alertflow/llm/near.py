@@ -32,6 +32,8 @@ class Scheme:
     seed: int = 11
     #: Standard deviations by which an estimate may fall short before its pair is given up.
     slack: float = 5.5
+    #: Sets are small enough to travel with their bands, so that the second step confirms inside its join.
+    small_sets: bool = False
 
     @property
     def k(self) -> int:
@@ -135,9 +137,12 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     both = pairs.join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    found = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
-    return found.where(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select("a", "b")
+    return both.where(similar(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
+
+
+def similar(a: Column, b: Column, percent: int) -> Column:
+    """(100 + percent) * intersection >= percent * sum of the sizes, which is the Jaccard condition."""
+    return (100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b))
 
 
 def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scheme: Scheme) -> DataFrame:
@@ -154,7 +159,8 @@ def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
        pairs that pass the estimate, each in the first band it shares, become rows.
 
     Pairs inside one component need no further look, as they cannot change the result; all others that share a band are
-    compared. Both steps confirm on the full sets.
+    compared. Both steps confirm on the full sets; where sets are small, the second does so in the join condition itself,
+    and only links become rows.
     """
     banded = items.select("node", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n"))
@@ -175,7 +181,8 @@ def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     sizes = large.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
     open_ = large.join(main.where(F.col("roots") > 1), "key").where(F.col("node") != F.col("low"))
-    open_ = cut(open_.join(items, "node").select("key", "node", "root", "main", "planes", "keys"))
+    open_ = open_.join(items, "node").select("key", "node", "root", "main", "planes", "keys")
+    open_ = cut(open_.join(sets, "node") if scheme.small_sets else open_)
     p = open_.where(F.col("root") != F.col("main")).select(*(F.col(c).alias(f"{c}_p") for c in open_.columns))
     q = open_.select(*(F.col(c).alias(f"{c}_q") for c in open_.columns if c != "main"))
     band = F.col("key_p").bitwiseAND(F.lit(255)).cast("int")
@@ -183,15 +190,17 @@ def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         F.sequence(F.lit(0), F.greatest(band - 1, F.lit(0))),
         lambda i: (i < band) & (F.get("keys_p", i) == F.get("keys_q", i)),
     )
+    enough = similar(F.col("set_p"), F.col("set_q"), scheme.percent) if scheme.small_sets else F.lit(True)
     rest = p.join(
         q,
         (F.col("key_p") == F.col("key_q"))
         & (F.col("root_p") != F.col("root_q"))
         & ((F.col("root_q") == F.col("main_p")) | (F.col("node_p") < F.col("node_q")))
         & (unlike(F.col("planes_p"), F.col("planes_q"), scheme) <= scheme.most_unlike)
-        & ~seen,
+        & ~seen
+        & enough,
     ).select(F.least("node_p", "node_q").alias("a"), F.greatest("node_p", "node_q").alias("b")).distinct()
-    more = saved(confirm(rest, sets, scheme.percent), "links")
+    more = saved(rest if scheme.small_sets else confirm(rest, sets, scheme.percent), "links")
     if more.isEmpty():
         return roots
     # the components found so far stand for their members

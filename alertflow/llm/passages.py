@@ -15,12 +15,12 @@ from alertflow.llm.common import SLICE, byte_rows, narrow, saved
 from alertflow.llm.near import Scheme, Signer, near_components, pick
 
 #: Words of a shingle and least words of a paragraph.
-SHINGLE, LEAST_WORDS = 5, 32
+SHINGLE, LEAST_WORDS = 5, 50
 #: Words of a passage that is compared verbatim, and positions among which one passage starts. Whatever text repeats
 #: over PASSAGE + REACH - 1 = 50 words holds such a passage at the same place in every copy.
 PASSAGE, REACH = 32, 19
 #: High recall: a pair of paragraphs at similarity 0.8 shares one of the bands with 99.2 %, at 0.9 with more than 99.99 %.
-SCHEME = Scheme(percent=80, rows=5, bands=12, bits=4)
+SCHEME = Scheme(percent=80, rows=5, bands=12, bits=4, small_sets=True)
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 SPOT = "kind string, doc_id long, start int, end int, node long, proof long, planes array<long>, keys array<long>"
@@ -131,7 +131,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``doc_id``, ``kind``, ``start`` and ``end`` (in the text's UTF-8 bytes), ``keep_doc`` and ``keep_start`` (the place
     that stays of its group), ``kept``.
 
-    * ``paragraph``: lines of at least 32 words. Candidates share a MinHash band, links are confirmed on the full sets of
+    * ``paragraph``: lines of at least 50 words. Candidates share a MinHash band, links are confirmed on the full sets of
       5-word shingles (similarity 0.8 or more), groups are the components of the links.
     * ``passage``: verbatim runs (blanks and A-Z case aside) of 32 words or more anywhere in a text, also inside a
       paragraph or across lines. Passages start where the hash of the next words is least among 19 neighbours, which
@@ -167,7 +167,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     columns = ["doc_id", "kind", "start", "end", "keep_doc", "keep_start"]
     paragraphs = _first_of(grouped, ["group", "proof"]).withColumn("kind", F.lit("paragraph")).select(*columns)
 
+    # most passages are found once: they go by their 64-bit name alone, the rest is then told apart by both
     places = spots.where(F.col("kind") == "passage").select("doc_id", "start", "end", "node", "proof")
+    again = places.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    again = again.where(F.col("low") < F.col("high")).select("node")
+    place = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("end").cast("long"))
+    places = places.select("doc_id", place.alias("place"), "node", "proof").join(again, "node")
+    start, end = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    places = saved(places.select("doc_id", start.alias("start"), end.alias("end"), "node", "proof"), "repeats")
     places = saved(_first_of(places, ["node", "proof"]), "passages").withColumn("shift", F.col("start") - F.col("keep_start"))
     along = Window.partitionBy("doc_id", "keep_doc", "shift").orderBy("start")
     reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))

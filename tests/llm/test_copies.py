@@ -187,7 +187,7 @@ def planted():
             parts.insert(rng.randint(0, 3), p)
             want.add(k)
         rows.append((k, " ".join(parts) if k % 2 else "  ".join(parts) + " é"))
-    long = text(90)
+    long = text(120)
     for k in range(60, 64):  # near copies of a long line
         w = long.split()
         w[k - 20] = "changed"
