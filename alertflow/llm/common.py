@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows that Python code takes from an Arrow batch at a time.
 SLICE = 256
+#: Rows and bytes of an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,8 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts stay small, as JVM and Python each hold several of them at once outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``doc_id`` and ``text``; a null text counts as empty."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )

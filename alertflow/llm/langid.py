@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertflow.llm.common import SLICE, byte_rows
+from alertflow.llm.common import SLICE, byte_rows, small_batches
 
 #: Hash buckets of n-grams, as a power of two; n-gram lengths; rows of a table that are folded together before a shuffle.
 BUCKET_BITS, GRAMS = 15, (2, 3, 4)
@@ -119,6 +119,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
     The corpus is reduced to one count per language and bucket on the executors. That table has a fixed number of
     buckets and only it comes to the driver; it does not grow with the corpus.
     """
+    small_batches(train.sparkSession)
     rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     counts = rows.mapInArrow(_count(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow().to_pydict()
@@ -160,6 +161,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     A null text, one without a letter, and every text when nothing was learned, is ``und`` with score 0. Repeated and
     null ids come back row by row; other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), has_letter(F.col(text_col)).alias("lettered")
@@ -179,6 +181,7 @@ def fit_on_rest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Rows whose language is known and not ambiguous, with all their columns, in one pass without a shuffle."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     schema = docs.schema
 
