@@ -124,14 +124,17 @@ def _result_struct(threshold: Threshold) -> Column:
 
 
 def _join_results(logs: DataFrame, results: DataFrame, threshold: Threshold) -> DataFrame:
-    answer = results.select("id", _result_struct(threshold).alias("_r"))
+    """A second answer for a log must not repeat the log: the highest score wins, then the type."""
+    answer = results.groupBy("id").agg(
+        F.max_by(_result_struct(threshold), F.struct("anomaly_score", "anomaly_type")).alias("_r")
+    )
     return logs.join(answer, "id", "left")
 
 
 def attach_scores(logs: DataFrame, results: DataFrame, threshold: Threshold = DETECTOR_THRESHOLD) -> DataFrame:
     """Join model answers; fields an answer leaves out take neutral values.
 
-    ``results`` holds at most one row per id with anomaly_score, anomaly_reasons,
+    ``results`` has id, anomaly_score, anomaly_reasons,
     feature_scores and anomaly_type, each nullable.
     """
     neutral = F.struct(

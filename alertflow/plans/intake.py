@@ -11,6 +11,7 @@ from alertflow.plans.scoring import DEFAULT
 from alertflow.plans.tables import LOGS, logs, sql
 from alertflow.sources import intake
 from alertflow.sources import tables as src
+from alertflow.streaming import flow
 
 plans = Plans()
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -136,3 +137,16 @@ def _(spark, d):
     rows = src.kafka_rows(scoring.score_default(logs(spark, d)))
     item = lambda path: F.get_json_object("value", path)
     return rows.select("key", item("$.id").alias("id"), item("$.anomaly_score").cast("double").alias("anomaly_score"))
+
+
+@plans.add("routed_folders", sql(*BASE, "SELECT alert_id, 7::INTEGER AS batch, 'batch=7/topic=' || topic AS folder FROM alerts"))
+def _(spark, d):
+    rows, by = src.routed_rows(build(spark, d), 7)
+    folder = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in by])
+    return rows.select("alert_id", "batch", folder.alias("folder"))
+
+
+@plans.add("running_counters", sql(*BASE, """SELECT service_name, severity, status, count(*) AS alerts, max(created_at) AS last_seen
+  FROM alerts GROUP BY ALL"""))
+def _(spark, d):
+    return flow.running_counters(build(spark, d))

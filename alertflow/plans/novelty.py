@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertflow.operators import features, novelty
+from alertflow.operators import alerts, features, incidents, novelty, scoring, suppress
 from alertflow.plans.registry import Plans
 from alertflow.plans.tables import LOGS, logs, sql, table
 
@@ -96,15 +96,18 @@ def _(spark, d):
     return scored.select("id", F.round("raw_isolation_forest", 9).alias("raw"))
 
 
-def verdicts(spark, d, with_text):
+def scored_by_models(spark, d, with_text=False):
     rows = logs(spark, d, True)
     fitted = features.fit_features(rows, with_text=with_text)
     v = novelty.model_vectors(rows, fitted)
     terms = fitted["vocabulary"].count() if with_text else 0
     sample = novelty.training_sample(v, terms=terms)
     tables = novelty.fit_models(sample)
-    out = novelty.score_ensemble(v, tables, novelty.fit_thresholds(sample, tables))
-    return out.select(
+    return novelty.score_ensemble(v, tables, novelty.fit_thresholds(sample, tables))
+
+
+def verdicts(spark, d, with_text):
+    return scored_by_models(spark, d, with_text).select(
         "id", "anomaly_score", "is_anomaly", "confidence", "anomaly_type",
         F.array_join("anomaly_reasons", "; ").alias("anomaly_reasons"), "feature_count",
     )
@@ -122,6 +125,19 @@ def _(spark, d):
     return verdicts(spark, d, True)
 
 
+@plans.add("pipeline_incidents")
+def _(spark, d):
+    """Logs, model answers, level scores where no model answered, alerts, suppression, first incidents."""
+    answered = scored_by_models(spark, d).filter(F.substring("id", 5, 20).cast("bigint") % 3 != 0)
+    answers = answered.select(
+        "id", "anomaly_score", "anomaly_reasons", F.lit(None).cast("map<string,double>").alias("feature_scores"), "anomaly_type"
+    )
+    scored = scoring.score_with_fallback(logs(spark, d, True), answers)
+    found = alerts.build_alerts(alerts.alert_candidates(scored))
+    first = incidents.initial_incidents(suppress.suppress_duplicates(found))
+    return first.select("alert_id", "source_log_id", "service_name", "severity", "anomaly_type", "impact_score", "created_at")
+
+
 def trained(spark, d):
     """One model per service, trained on its logs."""
     return logs(spark, d).groupBy(F.col("service_name").alias("model_name")).agg(

@@ -113,12 +113,19 @@ def write_scored(scored: DataFrame, path: str, checkpoint: str | None = None, tr
     return writer.partitionBy("event_date").trigger(**(trigger or {"availableNow": True})).start()
 
 
+def routed_rows(alerts: DataFrame, batch_id: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Alerts with the columns that name their folder."""
+    rows = route_topic(alerts) if "topic" not in alerts.columns else alerts
+    if batch_id is None:
+        return rows, ["topic"]
+    return rows.withColumn("batch", F.lit(int(batch_id))), ["batch", "topic"]
+
+
 def write_routed(alerts: DataFrame, path: str, batch_id: int | None = None) -> None:
     """One pass writes every topic to its folder. With a batch id the files go to a folder of that
     batch, so a repeated batch replaces itself."""
-    rows = route_topic(alerts) if "topic" not in alerts.columns else alerts
+    out, by = routed_rows(alerts, batch_id)
     if batch_id is None:
-        rows.write.mode("append").partitionBy("topic").parquet(path)
+        out.write.mode("append").partitionBy(*by).parquet(path)
         return
-    out = rows.withColumn("batch", F.lit(int(batch_id)))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "topic").parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

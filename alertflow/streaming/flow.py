@@ -75,12 +75,16 @@ def start_incidents(versions: DataFrame, store: IncidentStore, checkpoint: str,
     return run_batches(versions, lambda batch, batch_id: store.upsert(batch, batch_id), checkpoint, trigger)
 
 
-def start_counters(alerts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Running alert counts by service, severity and status, refreshed at every trigger."""
-    counts = alerts.groupBy("service_name", "severity", "status").agg(
+def running_counters(alerts: DataFrame) -> DataFrame:
+    return alerts.groupBy("service_name", "severity", "status").agg(
         F.count("*").alias("alerts"), F.max("created_at").alias("last_seen")
     )
 
+
+def start_counters(alerts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Running alert counts by service, severity and status, refreshed at every trigger."""
+    counts = running_counters(alerts)
+
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/refresh={batch_id}")
 
