@@ -83,9 +83,9 @@ def near_duplicates(
     """
     rows = saved(signatures(docs, id_col, text_col, scheme, shingle), "signatures")
     with_set = rows.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    classes = saved(with_set.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")), "classes")
-    items = with_set.join(classes, ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
-    items = saved(items.select(F.col("doc_id").alias("node"), "planes", "keys"), "items")
+    classes = saved(with_set.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight")), "classes")
+    items = with_set.join(classes, ["doc_id", "set_hash"]).dropDuplicates(["doc_id", "set_hash"])
+    items = saved(items.select(F.col("doc_id").alias("node"), "weight", "planes", "keys"), "items")
     texts = narrow(docs, id_col, text_col)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def near_duplicates(
 
     roots = near_components(items, sets_of, scheme)
     # ids repeated with other texts: the classes of one id are one node
-    found = classes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    found = classes.drop("weight").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     found = found.select("set_hash", F.coalesce("root", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_hash")
     linked = out.join(found, "set_hash").select("doc_id", "n_shingles", "component_id")

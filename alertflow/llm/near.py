@@ -34,10 +34,12 @@ class Scheme:
     slack: float = 5.5
     #: Sets are small enough to travel with their bands, so that the second step confirms inside its join.
     small_sets: bool = False
+    #: Minima in all, where bands share them.
+    minima: int = 0
 
     @property
     def k(self) -> int:
-        return self.rows * self.bands
+        return self.minima or self.rows * self.bands
 
     @property
     def words(self) -> int:
@@ -148,12 +150,14 @@ def similar(a: Column, b: Column, percent: int) -> Column:
 def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scheme: Scheme) -> DataFrame:
     """``node`` and ``root``, the smallest node linked with it, of all nodes that have a link.
 
-    ``items`` has one row per distinct set: ``node`` (long), ``planes``, ``keys``. ``sets_of`` returns ``node`` and
+    ``items`` has one row per distinct set: ``node`` (long), ``weight`` (how often it occurs), ``planes``, ``keys``.
+    ``sets_of`` returns ``node`` and
     ``set`` (array of long) of the nodes in a one-column table. It must be a written table: it is read several times.
 
     Links are found in two steps, so that a bucket of m near copies costs about m rows and not m * m:
 
-    1. every member of a bucket is compared with the smallest node of the bucket;
+    1. every member of a bucket is compared with its leader, the member that occurs most often (of equals the smallest
+       node), which in a group of edited copies is the original;
     2. in buckets whose members still lie in several components, each member outside the bucket's main component is
        compared with all members of other components. The comparison is a join condition on the packed bits, so only
        pairs that pass the estimate, each in the first band it shares, become rows.
@@ -162,10 +166,13 @@ def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     compared. Both steps confirm on the full sets; where sets are small, the second does so in the join condition itself,
     and only links become rows.
     """
-    banded = items.select("node", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n"))
-    members = saved(banded.join(buckets.where(F.col("n") > 1), "key"), "buckets")
-    pairs = members.where(F.col("low") < F.col("node")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    banded = items.select("node", "weight", F.explode("keys").alias("key"))
+    buckets = banded.groupBy("key").agg(F.max("weight").alias("top"), F.count("*").alias("n"))
+    members = saved(banded.join(buckets.where(F.col("n") > 1), "key"), "members")
+    leaders = members.where(F.col("weight") == F.col("top")).groupBy("key").agg(F.min("node").alias("leader"))
+    members = saved(members.select("key", "node", "n").join(leaders, "key"), "buckets")
+    pair = (F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+    pairs = members.where(F.col("leader") != F.col("node")).select(*pair).distinct()
     bits = items.select("node", "planes")
     first = bits.select(F.col("node").alias("a"), F.col("planes").alias("planes_a"))
     second = bits.select(F.col("node").alias("b"), F.col("planes").alias("planes_b"))
@@ -180,7 +187,7 @@ def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     large = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = large.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
-    open_ = large.join(main.where(F.col("roots") > 1), "key").where(F.col("node") != F.col("low"))
+    open_ = large.join(main.where(F.col("roots") > 1), "key").where(F.col("node") != F.col("leader"))
     open_ = open_.join(items, "node").select("key", "node", "root", "main", "planes", "keys")
     open_ = cut(open_.join(sets, "node") if scheme.small_sets else open_)
     p = open_.where(F.col("root") != F.col("main")).select(*(F.col(c).alias(f"{c}_p") for c in open_.columns))

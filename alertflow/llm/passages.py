@@ -146,9 +146,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spots = saved(texts.mapInArrow(_spots(scheme), SPOT), "spots", by="kind")
 
     lines = spots.where(F.col("kind") == "paragraph").drop("kind")
-    names = lines.groupBy("node").agg(F.min("proof").alias("low"), F.max("proof").alias("high"))
-    clear = names.where(F.col("low") == F.col("high")).select("node")
-    items = lines.select("node", "planes", "keys").dropDuplicates(["node"]).join(clear, "node", "left_semi")
+    names = lines.groupBy("node").agg(F.min("proof").alias("low"), F.max("proof").alias("high"), F.count("*").alias("weight"))
+    clear = names.where(F.col("low") == F.col("high")).select("node", "weight")
+    items = lines.select("node", "planes", "keys").dropDuplicates(["node"]).join(clear, "node")
     items = saved(items, "paragraphs")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
