@@ -96,6 +96,15 @@ def to_ml_schema(logs: DataFrame) -> DataFrame:
     )
 
 
+# Texts of the reasons.
+REASON = {
+    "exception": "Exception present", "server_error": "Server error: ", "slow": "High response time",
+    "level": "High severity log level: ", "server_status": "Server error status: ",
+    "client_status": "Client error status: ", "models": "Flagged by models: ",
+    "none": "Statistical anomaly detected by ML models",
+}
+
+
 def _default_columns(threshold: Threshold) -> dict[str, Column]:
     score = rules.lookup(F.col("level"), DEFAULT_SCORES, 0.1)
     return {
@@ -178,9 +187,9 @@ def score_heuristic(logs: DataFrame, threshold: Threshold = MODEL_THRESHOLD, ver
     ).otherwise(F.lit("unknown"))
     reasons = rules.present(
         rules.lookup(level, HEURISTIC_LEVEL_TEXT, None),
-        F.when(_said("exception"), F.lit("Exception present")),
-        F.when(server_error, F.concat(F.lit("Server error: "), status.cast("string"))),
-        F.when(slow, F.lit("High response time")),
+        F.when(_said("exception"), F.lit(REASON["exception"])),
+        F.when(server_error, F.concat(F.lit(REASON["server_error"]), status.cast("string"))),
+        F.when(slow, F.lit(REASON["slow"])),
     )
     scored = logs.withColumns({"anomaly_score": score, "_kind": kind, "_reasons": reasons})
     flagged = F.col("anomaly_score") > _number(threshold)
@@ -301,18 +310,18 @@ def anomaly_reasons(flags: Mapping[str, Column] | None = None) -> Column:
     level, status, duration = F.col("level"), F.col("http_status"), F.col("duration_ms")
     status_text = status.cast("string")
     items = [
-        F.when(level.isin("ERROR", "FATAL"), F.concat(F.lit("High severity log level: "), level)),
-        F.when(duration > SLOW_MS, F.concat(F.lit("High response time: "), rules.plain_double(duration), F.lit("ms"))),
-        F.when(status >= 500, F.concat(F.lit("Server error status: "), status_text)).when(
-            status >= 400, F.concat(F.lit("Client error status: "), status_text)
+        F.when(level.isin("ERROR", "FATAL"), F.concat(F.lit(REASON["level"]), level)),
+        F.when(duration > SLOW_MS, F.concat(F.lit(REASON["slow"] + ": "), rules.plain_double(duration), F.lit("ms"))),
+        F.when(status >= 500, F.concat(F.lit(REASON["server_status"]), status_text)).when(
+            status >= 400, F.concat(F.lit(REASON["client_status"]), status_text)
         ),
         F.when(_security_hit(), F.lit("Security-related error detected")),
     ]
     if flags:
         names = rules.present(*[F.when(flag, F.lit(name)) for name, flag in flags.items()])
-        items.append(F.when(F.size(names) > 0, F.concat(F.lit("Flagged by models: "), F.array_join(names, ", "))))
+        items.append(F.when(F.size(names) > 0, F.concat(F.lit(REASON["models"]), F.array_join(names, ", "))))
     found = rules.present(*items)
-    nothing = F.array(F.lit("Statistical anomaly detected by ML models"))
+    nothing = F.array(F.lit(REASON["none"]))
     return F.when(F.size(found) == 0, nothing).otherwise(found)
 
 
