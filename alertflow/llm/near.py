@@ -34,7 +34,7 @@ class Scheme:
     slack: float = 5.5
     #: Sets are small enough to travel with their bands, so that the second step confirms inside its join.
     small_sets: bool = False
-    #: Minima in all, where bands share them.
+    #: Minima in all: fewer than the bands hold where bands share them, more where the estimate is to be sharper.
     minima: int = 0
 
     @property
@@ -101,7 +101,7 @@ class Signer:
     def keys(self, minima: np.ndarray) -> np.ndarray:
         """A 64-bit key per band; its low 8 bits are the band's number."""
         n, s = len(minima), self.scheme
-        rows = minima.reshape(n, s.bands, s.rows).astype(np.uint64)
+        rows = minima[:, : s.bands * s.rows].reshape(n, s.bands, s.rows).astype(np.uint64)
         key = np.broadcast_to(np.arange(s.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (n, s.bands)).copy()
         for r in range(s.rows):
             key = (key ^ rows[:, :, r]) * np.uint64(0xC2B2AE3D27D4EB4F)
