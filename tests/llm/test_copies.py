@@ -230,3 +230,30 @@ def test_winnowing_meets_in_every_copy():
             t = passages.Text(" ".join([word() for _ in range(rng.randint(0, 40))] + shared + [word() for _ in range(rng.randint(0, 40))]).encode())
             runs.append({t.run(a, passages.PASSAGE) for a in t.anchors().tolist()})
         assert runs[0] & runs[1]
+
+
+def dense_set(line):
+    return {line[k : k + 5] for k in range(max(1, len(line) - 4))}
+
+
+def test_lines_are_compared_in_full(spark, empty):
+    """Lines without spaces, and short lines with one word changed."""
+    import random
+
+    rng = random.Random(4)
+    url = "https://www.youtube.com/watch?v="
+    run = "".join(rng.choice("abcdefghijklmnop") for _ in range(120))
+    made = [f"{url}abc", f"{url}zzzqqqxxxyyy", f"{url}kkkkkkkkkkkkkkk1", "https://www.yout", run, "Q" + run[1:], run[:16] + run[60:],
+            "今天天气很好我们一起去公园散步吧然后回家", "今天天气很好我们一起去公园散步吧然后回学校写作业看电视", "ab", "abcd", "\U0001f600" * 4, "\U0001f600" * 9]
+    for _ in range(40):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(14, 24))]
+        made.append(" ".join(words))
+        words[rng.randrange(len(words))] = "other"
+        made.append(" ".join(words))
+    lower = [x.lower() for x in made]
+    links = links_of([dense_set(x) for x in lower], 80)
+    top = roots_of(len(made), links)
+    rows = list(enumerate(made))
+    got = sorted((r.doc_id, r.keep_doc) for r in lines.line_dedup(frame(spark, rows).repartition(3)).collect())
+    assert got == list(enumerate(top))
+    assert len(links) > 30 and top[0] != top[1] and top[4] == top[5] != top[6]
