@@ -41,6 +41,12 @@ def shingle_at(characters: Column, start: Column, n: int = SHINGLE) -> Column:
     return F.substring(characters, start, F.lit(4 * n))
 
 
+def set_of(line: Column) -> Column:
+    """Hashes of the distinct shingles of a line. The characters are bound to a name, so they are made once a line."""
+    each = lambda chars: F.transform(starts(line), lambda at: F.xxhash64(shingle_at(chars, at)))
+    return F.array_distinct(F.get(F.transform(F.array(characters(line)), each), F.lit(0)))
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``row`` (id and text hash) and ``text``."""
     row = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
@@ -100,11 +106,10 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         holders = places.join(nodes, "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
         some = pick(named(exploded(pick(texts, holders, "row"))), nodes, "node")
         some = some.groupBy("node").agg(F.min("line").alias("line"))
-        some = some.withColumn("chars", characters(F.col("line")))
-        hashes = F.transform(starts(F.col("line")), lambda at: F.xxhash64(shingle_at(F.col("chars"), at)))
-        return some.select("node", F.array_distinct(hashes).alias("set"))
+        # a line is much smaller than its set, which is made where it is compared
+        return some.withColumnRenamed("line", "set")
 
-    roots = near_components(items, sets_of, scheme)
+    roots = near_components(items, sets_of, scheme, set_of)
     roots = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
     grouped = places.join(roots, "node", "left")
     # lines without a link are grouped with their exact copies; ``proof`` keeps apart those whose names clash

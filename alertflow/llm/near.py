@@ -134,25 +134,35 @@ def unlike(a: Column, b: Column, scheme: Scheme) -> Column:
     return total
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[Column], Column] | None = None) -> DataFrame:
     """Pairs ``a``, ``b`` whose full sets have 100 * intersection >= percent * union."""
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     both = pairs.join(a, "a").join(b, "b")
-    return both.where(similar(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
+    return both.where(similar(F.col("set_a"), F.col("set_b"), percent, as_set)).select("a", "b")
 
 
-def similar(a: Column, b: Column, percent: int) -> Column:
+def similar(a: Column, b: Column, percent: int, as_set: Callable[[Column], Column] | None = None) -> Column:
     """(100 + percent) * intersection >= percent * sum of the sizes, which is the Jaccard condition."""
+    if as_set:
+        # each set is made once: an expression used twice would be worked out twice
+        both = F.array(F.struct(as_set(a).alias("a"), as_set(b).alias("b")))
+        return F.exists(both, lambda x: similar(x["a"], x["b"], percent))
     return (100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b))
 
 
-def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scheme: Scheme) -> DataFrame:
+def near_components(
+    items: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    scheme: Scheme,
+    as_set: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """``node`` and ``root``, the smallest node linked with it, of all nodes that have a link.
 
     ``items`` has one row per distinct set: ``node`` (long), ``weight`` (how often it occurs), ``planes``, ``keys``.
     ``sets_of`` returns ``node`` and
-    ``set`` (array of long) of the nodes in a one-column table. It must be a written table: it is read several times.
+    ``set`` (array of long, or what ``as_set`` makes one from) of the nodes in a one-column table. It must be a written
+    table: it is read several times.
 
     Links are found in two steps, so that a bucket of m near copies costs about m rows and not m * m:
 
@@ -180,7 +190,7 @@ def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     pairs = saved(pairs.join(first, "a").join(second, "b").where(alike).select("a", "b"), "pairs")
     sets = saved(sets_of(members.where(F.col("n") > 2).select("node").union(pairs.select("a")).union(pairs.select("b"))
                          .distinct()), "sets")
-    links = saved(confirm(pairs, sets, scheme.percent), "links")
+    links = saved(confirm(pairs, sets, scheme.percent, as_set), "links")
     roots = saved(components(links), "roots")
 
     large = members.where(F.col("n") > 2)
@@ -197,7 +207,7 @@ def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         F.sequence(F.lit(0), F.greatest(band - 1, F.lit(0))),
         lambda i: (i < band) & (F.get("keys_p", i) == F.get("keys_q", i)),
     )
-    enough = similar(F.col("set_p"), F.col("set_q"), scheme.percent) if scheme.small_sets else F.lit(True)
+    enough = similar(F.col("set_p"), F.col("set_q"), scheme.percent, as_set) if scheme.small_sets else F.lit(True)
     rest = p.join(
         q,
         (F.col("key_p") == F.col("key_q"))
@@ -207,7 +217,7 @@ def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         & ~seen
         & enough,
     ).select(F.least("node_p", "node_q").alias("a"), F.greatest("node_p", "node_q").alias("b")).distinct()
-    more = saved(rest if scheme.small_sets else confirm(rest, sets, scheme.percent), "links")
+    more = saved(rest if scheme.small_sets else confirm(rest, sets, scheme.percent, as_set), "links")
     if more.isEmpty():
         return roots
     # the components found so far stand for their members
