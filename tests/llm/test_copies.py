@@ -257,3 +257,20 @@ def test_lines_are_compared_in_full(spark, empty):
     got = sorted((r.doc_id, r.keep_doc) for r in lines.line_dedup(frame(spark, rows).repartition(3)).collect())
     assert got == list(enumerate(top))
     assert len(links) > 30 and top[0] != top[1] and top[4] == top[5] != top[6]
+
+
+def test_short_paragraphs_are_compared(spark):
+    """Near copies of 49 words without 32 equal ones in a row, and of 90 words."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    rows = []
+    for n, at in ((90, (20, 21, 22, 23)), (49, (24, None, None, None))):
+        w = [word() for _ in range(n)]
+        for k in at:
+            changed = [x if j != k else "changed" for j, x in enumerate(w)]
+            rows.append((len(rows), f"{word()}\n{' '.join(changed)}\n{word()}"))
+    found = passages.repeated_passages(frame(spark, rows).repartition(2))
+    got = {(r.doc_id, r.keep_doc) for r in found.where("kind = 'paragraph'").collect()}
+    assert got == {(k, k // 4 * 4) for k in range(8)}
