@@ -49,10 +49,15 @@ class Text:
         return self.flat[self.begin[first] : self.end[first + n - 1]]
 
     def paragraphs(self) -> list[tuple[int, int]]:
-        """First word and number of words of each line that is long enough."""
+        """First word and number of words of what lies between blank lines, and of each line in it, if long enough."""
         breaks = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 10)
-        at = np.concatenate([[0], np.searchsorted(self.starts, breaks), [len(self)]])
-        return [(a, b - a) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b - a >= LEAST_WORDS]
+        at = np.unique(np.concatenate([[0], np.searchsorted(self.starts, breaks), [len(self)]]))
+        out = set(zip(at[:-1].tolist(), np.diff(at).tolist(), strict=True))
+        # a line without words leaves two breaks before the same word
+        before = np.searchsorted(self.starts, breaks)
+        blank = np.unique(np.concatenate([[0], before[1:][np.diff(before) == 0], [len(self)]]))
+        out |= set(zip(blank[:-1].tolist(), np.diff(blank).tolist(), strict=True))
+        return sorted((first, n) for first, n in out if n >= LEAST_WORDS)
 
     def anchors(self) -> np.ndarray:
         """Words at which a passage starts: the least hash of every REACH neighbours, the first of equals."""
@@ -117,12 +122,19 @@ def _paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _first_of(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Groups found in more than one document, with the place that stays: the smallest document, its first place."""
+    """Groups found in more than one document, with the place that stays: the smallest document, its first place.
+
+    Of places that start there the longest stays; what lies inside it is no place of its own.
+    """
     group = rows.groupBy(*by).agg(F.min("doc_id").alias("keep_doc"), F.max("doc_id").alias("high"))
     group = group.where(F.col("keep_doc") < F.col("high")).drop("high")
     here = rows.join(group, by)
-    start = here.where(F.col("doc_id") == F.col("keep_doc")).groupBy(*by).agg(F.min("start").alias("keep_start"))
-    return here.join(start, by)
+    kept = here.where(F.col("doc_id") == F.col("keep_doc"))
+    kept = kept.groupBy(*by).agg(F.min(F.struct("start", (-F.col("end")).alias("end"))).alias("kept"))
+    kept = kept.select(*by, F.col("kept.start").alias("keep_start"), (-F.col("kept.end")).alias("keep_end"))
+    inside = (F.col("doc_id") == F.col("keep_doc")) & (F.col("end") <= F.col("keep_end"))
+    whole = (F.col("start") == F.col("keep_start")) & (F.col("end") == F.col("keep_end"))
+    return here.join(kept, by).where(~inside | whole).drop("keep_end")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SCHEME) -> DataFrame:
@@ -131,7 +143,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``doc_id``, ``kind``, ``start`` and ``end`` (in the text's UTF-8 bytes), ``keep_doc`` and ``keep_start`` (the place
     that stays of its group), ``kept``.
 
-    * ``paragraph``: lines of at least 32 words. Candidates share a MinHash band, links are confirmed on the full sets of
+    * ``paragraph``: the words between two blank lines, and each line, from 32 words on. Candidates share a MinHash band, links are confirmed on the full sets of
       5-word shingles (similarity 0.8 or more), groups are the components of the links.
     * ``passage``: verbatim runs (blanks and A-Z case aside) of 32 words or more anywhere in a text, also inside a
       paragraph or across lines. Passages start where the hash of the next words is least among 19 neighbours, which

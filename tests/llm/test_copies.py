@@ -274,3 +274,32 @@ def test_short_paragraphs_are_compared(spark):
     found = passages.repeated_passages(frame(spark, rows).repartition(2))
     got = {(r.doc_id, r.keep_doc) for r in found.where("kind = 'paragraph'").collect()}
     assert got == {(k, k // 4 * 4) for k in range(8)}
+
+
+def test_wrapped_paragraphs_are_compared(spark):
+    """A hard-wrapped paragraph meets edited copies that are wrapped elsewhere or not at all."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    base = [word() for _ in range(120)]
+    rows = []
+    for k, width in enumerate((11, 14, 200)):
+        w = [f"new{k}" if j in (40 + k, 80 + k) else x for j, x in enumerate(base)] if k else base
+        body = "\n".join(" ".join(w[j : j + width]) for j in range(0, len(w), width))
+        rows.append((k, f"{word()} {word()}\n \t\n{body}\n\n{word()}"))
+    docs = frame(spark, rows).repartition(2)
+    found = passages.repeated_passages(docs).where("kind = 'paragraph'").cache()
+    assert {(r.doc_id, r.keep_doc) for r in found.collect()} == {(0, 0), (1, 0), (2, 0)}
+    removed = {r.doc_id: r.text for r in passages.remove_passages(docs, found).collect()}
+    assert removed[0] == rows[0][1] and all(len(removed[k].split()) == 3 for k in (1, 2))
+
+
+def test_a_line_inside_the_kept_paragraph_stays(spark):
+    words = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, f"title\n{words}\nend"), (2, f"title\n{words}")]
+    docs = frame(spark, rows)
+    found = passages.repeated_passages(docs)
+    assert passages.remove_passages(docs, found.where("kind = 'paragraph'")).where("doc_id = 1").first().text == rows[0][1]
+    t = passages.Text(f"\n\n{words}\n\n\n{words}\nx\n".encode())
+    assert t.paragraphs() == [(0, 100), (100, 100), (100, 101)]
