@@ -16,7 +16,7 @@ from alertflow.llm.near import Scheme, near_components, pick
 #: Characters of a shingle. One starts at every character, so each character of a line counts, with or without spaces.
 SHINGLE = 5
 #: Three groups of five minima; a band has one of each, and any two minima share one band at most. A pair at similarity 0.8
-#: shares one of the ten bands with 99.3 %, at 0.9 with 99.98 %.
+#: shares one of the ten bands with 99.3 %, at 0.9 with 99.98 %, if minima were independent.
 SCHEME = Scheme(percent=80, rows=3, bands=10, minima=15, bits=4, slack=4.0, small_sets=True)
 GROUP = 5
 
