@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("near_queries", "token_queries", "text_queries")
+MODULES = ("near_queries", "token_queries", "text_queries", "data_queries")
 
 
 def _all(what: str) -> dict:
