@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that Python code takes from an Arrow batch at a time.
@@ -47,6 +47,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds the place of each row in ``order``, from 0, as ``name``; rows equal in ``order`` get some order among them.
+
+    Ranges are sorted side by side and written; what comes before a range is a sum of one count per range.
+    """
+    at = F.monotonically_increasing_id()
+    rows = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "ranked")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per range of the shuffle, whatever the table holds
+    bases = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rows = rows.withColumn("_part", part).join(F.broadcast(bases), "_part")
+    return rows.withColumn(name, F.col("_base") + within).drop("_part", "_base", "_at")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of texts stay small, as JVM and Python each hold several of them at once outside the heap."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
