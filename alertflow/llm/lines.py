@@ -6,25 +6,28 @@ DataFrame functions only: shingles are rows, minima are aggregates, comparisons
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertflow.llm.common import saved
-from alertflow.llm.near import Scheme, near_components, pick
+from alertflow.llm.common import components, saved
+from alertflow.llm.near import Scheme, confirm, pick, similar
 
 #: Characters of a shingle. One starts at every character, so each character of a line counts, with or without spaces.
 SHINGLE = 5
-#: Three groups of five minima; a band has one of each, and any two minima share one band at most. A pair at similarity 0.8
-#: shares one of the ten bands with 99.3 %, at 0.9 with 99.98 %, if minima were independent.
-SCHEME = Scheme(percent=80, rows=3, bands=10, minima=15, bits=4, slack=4.0, small_sets=True)
-GROUP = 5
+#: 32 bins of one permutation; a band has the minima of four of them, and any two bands share one bin at most.
+SCHEME = Scheme(percent=80, rows=4, bands=10, minima=32, bits=4, slack=3.4)
+#: Other bins whose minimum an empty bin borrows, in turn, before it takes the least of all.
+BORROW = 7
 
 
-def band(number: int) -> tuple[int, int, int]:
-    """The minima of a band."""
-    shift, first = divmod(number, GROUP)
-    return first, GROUP + (first + shift) % GROUP, 2 * GROUP + (first + 2 * shift) % GROUP
+def band(number: int, scheme: Scheme = SCHEME) -> list[int]:
+    """The bins of a band: runs of neighbours first, then bins a stride apart."""
+    stride = scheme.k // scheme.rows
+    if number < stride:
+        return list(range(number * scheme.rows, (number + 1) * scheme.rows))
+    return [number - stride + stride * r for r in range(scheme.rows)]
 
 
 def characters(line: Column) -> Column:
@@ -68,31 +71,115 @@ def named(lines: DataFrame) -> DataFrame:
 def signatures(lines: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
     """``node``, ``weight`` (its shingles in all copies), ``planes`` and ``keys`` of every distinct line.
 
+    One permutation: a shingle's hash names its bin and competes there only, which costs a comparison of bins and not a
+    minimum for each function. A bin without a shingle borrows the minimum of another, by a fixed order of its own
+    (Shrivastava 2017), so that two lines share a bin's value with the probability of their similarity.
+
     Equal lines meet in the partial aggregate of each task, so a line that is everywhere is shuffled once per task.
     Two different lines of one name (found by ``proof``) are left out; they keep to their exact copies.
     """
+    k = scheme.k
     rows = named(lines).withColumn("chars", characters(F.col("line")))
     rows = rows.select("node", "proof", "chars", F.explode(starts(F.col("line"))).alias("start"))
     rows = rows.select("node", "proof", F.hash(shingle_at(F.col("chars"), F.col("start")), F.lit(scheme.seed)).alias("h"))
-    rng = random.Random(scheme.seed)
-    flips = [rng.randrange(-(1 << 31), 1 << 31) for _ in range(scheme.k)]
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{i}") for i, x in enumerate(flips)]
+    rows = rows.withColumn("bin", F.pmod("h", F.lit(k)))
+    minima = [F.expr(f"min(h) FILTER (WHERE bin = {i})").alias(f"o{i}") for i in range(k)]
     found = rows.groupBy("node").agg(F.min("proof").alias("low"), F.max("proof").alias("high"), F.count("*").alias("weight"), *minima)
     found = found.where(F.col("low") == F.col("high"))
-    # bits of a hash of the minimum: its own low bits would follow its flip
-    mixed = found.select("node", "weight", *(f"m{i}" for i in range(scheme.k)), *(F.hash(f"m{i}").alias(f"x{i}") for i in range(scheme.k)))
+    rng = random.Random(scheme.seed)
+    others = [rng.sample([j for j in range(k) if j != i], min(BORROW, k - 1)) for i in range(k)]
+    filled = [F.coalesce(*(F.col(f"o{j}") for j in (i, *others[i])), F.col("least")) for i in range(k)]
+    found = found.withColumn("least", F.least(*(F.col(f"o{i}") for i in range(k))))
+    found = found.select("node", "weight", *(c.alias(f"m{i}") for i, c in enumerate(filled)))
+    mixed = found.select("*", *(F.hash(f"m{i}").alias(f"x{i}") for i in range(k)))
     keys = []
     for b in range(scheme.bands):
-        key = F.xxhash64(F.lit(b), *(f"m{i}" for i in band(b)))
+        key = F.xxhash64(F.lit(b), *(f"m{i}" for i in band(b, scheme)))
         keys.append(key.bitwiseAND(F.lit(~255)).bitwiseOR(F.lit(b)))
-    planes = []
-    for bit in range(scheme.bits):
+    return mixed.select("node", "weight", F.array(*_planes(scheme)).alias("planes"), F.array(*keys).alias("keys"))
+
+
+def _planes(scheme: Scheme) -> list[Column]:
+    """Low bits of the mixed minima, two planes of 32 bits in a word."""
+    words = []
+    for first in range(0, scheme.bits, 2):
         word = F.lit(0).cast("long")
-        for i in range(scheme.k):
-            low = F.shiftrightunsigned(f"x{i}", bit).bitwiseAND(F.lit(1)).cast("long")
-            word = word.bitwiseOR(F.shiftleft(low, i))
-        planes.append(word)
-    return mixed.select("node", "weight", F.array(*planes).alias("planes"), F.array(*keys).alias("keys"))
+        for bit in range(first, min(first + 2, scheme.bits)):
+            for i in range(scheme.k):
+                low = F.shiftrightunsigned(f"x{i}", bit).bitwiseAND(F.lit(1)).cast("long")
+                word = word.bitwiseOR(F.shiftleft(low, i + 32 * (bit - first)))
+        words.append(word)
+    return words
+
+
+def unlike(a: Column, b: Column, scheme: Scheme = SCHEME) -> Column:
+    """How many minima differ in their low bits."""
+    differ = None
+    for w in range(-(-scheme.bits // 2)):
+        x = a[w].bitwiseXOR(b[w])
+        differ = x if differ is None else differ.bitwiseOR(x)
+    return F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 32)).bitwiseAND(F.lit((1 << 32) - 1)))
+
+
+def line_components(items: DataFrame, lines_of: Callable[[DataFrame], DataFrame], scheme: Scheme = SCHEME) -> DataFrame:
+    """``node`` and ``root``, the smallest node linked with it, of all lines that have a link.
+
+    ``items`` is the written table of ``signatures``; ``lines_of`` gives ``node`` and ``set`` (the line) of the nodes in
+    a one-column table. Buckets hold names and packed bits only; a line is fetched when a pair it is in has passed the
+    estimate.
+
+    1. Every member of a bucket is compared with its leader, the member that occurs most often (of equals the smallest).
+    2. In buckets of several components, members outside the bucket's main component are compared with those of other
+       components. Two semi-joins on the bits keep the rows that have a partner at all; only these get their line, and the
+       exact comparison is part of the join's condition, so only links become rows, each in the first band it shares.
+    """
+    banded = items.select("node", F.explode("keys").alias("key"))
+    counts = banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    members = banded.join(counts, "key").join(items.select("node", "weight", "planes"), "node")
+    members = saved(members.select("key", "node", "n", "weight", "planes"), "members")
+    best = F.max_by(F.struct("node", "planes"), F.struct("weight", -F.col("node"))).alias("leader")
+    members = saved(members.join(members.groupBy("key").agg(best), "key").drop("weight"), "buckets")
+    other = F.col("leader.node")
+    pairs = members.where((other != F.col("node")) & (unlike(F.col("planes"), F.col("leader.planes"), scheme) <= scheme.most_unlike))
+    pairs = saved(pairs.select(F.least(other, "node").alias("a"), F.greatest(other, "node").alias("b")).distinct(), "pairs")
+    sets = saved(lines_of(pairs.select("a").union(pairs.select("b")).distinct()), "sets")
+    roots = saved(components(saved(confirm(pairs, sets, scheme.percent, set_of), "links")), "roots")
+
+    large = members.where(F.col("n") > 2).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = large.groupBy("key", "root").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
+    rest = large.join(main.where(F.col("roots") > 1), "key").where(F.col("node") != other)
+    rest = saved(rest.select("key", "node", "root", "main", "planes"), "open")
+
+    p, q = rest.where(F.col("root") != F.col("main")).alias("p"), rest.alias("q")
+    p = saved(p.join(q, _against("p", "q", scheme), "left_semi"), "open-outside")
+    q = saved(rest.alias("q").join(p.alias("p"), _against("q", "p", scheme), "left_semi"), "open-any")
+    sets = saved(lines_of(q.select("node").distinct()), "sets")
+    sets = sets.join(items.select("node", "keys"), "node")
+    p, q = p.join(sets, "node").alias("p"), q.join(sets, "node").alias("q")
+    number = F.col("p.key").bitwiseAND(F.lit(255)).cast("int")
+    seen = F.exists(
+        F.sequence(F.lit(0), F.greatest(number - 1, F.lit(0))),
+        lambda i: (i < number) & (F.get("p.keys", i) == F.get("q.keys", i)),
+    )
+    once = (F.col("q.root") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))
+    alike = similar(F.col("p.set"), F.col("q.set"), scheme.percent, set_of)
+    more = p.join(q, _against("p", "q", scheme) & once & ~seen & alike)
+    more = more.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+    more = saved(more.distinct(), "links")
+    if more.isEmpty():
+        return roots
+    # the components found so far stand for their members
+    low, high = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    joined = more.join(low, "a", "left").join(high, "b", "left")
+    joined = joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    return saved(components(joined.union(roots.select("root", "node"))), "roots")
+
+
+def _against(a: str, b: str, scheme: Scheme) -> Column:
+    """Rows of one bucket and two components whose bits let a link be possible."""
+    near = unlike(F.col(f"{a}.planes"), F.col(f"{b}.planes"), scheme) <= scheme.most_unlike
+    return (F.col(f"{a}.key") == F.col(f"{b}.key")) & (F.col(f"{a}.root") != F.col(f"{b}.root")) & near
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SCHEME) -> DataFrame:
@@ -101,15 +188,14 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = saved(named(exploded(texts)).drop("line"), "lines")
     items = saved(signatures(exploded(texts), scheme), "line-signatures")
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        nodes = saved(nodes, "nodes")
-        holders = places.join(nodes, "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
+    def lines_of(nodes: DataFrame) -> DataFrame:
+        nodes = saved(nodes.toDF("node"), "nodes")
+        holders = pick(places, nodes, "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
         some = pick(named(exploded(pick(texts, holders, "row"))), nodes, "node")
-        some = some.groupBy("node").agg(F.min("line").alias("line"))
         # a line is much smaller than its set, which is made where it is compared
-        return some.withColumnRenamed("line", "set")
+        return some.groupBy("node").agg(F.min("line").alias("set"))
 
-    roots = near_components(items, sets_of, scheme, set_of)
+    roots = line_components(items, lines_of, scheme)
     roots = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
     grouped = places.join(roots, "node", "left")
     # lines without a link are grouped with their exact copies; ``proof`` keeps apart those whose names clash
