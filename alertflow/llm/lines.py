@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertflow.llm.common import components, saved
-from alertflow.llm.near import Scheme, confirm, pick, similar
+from alertflow.llm.near import Scheme, pick
 
 #: Characters of a shingle. One starts at every character, so each character of a line counts, with or without spaces.
 SHINGLE = 5
-#: 32 bins of one permutation; a band has the minima of four of them, and any two bands share one bin at most.
-SCHEME = Scheme(percent=80, rows=4, bands=10, minima=32, bits=4, slack=3.4)
-#: Other bins whose minimum an empty bin borrows, in turn, before it takes the least of all.
-BORROW = 7
+#: 32 bins of one permutation (a power of two); a band has the minima of four of them, and any two bands share one bin at
+#: most. Four bits of each minimum are kept for the estimate.
+SCHEME = Scheme(percent=80, rows=4, bands=8, minima=32, bits=4, slack=3.0)
+#: Other bins whose minimum an empty bin borrows, in turn, in each of two rounds, before it takes the least of all.
+BORROW = 2
 
 
 def band(number: int, scheme: Scheme = SCHEME) -> list[int]:
@@ -44,10 +45,10 @@ def shingle_at(characters: Column, start: Column, n: int = SHINGLE) -> Column:
     return F.substring(characters, start, F.lit(4 * n))
 
 
-def set_of(line: Column) -> Column:
-    """Hashes of the distinct shingles of a line. The characters are bound to a name, so they are made once a line."""
+def shingles_of(line: Column) -> Column:
+    """Hashes of the shingles of a line, repeats included. The characters are bound to a name, so they are made once a line."""
     each = lambda chars: F.transform(starts(line), lambda at: F.xxhash64(shingle_at(chars, at)))
-    return F.array_distinct(F.get(F.transform(F.array(characters(line)), each), F.lit(0)))
+    return F.get(F.transform(F.array(characters(line)), each), F.lit(0))
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -69,64 +70,70 @@ def named(lines: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
-    """``node``, ``weight`` (its shingles in all copies), ``planes`` and ``keys`` of every distinct line.
+    """``node``, ``planes`` and ``keys`` of every distinct line.
 
     One permutation: a shingle's hash names its bin and competes there only, which costs a comparison of bins and not a
     minimum for each function. A bin without a shingle borrows the minimum of another, by a fixed order of its own
     (Shrivastava 2017), so that two lines share a bin's value with the probability of their similarity.
 
     Equal lines meet in the partial aggregate of each task, so a line that is everywhere is shuffled once per task.
-    Two different lines of one name (found by ``proof``) are left out; they keep to their exact copies.
     """
     k = scheme.k
-    rows = named(lines).withColumn("chars", characters(F.col("line")))
-    rows = rows.select("node", "proof", "chars", F.explode(starts(F.col("line"))).alias("start"))
-    rows = rows.select("node", "proof", F.hash(shingle_at(F.col("chars"), F.col("start")), F.lit(scheme.seed)).alias("h"))
-    rows = rows.withColumn("bin", F.pmod("h", F.lit(k)))
-    minima = [F.expr(f"min(h) FILTER (WHERE bin = {i})").alias(f"o{i}") for i in range(k)]
-    found = rows.groupBy("node").agg(F.min("proof").alias("low"), F.max("proof").alias("high"), F.count("*").alias("weight"), *minima)
-    found = found.where(F.col("low") == F.col("high"))
+    rows = lines.withColumn("node", F.xxhash64("line")).withColumn("chars", characters(F.col("line")))
+    rows = rows.select("node", "chars", F.explode(starts(F.col("line"))).alias("start"))
+    rows = rows.select("node", F.hash(shingle_at(F.col("chars"), F.col("start")), F.lit(scheme.seed)).alias("h"))
+    rows = rows.withColumn("bin", F.col("h").bitwiseAND(F.lit(k - 1)))
+    found = rows.groupBy("node").agg(*(F.expr(f"min(h) FILTER (WHERE bin = {i})").alias(f"m{i}") for i in range(k)))
+    found = _apart(found).withColumn("least", F.least(*(F.col(f"m{i}") for i in range(k))))
     rng = random.Random(scheme.seed)
-    others = [rng.sample([j for j in range(k) if j != i], min(BORROW, k - 1)) for i in range(k)]
-    filled = [F.coalesce(*(F.col(f"o{j}") for j in (i, *others[i])), F.col("least")) for i in range(k)]
-    found = found.withColumn("least", F.least(*(F.col(f"o{i}") for i in range(k))))
-    found = found.select("node", "weight", *(c.alias(f"m{i}") for i, c in enumerate(filled)))
-    mixed = found.select("*", *(F.hash(f"m{i}").alias(f"x{i}") for i in range(k)))
+    for _ in range(2):
+        others = [rng.sample([j for j in range(k) if j != i], min(BORROW, k - 1)) for i in range(k)]
+        found = _apart(found).select("node", "least", *(F.coalesce(*(F.col(f"m{j}") for j in (i, *others[i]))).alias(f"m{i}") for i in range(k)))
+    found = _apart(found).select("node", *(F.coalesce(f"m{i}", "least").alias(f"m{i}") for i in range(k)))
+    # the lowest bits name the bin, those above them are as good as random
+    shift, per = k.bit_length() - 1, 64 // scheme.bits
+    nibble = lambda i: F.shiftrightunsigned(f"m{i}", shift).bitwiseAND(F.lit((1 << scheme.bits) - 1)).cast("long")
+    planes = []
+    for first in range(0, k, per):
+        word = nibble(first)
+        for i in range(first + 1, min(first + per, k)):
+            word = word.bitwiseOR(F.shiftleft(nibble(i), scheme.bits * (i - first)))
+        planes.append(word)
     keys = []
     for b in range(scheme.bands):
         key = F.xxhash64(F.lit(b), *(f"m{i}" for i in band(b, scheme)))
         keys.append(key.bitwiseAND(F.lit(~255)).bitwiseOR(F.lit(b)))
-    return mixed.select("node", "weight", F.array(*_planes(scheme)).alias("planes"), F.array(*keys).alias("keys"))
+    return _apart(found).select("node", F.array(*planes).alias("planes"), F.array(*keys).alias("keys"))
 
 
-def _planes(scheme: Scheme) -> list[Column]:
-    """Low bits of the mixed minima, two planes of 32 bits in a word."""
-    words = []
-    for first in range(0, scheme.bits, 2):
-        word = F.lit(0).cast("long")
-        for bit in range(first, min(first + 2, scheme.bits)):
-            for i in range(scheme.k):
-                low = F.shiftrightunsigned(f"x{i}", bit).bitwiseAND(F.lit(1)).cast("long")
-                word = word.bitwiseOR(F.shiftleft(low, i + 32 * (bit - first)))
-        words.append(word)
-    return words
+def _apart(df: DataFrame) -> DataFrame:
+    """The same partitions behind an operator that ends a generated method: a very long one would never be compiled."""
+    return df.coalesce(1 << 30)
 
 
 def unlike(a: Column, b: Column, scheme: Scheme = SCHEME) -> Column:
-    """How many minima differ in their low bits."""
-    differ = None
-    for w in range(-(-scheme.bits // 2)):
-        x = a[w].bitwiseXOR(b[w])
-        differ = x if differ is None else differ.bitwiseOR(x)
-    return F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 32)).bitwiseAND(F.lit((1 << 32) - 1)))
+    """How many minima differ in the bits kept, which stand side by side in 64-bit words."""
+    total, lowest = F.lit(0), sum(1 << at for at in range(0, 63, scheme.bits))
+    for w in range(-(-scheme.k * scheme.bits // 64)):
+        differ = a[w].bitwiseXOR(b[w])
+        for step in (1, 2, 4)[: scheme.bits.bit_length() - 1]:
+            differ = differ.bitwiseOR(F.shiftrightunsigned(differ, step))
+        total = total + F.bit_count(differ.bitwiseAND(F.lit(lowest)))
+    return total
 
 
-def line_components(items: DataFrame, lines_of: Callable[[DataFrame], DataFrame], scheme: Scheme = SCHEME) -> DataFrame:
+def shared_enough(a: Column, b: Column, size_a: Column, size_b: Column, percent: int) -> Column:
+    """Jaccard of two lines at least ``percent``; the sizes of their sets, which bound it, are looked at first."""
+    possible = (100 * size_a >= percent * size_b) & (100 * size_b >= percent * size_a)
+    return possible & ((100 + percent) * F.size(F.array_intersect(shingles_of(a), shingles_of(b))) >= percent * (size_a + size_b))
+
+
+def line_components(items: DataFrame, names: DataFrame, lines_of: Callable[[DataFrame], DataFrame], scheme: Scheme = SCHEME) -> DataFrame:
     """``node`` and ``root``, the smallest node linked with it, of all lines that have a link.
 
-    ``items`` is the written table of ``signatures``; ``lines_of`` gives ``node`` and ``set`` (the line) of the nodes in
-    a one-column table. Buckets hold names and packed bits only; a line is fetched when a pair it is in has passed the
-    estimate.
+    ``items`` is the written table of ``signatures``, ``names`` has ``node`` and ``copies`` of the lines to compare;
+    ``lines_of`` gives ``node``, ``line`` and ``size`` (of its set) of the nodes in a one-column table. Buckets hold names
+    and packed bits only; a line is fetched when a pair it is in has passed the estimate.
 
     1. Every member of a bucket is compared with its leader, the member that occurs most often (of equals the smallest).
     2. In buckets of several components, members outside the bucket's main component are compared with those of other
@@ -135,35 +142,35 @@ def line_components(items: DataFrame, lines_of: Callable[[DataFrame], DataFrame]
     """
     banded = items.select("node", F.explode("keys").alias("key"))
     counts = banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    members = banded.join(counts, "key").join(items.select("node", "weight", "planes"), "node")
-    members = saved(members.select("key", "node", "n", "weight", "planes"), "members")
-    best = F.max_by(F.struct("node", "planes"), F.struct("weight", -F.col("node"))).alias("leader")
-    members = saved(members.join(members.groupBy("key").agg(best), "key").drop("weight"), "buckets")
+    members = banded.join(counts, "key").join(items.select("node", "planes"), "node").join(names, "node")
+    members = saved(members.select("key", "node", "n", "copies", "planes"), "members")
+    best = F.max_by(F.struct("node", "planes"), F.struct("copies", -F.col("node"))).alias("leader")
+    members = saved(members.drop("copies").join(members.groupBy("key").agg(best), "key"), "buckets")
     other = F.col("leader.node")
     pairs = members.where((other != F.col("node")) & (unlike(F.col("planes"), F.col("leader.planes"), scheme) <= scheme.most_unlike))
     pairs = saved(pairs.select(F.least(other, "node").alias("a"), F.greatest(other, "node").alias("b")).distinct(), "pairs")
-    sets = saved(lines_of(pairs.select("a").union(pairs.select("b")).distinct()), "sets")
-    roots = saved(components(saved(confirm(pairs, sets, scheme.percent, set_of), "links")), "roots")
+    found = saved(lines_of(pairs.select("a").union(pairs.select("b")).distinct()), "found")
+    both = pairs.join(found.toDF("a", "line_a", "size_a"), "a").join(found.toDF("b", "line_b", "size_b"), "b")
+    links = both.where(shared_enough(F.col("line_a"), F.col("line_b"), F.col("size_a"), F.col("size_b"), scheme.percent))
+    roots = saved(components(saved(links.select("a", "b"), "links")), "roots")
 
     large = members.where(F.col("n") > 2).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = large.groupBy("key", "root").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
+    sizes = large.groupBy("key", "root").agg(F.count("*").alias("members"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("roots"))
     rest = large.join(main.where(F.col("roots") > 1), "key").where(F.col("node") != other)
     rest = saved(rest.select("key", "node", "root", "main", "planes"), "open")
-
-    p, q = rest.where(F.col("root") != F.col("main")).alias("p"), rest.alias("q")
-    p = saved(p.join(q, _against("p", "q", scheme), "left_semi"), "open-outside")
+    p = rest.where(F.col("root") != F.col("main")).alias("p")
+    p = saved(p.join(rest.alias("q"), _against("p", "q", scheme), "left_semi"), "open-outside")
     q = saved(rest.alias("q").join(p.alias("p"), _against("q", "p", scheme), "left_semi"), "open-any")
-    sets = saved(lines_of(q.select("node").distinct()), "sets")
-    sets = sets.join(items.select("node", "keys"), "node")
-    p, q = p.join(sets, "node").alias("p"), q.join(sets, "node").alias("q")
+    found = saved(lines_of(q.select("node").distinct()), "found").join(items.select("node", "keys"), "node")
+    p, q = p.join(found, "node").alias("p"), q.join(found, "node").alias("q")
     number = F.col("p.key").bitwiseAND(F.lit(255)).cast("int")
     seen = F.exists(
         F.sequence(F.lit(0), F.greatest(number - 1, F.lit(0))),
         lambda i: (i < number) & (F.get("p.keys", i) == F.get("q.keys", i)),
     )
     once = (F.col("q.root") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))
-    alike = similar(F.col("p.set"), F.col("q.set"), scheme.percent, set_of)
+    alike = shared_enough(F.col("p.line"), F.col("q.line"), F.col("p.size"), F.col("q.size"), scheme.percent)
     more = p.join(q, _against("p", "q", scheme) & once & ~seen & alike)
     more = more.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
     more = saved(more.distinct(), "links")
@@ -182,25 +189,37 @@ def _against(a: str, b: str, scheme: Scheme) -> Column:
     return (F.col(f"{a}.key") == F.col(f"{b}.key")) & (F.col(f"{a}.root") != F.col(f"{b}.root")) & near
 
 
-def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SCHEME) -> DataFrame:
-    """``row``, ``line_no`` and ``group`` of every line that is not blank; lines of one group are near copies."""
+def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SCHEME) -> tuple[DataFrame, DataFrame]:
+    """The written places (``row``, ``line_no``, ``node``, ``proof``) of all lines that are not blank, and per ``node``
+    and ``proof`` what its group keeps: ``keep`` (row and line_no) and ``group_size``.
+
+    Exact copies are one node from the start, so a group is put together from one row per distinct line. Two different
+    lines of one name (found by ``proof``) are not compared; they keep to their exact copies.
+    """
     texts = texts_of(docs, id_col, text_col)
     places = saved(named(exploded(texts)).drop("line"), "lines")
+    firsts = places.groupBy("node", "proof").agg(F.min(F.struct("row", "line_no")).alias("first"), F.count("*").alias("copies"))
+    firsts = saved(firsts, "distinct-lines")
     items = saved(signatures(exploded(texts), scheme), "line-signatures")
+    names = firsts.groupBy("node").agg(F.sum("copies").alias("copies"), F.count("*").alias("proofs"))
+    names = names.where(F.col("proofs") == 1).drop("proofs")
 
     def lines_of(nodes: DataFrame) -> DataFrame:
         nodes = saved(nodes.toDF("node"), "nodes")
-        holders = pick(places, nodes, "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
-        some = pick(named(exploded(pick(texts, holders, "row"))), nodes, "node")
+        holders = pick(firsts, nodes, "node").select("first.row")
+        some = pick(named(exploded(pick(texts, holders, "row"))), nodes, "node").groupBy("node").agg(F.min("line").alias("line"))
         # a line is much smaller than its set, which is made where it is compared
-        return some.groupBy("node").agg(F.min("line").alias("set"))
+        return some.withColumn("size", F.size(F.array_distinct(shingles_of(F.col("line")))))
 
-    roots = line_components(items, lines_of, scheme)
+    roots = line_components(items, names, lines_of, scheme)
     roots = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
-    grouped = places.join(roots, "node", "left")
     # lines without a link are grouped with their exact copies; ``proof`` keeps apart those whose names clash
-    group = F.struct(F.coalesce("root", "node").alias("node"), F.when(F.col("root").isNull(), F.col("proof")).alias("proof"))
-    return grouped.select("row", "line_no", group.alias("group"))
+    lone = F.when(F.col("root").isNull(), F.col("proof"))
+    nodes = saved(firsts.join(roots, "node", "left").withColumn("lone", lone).withColumn("root", F.coalesce("root", "node")), "grouped")
+    groups = nodes.groupBy("root", "lone").agg(F.min("first").alias("keep"), F.sum("copies").alias("group_size"))
+    groups = groups.select(F.col("root").alias("g"), F.col("lone").alias("l"), "keep", "group_size")
+    found = nodes.join(groups, (F.col("root") == F.col("g")) & F.col("lone").eqNullSafe(F.col("l")))
+    return places, found.select("node", "proof", "keep", "group_size")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SCHEME) -> DataFrame:
@@ -212,11 +231,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty texts have no rows and are never removed. Rows that repeat an id and its text share one verdict. Other columns
     are ignored. An empty table gives an empty result.
     """
-    lines = saved(line_groups(docs, id_col, text_col, scheme), "lines")
-    lines = lines.select("row", "line_no", F.col("group.node").alias("node"), F.col("group.proof").alias("proof"))
-    first = lines.groupBy(F.col("node").alias("n"), F.col("proof").alias("p"))
-    first = first.agg(F.min(F.struct("row", "line_no")).alias("keep"), F.count("*").alias("group_size"))
-    return lines.join(first, (F.col("node") == F.col("n")) & F.col("proof").eqNullSafe(F.col("p"))).select(
+    places, groups = line_groups(docs, id_col, text_col, scheme)
+    return places.join(groups, ["node", "proof"]).select(
         F.col("row.id").alias("doc_id"),
         "line_no",
         F.col("keep.row.id").alias("keep_doc"),
