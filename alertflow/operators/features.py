@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertflow.functions import rules, text
-from alertflow.functions.quantile import exact_quantile
+from alertflow.functions.quantile import exact_quantiles
 from alertflow.session import cut_lineage, once
 
 CATEGORICAL = ("service_name", "hostname", "level", "logger")
@@ -74,8 +74,8 @@ def fit_statistics(logs: DataFrame, numeric: Sequence[str] = NUMERIC) -> DataFra
 
 def fit_medians(logs: DataFrame, numeric: Sequence[str] = NUMERIC) -> DataFrame:
     """One row of exact medians."""
-    one = logs.sparkSession.range(1)
-    return one.select(*[exact_quantile(logs, c, 0.5).alias(f"{c}_median") for c in numeric])
+    found = exact_quantiles(logs, {c: (c, 0.5) for c in numeric})
+    return logs.sparkSession.range(1).select(*[F.lit(found[c]).cast("double").alias(f"{c}_median") for c in numeric])
 
 
 def one_row(stats: DataFrame) -> Column:

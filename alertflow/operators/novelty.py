@@ -1,13 +1,14 @@
-"""Novelty models: fitted on bounded samples, stored as tables, applied to whole tables.
+"""Novelty models: fitted on all rows, stored as tables, applied to whole tables.
 
-Fitting yields ordinary DataFrames whose size is fixed by parameters (trees,
-sample and neighbour counts), never by the data. Scoring loads such a table,
-checks its size, broadcasts it and runs as one Arrow function on the feature
-column, so the scored rows are not shuffled.
+The forest (rows of a tree are a parameter of the method) and the kernel model (sums over all rows per random feature)
+are tables whose size is fixed by parameters. Scoring loads them, checks their size, broadcasts them and runs as one
+Arrow function on the feature column, so the scored rows are not shuffled. The local outlier factor keeps every row; it is
+fitted and applied by an exact nearest-neighbour join.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -17,20 +18,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertflow.functions.quantile import exact_quantile
+from alertflow.functions.quantile import exact_quantiles
 from alertflow.operators import features as fx
 from alertflow.operators import scoring
+from alertflow.operators.neighbours import knn_join
 from alertflow.session import cut_lineage
 
 # Model parameters.
 TREES, TREE_SAMPLE, SEED, CONTAMINATION = 100, 256, 42, 0.1
-SUPPORT, NU = 500, 0.1
-NEIGHBOURS, REFERENCE = 20, 1000
-MIN_SAMPLES, MAX_SAMPLES, REFIT_HOURS = 1000, 100_000, 24
+NU, NEIGHBOURS = 0.1, 20
+MIN_SAMPLES, REFIT_HOURS = 1000, 24
 ROW_CHUNK = 1000
+# Random features of the kernel model; draws are whole numbers below SPAN, moved by STEP from tree to tree.
+FREQUENCIES = 512
+SPAN, STEP = 1 << 52, 2_783_377_641_436_327
 
 
-# -- bounded samples ---------------------------------------------------------------
+# -- samples ---------------------------------------------------------------
 
 
 def bounded_sample(df: DataFrame, k: int, id_col: str = "id", seed: int = SEED) -> DataFrame:
@@ -74,12 +78,18 @@ def path_norm(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes (feature, cut, low, high, size, depth); feature -1 marks a leaf."""
+def node_draws(seed: int, tree: int, path: int) -> tuple[int, float]:
+    """A whole number and a share in [0, 1) for a node, which is named by its path: 1, then 2 p and 2 p + 1."""
+    h = hashlib.md5(f"{seed}:{tree}:{path}".encode()).hexdigest()
+    return int(h[13:26], 16), int(h[:13], 16) / SPAN
+
+
+def grow_tree(x: np.ndarray, seed: int, tree: int, limit: int) -> list[tuple]:
+    """Nodes (feature, cut, low, high, size, depth); feature -1 marks a leaf. Draws follow from seed, tree and path."""
     nodes: list[list] = []
-    work = [(np.arange(len(x)), 0, None, 0)]
+    work = [(np.arange(len(x)), 0, 1, None, 0)]
     while work:
-        rows, depth, parent, side = work.pop()
+        rows, depth, path, parent, side = work.pop()
         me = len(nodes)
         nodes.append([-1, 0.0, -1, -1, len(rows), depth])
         if parent is not None:
@@ -91,41 +101,45 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
         usable = np.flatnonzero(high > low)
         if len(usable) == 0:
             continue
-        f = int(rng.choice(usable))
-        cut = float(rng.uniform(low[f], high[f]))
+        which, share = node_draws(seed, tree, path)
+        f = int(usable[which % len(usable)])
+        cut = float(low[f] + share * (high[f] - low[f]))
         left = part[:, f] <= cut
         nodes[me][0], nodes[me][1] = f, cut
-        work.append((rows[~left], depth + 1, me, 1))
-        work.append((rows[left], depth + 1, me, 0))
+        work.append((rows[~left], depth + 1, 2 * path + 1, me, 1))
+        work.append((rows[left], depth + 1, 2 * path, me, 0))
     return [tuple(n) for n in nodes]
 
 
-def fit_isolation_forest(
-    vectors: DataFrame, trees: int = TREES, sample: int = TREE_SAMPLE, seed: int = SEED, pool: int | None = None
-) -> DataFrame:
-    """Tree table. Every tree draws ``sample`` rows from a shared bounded pool and is grown in its own task."""
-    pool = pool or 32 * sample
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    rows = bounded_sample(vectors.select("id", "features"), pool, seed=seed).repartition(cores, "id")
-    size = rows.agg(F.count("*")).scalar()
-    h = F.md5(F.concat(F.col("id").cast("string"), F.lit("/"), F.col("tree").cast("string"), F.lit(f":{seed}")))
-    share = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    spread = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", h)
-    likely = spread.filter(share <= F.lit(sample + 10 * sample**0.5 + 100) / size)
+def tree_samples(vectors: DataFrame, trees: int = TREES, sample: int = TREE_SAMPLE, seed: int = SEED) -> DataFrame:
+    """(tree, id, features): ``sample`` rows of the whole table for each tree, without replacement.
+
+    A row has one draw; a tree moves all draws around by its own step and takes the smallest, so its rows come from all
+    rows with equal chance. A threshold from the row count (ten sigma) leaves a little over ``sample`` rows a tree.
+    """
+    draw = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long")
+    n = vectors.agg(F.count("*")).scalar()
+    limit = F.lit(float(SPAN)) * F.lit(sample + 10 * sample**0.5 + 100) / F.greatest(n, F.lit(1))
+    rows = vectors.select("id", "features", draw.alias("_h")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    moved = (F.col("_h") + F.col("tree").cast("long") * F.lit(STEP)) % F.lit(SPAN)
+    likely = rows.withColumn("_h", moved).filter(F.col("_h") <= limit)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("_h", "id"))
-    drawn = likely.withColumn("_r", rank).filter(F.col("_r") <= sample).drop("_h", "_r")
+    return likely.withColumn("_r", rank).filter(F.col("_r") <= sample).select("tree", "id", "features")
+
+
+def fit_isolation_forest(vectors: DataFrame, trees: int = TREES, sample: int = TREE_SAMPLE, seed: int = SEED) -> DataFrame:
+    """Tree table. Every tree draws ``sample`` rows from the whole table and is grown in its own task."""
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
         tree = int(pdf["tree"].iloc[0])
         limit = int(np.ceil(np.log2(max(len(pdf), 2))))
-        nodes = grow_tree(_matrix(pdf["features"]), np.random.default_rng([seed, tree]), limit)
+        nodes = grow_tree(_matrix(pdf["features"]), seed, tree, limit)
         out = pd.DataFrame(nodes, columns=["feature", "cut", "low", "high", "size", "depth"])
         return out.assign(tree=tree, node=range(len(nodes)), sample=len(pdf))[
             ["tree", "node", "feature", "cut", "low", "high", "size", "depth", "sample"]
         ]
 
-    return drawn.groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
+    return tree_samples(vectors, trees, sample, seed).groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
 
 
 @dataclass
@@ -164,43 +178,51 @@ class Forest:
 
 # -- kernel mean ----------------------------------------------------------------------
 
+KERNEL_SCHEMA = "frequency int, weights array<double>, cosine double, sine double, gamma double"
 
-def fit_kernel(vectors: DataFrame, support: int = SUPPORT, seed: int = SEED) -> DataFrame:
-    """Support rows with the scale width 1 / (dimensions * variance of all entries).
 
-    The equal-weight case of a one-class kernel machine: no quadratic program is solved.
-    """
-    rows = bounded_sample(vectors.select("id", "features"), support, seed=seed)
-    entry = rows.select(F.size("features").alias("d"), F.explode("features").alias("v"))
-    width = entry.agg(F.lit(1.0) / (F.max("d") * F.nullif(F.var_pop("v"), F.lit(0.0)))).scalar()
-    return rows.withColumn("gamma", F.coalesce(width, F.lit(1.0)))
+def normal_draw(name: str) -> float:
+    """A standard normal number from the digest of a name (Box and Muller)."""
+    h = hashlib.md5(name.encode()).hexdigest()
+    u, v = (int(h[:13], 16) + 1) / SPAN, int(h[13:26], 16) / SPAN
+    return float(np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * v))
 
 
-def square_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """All pairs by one matrix product; rounding may leave a tiny value where rows are equal."""
-    out = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * (x @ y.T)
-    return np.maximum(out, 0.0, out=out)
+def kernel_error(frequencies: int, rows: int, risk: float = 1e-6) -> float:
+    """With probability 1 - ``risk`` no score of ``rows`` is further than this from the exact kernel mean (Hoeffding)."""
+    return float(np.sqrt(2.0 * np.log(2.0 * max(rows, 1) / risk) / frequencies))
 
 
-def nearest(x: np.ndarray, ref: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and exact distances of the ``k`` nearest reference rows, ties by position.
+def fit_kernel(vectors: DataFrame, frequencies: int = FREQUENCIES, seed: int = SEED) -> DataFrame:
+    """Mean of the Gaussian kernel over all rows, by random Fourier features (Rahimi and Recht 2007).
 
-    The fast distances only exclude: every row up to the k-th of them and a rounding margin is measured again by
-    differences, so equal rows come out at distance zero however many there are.
+    The width is 1 / (dimensions * variance of all entries). For frequencies w drawn from the kernel's spectrum, the mean
+    of cos(w (x - y)) over w estimates the kernel, and its mean over all rows y needs only the mean cosine and sine of w y:
+    two combinable sums a frequency, whatever the number of rows. ``kernel_error`` bounds the error.
+
+    This is the equal-weight case of a one-class kernel machine: no quadratic program is solved.
     """
-    rough = square_distances(x, ref)
-    if own is not None:
-        rough[np.arange(len(x)), own] = np.inf
-    k = min(k, len(ref) - (own is not None))
-    scale = (x * x).sum(axis=1) + (ref * ref).sum(axis=1).max(initial=0.0)
-    reach = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (1.0 + scale)
-    at, exact = np.empty((len(x), k), dtype=np.int64), np.empty((len(x), k))
-    for i, row in enumerate(rough):
-        near = np.flatnonzero(row <= reach[i])
-        d = np.sqrt(((x[i] - ref[near]) ** 2).sum(axis=1))
-        first = np.argsort(d, kind="stable")[:k]
-        at[i], exact[i] = near[first], d[first]
-    return at, exact
+    spark = vectors.sparkSession
+    entry = vectors.select(F.size("features").alias("d"), F.explode("features").alias("v"))
+    found = entry.agg(F.max("d").alias("d"), F.var_pop("v").alias("var")).first()
+    if not found["d"]:
+        return spark.createDataFrame([], KERNEL_SCHEMA)
+    d = found["d"]
+    gamma = 1.0 / (d * found["var"]) if found["var"] else 1.0
+    weights = np.array([[normal_draw(f"{seed}:{j}:{i}") for i in range(d)] for j in range(frequencies)]) * np.sqrt(2.0 * gamma)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cosine, sine, n = np.zeros(frequencies), np.zeros(frequencies), 0
+        for b in batches:
+            for low in range(0, len(b), ROW_CHUNK):
+                turn = _matrix(b["features"].iloc[low : low + ROW_CHUNK]) @ weights.T
+                cosine, sine, n = cosine + np.cos(turn).sum(axis=0), sine + np.sin(turn).sum(axis=0), n + len(turn)
+        yield pd.DataFrame({"frequency": range(frequencies), "c": cosine, "s": sine, "n": n})
+
+    parts = vectors.select("features").mapInPandas(sums, "frequency int, c double, s double, n long")
+    total = parts.groupBy("frequency").agg((F.sum("c") / F.sum("n")).alias("cosine"), (F.sum("s") / F.sum("n")).alias("sine"))
+    table = spark.createDataFrame(pd.DataFrame({"frequency": range(frequencies), "weights": [list(map(float, w)) for w in weights]}), "frequency int, weights array<double>")
+    return table.join(total, "frequency").withColumn("gamma", F.lit(gamma))
 
 
 def in_chunks(x: np.ndarray, fn) -> np.ndarray:
@@ -210,89 +232,66 @@ def in_chunks(x: np.ndarray, fn) -> np.ndarray:
 
 @dataclass
 class Kernel:
-    support: np.ndarray
-    gamma: float
+    weights: np.ndarray
+    cosine: np.ndarray
+    sine: np.ndarray
 
     @classmethod
     def load(cls, table: DataFrame, max_rows: int = 10_000) -> "Kernel":
-        pdf = _bounded(table, max_rows)
-        return cls(_matrix(pdf["features"]), float(pdf["gamma"].iloc[0]))
+        pdf = _bounded(table, max_rows).sort_values("frequency")
+        return cls(_matrix(pdf["weights"]), pdf["cosine"].to_numpy(), pdf["sine"].to_numpy())
 
     @property
     def width(self) -> int:
-        return self.support.shape[1]
+        return self.weights.shape[1]
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return in_chunks(x, lambda c: np.exp(-self.gamma * square_distances(c, self.support)).mean(axis=1))
-
+        def part(c: np.ndarray) -> np.ndarray:
+            turn = c @ self.weights.T
+            return (np.cos(turn) @ self.cosine + np.sin(turn) @ self.sine) / len(self.weights)
 
-# -- local outlier factor -----------------------------------------------------------------
+        return in_chunks(x, part)
 
 
-def fit_lof(vectors: DataFrame, k: int = NEIGHBOURS, reference: int = REFERENCE, seed: int = SEED) -> DataFrame:
-    """Reference rows with their k-distance and local reachability density.
+# -- local outlier factor -----------------------------------------------------------------
 
-    Neighbours are found by scoring the sample against itself in parallel; the
-    densities follow from joins on the (row, neighbour) table of ``k`` rows each.
-    """
-    rows = bounded_sample(vectors.select("id", "features"), reference, seed=seed)
-    pdf = rows.toPandas().sort_values("id").reset_index(drop=True)
-    spark = vectors.sparkSession
-    ref, ids = _matrix(pdf["features"]), pdf["id"].to_numpy()
-    shared = spark.sparkContext.broadcast((ref, ids))
-    id_type = vectors.schema["id"].dataType.simpleString()
 
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_rows, names = shared.value
-        place = {v: i for i, v in enumerate(names)}
-        for b in batches:
-            own = np.array([place[v] for v in b["id"]])
-            at, d = nearest(_matrix(b["features"]), all_rows, k, own)
-            yield pd.DataFrame(
-                {
-                    "id": np.repeat(b["id"].to_numpy(), at.shape[1]),
-                    "other": names[at].ravel(),
-                    "d": d.ravel(),
-                }
-            )
-
-    sample = spark.createDataFrame(pdf, vectors.select("id", "features").schema)
-    near = sample.mapInPandas(neighbours, f"id {id_type}, other {id_type}, d double")
-    reach = near.groupBy("id").agg(F.max("d").alias("k_distance"))
+def lof_model(rows: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """(id, features, k_distance, density, k) of every row, from its ``k`` + 1 nearest rows, itself among them or not."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
+    others = near.filter(F.col("id") != F.col("other")).withColumn("rank", rank).filter(F.col("rank") <= k)
+    reach = cut_lineage(others.groupBy("id").agg(F.max("d").alias("k_distance")))
     other = reach.select(F.col("id").alias("other"), F.col("k_distance").alias("other_k"))
-    density = (
-        near.join(other, "other")
-        .groupBy("id")
-        .agg((F.lit(1.0) / (F.avg(F.greatest("d", "other_k")) + F.lit(1e-10))).alias("density"))
+    density = others.join(other, "other").groupBy("id").agg(
+        (F.lit(1.0) / (F.avg(F.greatest("d", "other_k")) + F.lit(1e-10))).alias("density")
     )
-    return sample.join(reach, "id").join(density, "id").withColumn("k", F.lit(k))
+    return rows.select("id", "features").join(reach, "id").join(density, "id").withColumn("k", F.lit(k))
 
 
-@dataclass
-class Lof:
-    reference: np.ndarray
-    k_distance: np.ndarray
-    density: np.ndarray
-    k: int
+def fit_lof(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """Every row with its k-distance and local reachability density, by an exact neighbour join of all rows."""
+    rows = cut_lineage(vectors.select("id", "features"))
+    return lof_model(rows, knn_join(rows, rows, k + 1), k)
 
-    @classmethod
-    def load(cls, table: DataFrame, max_rows: int = 10_000) -> "Lof":
-        pdf = _bounded(table, max_rows).sort_values("id")
-        return cls(
-            _matrix(pdf["features"]), pdf["k_distance"].to_numpy(), pdf["density"].to_numpy(), int(pdf["k"].iloc[0])
-        )
 
-    @property
-    def width(self) -> int:
-        return self.reference.shape[1]
+def _lof(near: DataFrame, model: DataFrame) -> DataFrame:
+    there = model.select(F.col("id").alias("other"), "k_distance", "density")
+    reach = F.avg(F.greatest("d", "k_distance")) + F.lit(1e-10)
+    return near.join(there, "other").groupBy("id").agg((-(F.avg("density") * reach)).alias("raw"))
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        def part(c: np.ndarray) -> np.ndarray:
-            at, d = nearest(c, self.reference, self.k)
-            own = 1.0 / (np.maximum(d, self.k_distance[at]).mean(axis=1) + 1e-10)
-            return -(self.density[at].mean(axis=1) / own)
 
-        return in_chunks(x, part)
+def score_lof(vectors: DataFrame, model: DataFrame) -> DataFrame:
+    """(id, raw): minus the neighbours' mean density over the row's own; neighbours are rows of the model."""
+    k = model.select("k").first()["k"]
+    return _lof(knn_join(vectors.select("id", "features"), model, k), model)
+
+
+def lof_of_all(vectors: DataFrame, k: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
+    """The model of all rows and the scores of the same rows, from one neighbour join."""
+    rows = cut_lineage(vectors.select("id", "features"))
+    near = knn_join(rows, rows, k + 1)
+    model = cut_lineage(lof_model(rows, near, k))
+    return model, _lof(near.filter(F.col("rank") <= k), model)
 
 
 def _bounded(table: DataFrame, max_rows: int) -> pd.DataFrame:
@@ -305,7 +304,7 @@ def _bounded(table: DataFrame, max_rows: int) -> pd.DataFrame:
 
 # -- scoring -----------------------------------------------------------------------------------
 
-LOADERS = {"isolation_forest": Forest.load, "one_class_svm": Kernel.load, "local_outlier_factor": Lof.load}
+LOADERS = {"isolation_forest": Forest.load, "one_class_svm": Kernel.load}
 FITTERS = {"isolation_forest": fit_isolation_forest, "one_class_svm": fit_kernel, "local_outlier_factor": fit_lof}
 
 
@@ -336,16 +335,32 @@ def raw_scores(spark: SparkSession, tables: Mapping[str, DataFrame], with_terms:
     return apply(F.col("features"))
 
 
-def with_raw_scores(vectors: DataFrame, tables: Mapping[str, DataFrame], prefix: str = "raw_") -> DataFrame:
+def with_raw_scores(
+    vectors: DataFrame, tables: Mapping[str, DataFrame], prefix: str = "raw_", known: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """Adds ``<prefix><model>``. Small models score in one pass; the local outlier factor, whose model holds every row, by
+    a neighbour join on the unique ``id``. ``known`` has (id, raw) of models that are already scored."""
+    known = dict(known or {})
     sparse = "term_slots" in vectors.columns
-    out = vectors.withColumn("_raw", raw_scores(vectors.sparkSession, tables, sparse))
-    return out.select(*vectors.columns, *[F.col(f"_raw.{n}").alias(f"{prefix}{n}") for n in tables])
+    small = {n: t for n, t in tables.items() if n in LOADERS and n not in known}
+    out = vectors
+    if small:
+        out = out.withColumn("_raw", raw_scores(vectors.sparkSession, small, sparse))
+        out = out.select(*vectors.columns, *[F.col(f"_raw.{n}").alias(f"{prefix}{n}") for n in small])
+    for n in tables:
+        if n in LOADERS and n not in known:
+            continue
+        if n not in known:
+            width = F.size("features") if not sparse else F.lit(tables[n].select(F.size("features").alias("w")).first()["w"])
+            known[n] = score_lof(with_term_block(vectors, width - F.size("features")) if sparse else vectors, tables[n])
+        out = out.join(known[n].select("id", F.col("raw").alias(f"{prefix}{n}")), "id")
+    return out.select(*vectors.columns, *[f"{prefix}{n}" for n in tables])
 
 
 def fit_thresholds(
     sample: DataFrame, tables: Mapping[str, DataFrame], contamination: float = CONTAMINATION
 ) -> DataFrame:
-    """(model, threshold): the contamination quantile of the raw scores of the training sample."""
+    """(model, threshold): the contamination quantile of the raw scores of the training rows."""
     scored = cut_lineage(with_raw_scores(sample.select("id", "features"), tables, "").select(*tables))
     return contamination_threshold(scored, list(tables), contamination)
 
@@ -354,9 +369,8 @@ def contamination_threshold(
     scored: DataFrame, models: Sequence[str], contamination: float = CONTAMINATION
 ) -> DataFrame:
     """(model, threshold): exact quantile of each model's raw score column."""
-    one = scored.sparkSession.range(1)
-    cuts = [F.struct(F.lit(m).alias("model"), exact_quantile(scored, m, contamination).alias("threshold")) for m in models]
-    return one.select(F.inline(F.array(*cuts)))
+    found = exact_quantiles(scored, {m: (m, contamination) for m in models})
+    return scored.sparkSession.createDataFrame([(m, found[m]) for m in models], "model string, threshold double")
 
 
 def flag_models(scored: DataFrame, thresholds: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -404,29 +418,50 @@ def model_vectors(
     )
 
 
-def training_sample(vectors: DataFrame, max_samples: int = MAX_SAMPLES, terms: int = 0) -> DataFrame:
-    """Bounded (id, features) sample, written once so that fitting several models reads it, not the logs.
+def with_term_block(vectors: DataFrame, terms: Column) -> DataFrame:
+    """(id, features) with the term weights as ordinary entries behind the others."""
+    pairs = F.map_from_arrays(
+        F.coalesce("term_slots", F.array().cast("array<int>")),
+        F.coalesce("term_weights", F.array().cast("array<double>")),
+    )
+    slots = F.filter(F.sequence(F.lit(0), terms), lambda i: i < terms)
+    block = F.transform(slots, lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
+    return vectors.withColumn("_m", pairs).select("id", F.concat("features", block).alias("features"))
+
+
+def training_rows(vectors: DataFrame, terms: int = 0, max_samples: int | None = None) -> DataFrame:
+    """(id, features) to fit on, written once so that fitting several models reads it, not the logs: all rows, or the
+    ``max_samples`` with the smallest hash.
 
-    ``terms`` is the vocabulary size; term weights become ordinary entries of the sample's vectors.
+    ``terms`` is the vocabulary size; term weights become ordinary entries of the vectors.
     """
     cols = ["id", "features", *[c for c in ("term_slots", "term_weights") if c in vectors.columns]]
-    rows = bounded_sample(vectors.select(*cols), max_samples)
+    rows = vectors.select(*cols) if max_samples is None else bounded_sample(vectors.select(*cols), max_samples)
     if len(cols) > 2 and terms:
-        pairs = F.map_from_arrays(
-            F.coalesce("term_slots", F.array().cast("array<int>")),
-            F.coalesce("term_weights", F.array().cast("array<double>")),
-        )
-        rows = rows.withColumn("_m", pairs)
-        slots = F.sequence(F.lit(0), F.lit(terms - 1))
-        block = F.transform(slots, lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
-        rows = rows.withColumn("features", F.concat("features", block))
-    # a limit leaves one partition; later passes over the sample should use every core
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    return cut_lineage(rows.select("id", "features").repartition(cores, "id"))
+        rows = with_term_block(rows, F.lit(terms))
+    if max_samples is not None:
+        # a limit leaves one partition; later passes over the sample should use every core
+        rows = rows.repartition(vectors.sparkSession.sparkContext.defaultParallelism, "id")
+    return cut_lineage(rows.select("id", "features"))
+
 
+def fit_models(rows: DataFrame, models: Sequence[str] = scoring.MODELS) -> dict[str, DataFrame]:
+    return {m: FITTERS[m](rows) for m in models}
 
-def fit_models(sample: DataFrame, models: Sequence[str] = scoring.MODELS) -> dict[str, DataFrame]:
-    return {m: FITTERS[m](sample) for m in models}
+
+def fit_and_score(
+    rows: DataFrame, models: Sequence[str] = scoring.MODELS, contamination: float = CONTAMINATION
+) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """Models of all ``rows`` (a written table), the rows' own raw scores (id and a column a model), and thresholds."""
+    tables, known = {}, {}
+    for m in models:
+        if m == "local_outlier_factor":
+            tables[m], known[m] = lof_of_all(rows)
+        else:
+            tables[m] = FITTERS[m](rows)
+    scored = cut_lineage(with_raw_scores(rows, tables, "raw_", known).drop("features"))
+    named = scored.select(*[F.col(f"raw_{m}").alias(m) for m in models])
+    return tables, scored, contamination_threshold(named, list(models), contamination)
 
 
 def score_ensemble(
@@ -435,12 +470,26 @@ def score_ensemble(
     thresholds: DataFrame,
     threshold: float = scoring.MODEL_THRESHOLD,
     normalise=scoring.normalise,
+    feature_names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Logs with per-model scores and flags, the ensemble verdict, type, reasons and advice."""
-    names = list(tables)
-    raw = flag_models(with_raw_scores(vectors, tables), thresholds, names)
+    return verdicts(with_raw_scores(vectors, tables), list(tables), thresholds, threshold, normalise, feature_names)
+
+
+def verdicts(
+    scored: DataFrame, names: Sequence[str], thresholds: DataFrame, threshold: float = scoring.MODEL_THRESHOLD,
+    normalise=scoring.normalise, feature_names: Sequence[str] | None = None,
+) -> DataFrame:
+    """The same for log rows that have ``raw_<model>`` already."""
+    raw = flag_models(scored, thresholds, names)
     wide = raw.withColumns({m: normalise(F.col(f"raw_{m}")) for m in names})
-    return scoring.assemble_results(wide, fx.dense_names(), names, threshold)
+    return scoring.assemble_results(wide, feature_names or fx.dense_names(), names, threshold)
+
+
+def vector_names(sizes: Mapping[str, int], columns: Sequence[str] = ("service_name", "level"), terms: int = 0) -> list[str]:
+    """Names of all entries of a model vector in order: dense features, one-hot blocks, terms."""
+    blocks = [f"{c}_onehot_{i}" for c in columns for i in range(sizes[c])]
+    return [*fx.dense_names(), *blocks, *(f"text_tfidf_{i}" for i in range(terms))]
 
 
 # -- model store, status, evaluation --------------------------------------------------------------
@@ -500,15 +549,15 @@ def evaluate(scored: DataFrame, prediction: str = "is_anomaly", label: str = "la
 
 def refit(
     vectors: DataFrame, folder: str, version: int, models: Sequence[str] = scoring.MODELS,
-    min_samples: int = MIN_SAMPLES, max_samples: int = MAX_SAMPLES,
+    min_samples: int = MIN_SAMPLES, max_samples: int | None = None,
 ) -> DataFrame | None:
-    """Fit every model on a bounded sample and store it as a new version.
+    """Fit every model on all rows (or on ``max_samples`` of them) and store it as a new version.
 
     Run it from a scheduler every ``REFIT_HOURS``. Returns the status rows, or
     None without writing when there are too few rows to train on.
     """
     spark = vectors.sparkSession
-    sample = training_sample(vectors, max_samples)
+    sample = training_rows(vectors, max_samples=max_samples)
     n = sample.count()
     if n < min_samples:
         return None

@@ -360,7 +360,7 @@ def assemble_results(
             "anomaly_type": anomaly_type(),
             "anomaly_reasons": anomaly_reasons(flags),
             "recommendations": recommendations(F.col("service_name"), anomaly_type(), F.col("anomaly_score")),
-            "features_analyzed": F.array(*[F.lit(n) for n in feature_names]),
+            "features_analyzed": F.lit(list(feature_names)),
             "model_version": F.lit(version),
             "model_predictions": F.create_map(*[x for m in models for x in (F.lit(m), flags[m])]),
             "individual_scores": F.create_map(*[x for m in models for x in (F.lit(m), F.col(m))]),

@@ -151,7 +151,11 @@ def _walker(window: int, cap: int | None, reset: int, incoming: dict[int, dict],
 
 
 def emitted_chain(rows: DataFrame, window: int) -> DataFrame:
-    """(fp, t) of the emitted alerts without a cap, from distinct (fp, t) in microseconds; nothing is walked."""
+    """(fp, t) of the emitted alerts without a cap, from distinct (fp, t) in microseconds; nothing is walked.
+
+    An alert after a pause of a window is emitted whatever came before: it heads a chain, and the chain before it ends
+    there. So chains share no alert, and each alert is reached once.
+    """
     rows = cut_lineage(rows.select("fp", "t", F.expr(f"t div {window}").alias("b")))
     edges = rows.groupBy("fp", "b").agg(F.min("t").alias("low"), F.max("t").alias("high"))
     shifted = lambda n, col: edges.select("fp", (F.col("b") + n).alias("b"), F.col(col).alias(f"{col}_{n}"))
@@ -164,13 +168,14 @@ def emitted_chain(rows: DataFrame, window: int) -> DataFrame:
     found = both.withColumn("n", seen.over(later.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("of").isNotNull())
     following = edges.select("fp", (F.col("b") - 1).alias("b"), F.col("low").alias("next_low"))
     jump = found.join(following, ["fp", "b"], "left").select("fp", F.col("of").alias("t"), F.coalesce("n", "next_low").alias("n"))
-    jump = cut_lineage(jump.filter(F.col("n").isNotNull()))
+    jump = jump.filter(F.col("n").isNotNull())
 
     inside = Window.partitionBy("fp", "b").orderBy("t")
     before = F.coalesce(F.lag("t").over(inside), F.col("high_1"))
     heads = rows.join(shifted(1, "high"), ["fp", "b"], "left").withColumn("p", before)
     reached = heads.filter(F.col("p").isNull() | (F.col("t") - F.col("p") >= window)).select("fp", "t")
     reached = cut_lineage(reached)
+    jump = cut_lineage(jump.join(reached.select("fp", F.col("t").alias("n")), ["fp", "n"], "left_anti").select("fp", "t", "n"))
     while True:
         fresh = cut_lineage(reached.join(jump, ["fp", "t"]).select("fp", F.col("n").alias("t")))
         if fresh.isEmpty():
@@ -191,7 +196,11 @@ def _expected(chunks: DataFrame, window: int, cap: int, reset: int) -> dict[int,
     slot = F.expr(f"first_t div {reset}")
     live = F.col("t") > F.col("first_t") - window
     counted = F.expr(f"t div {reset}") == slot
-    near = emitted.join(first, "k").filter((F.col("t") < F.col("first_t")) & (live | counted))
+    # what counts for a range lies less than a window or an hour before it: the same stretch of time or the one before
+    width = max(window, reset)
+    ahead = emitted.withColumn("at", F.explode(F.array(F.expr(f"t div {width}"), F.expr(f"t div {width} + 1"))))
+    near = ahead.join(first.withColumn("at", F.expr(f"first_t div {width}")), ["k", "at"])
+    near = near.filter((F.col("t") < F.col("first_t")) & (live | counted))
     per_fp = near.groupBy("chunk", "first_t", "fp").agg(F.max(F.when(live, F.col("t"))).alias("last"), F.count_if(counted).alias("n"))
     state = per_fp.groupBy("chunk", "first_t").agg(
         F.collect_list(F.when(F.col("last").isNotNull(), F.struct("fp", "last"))).alias("last"), F.sum("n").alias("n")

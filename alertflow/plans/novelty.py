@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertflow.operators import alerts, features, incidents, novelty, scoring, suppress
+from alertflow.operators import alerts, features, incidents, neighbours, novelty, scoring, suppress
 from alertflow.plans.registry import Plans
 from alertflow.plans.tables import LOGS, logs, sql, table
 
@@ -31,9 +31,22 @@ def simple_vectors(spark, d):
 
 
 SIMPLE = "v AS (SELECT id, [duration_ms / 1000, line_number / 100, hour(event_ts)::DOUBLE] AS f FROM logs)"
-KERNEL = """g AS (SELECT 1 / (3 * var_pop(x)) AS gamma FROM (SELECT unnest(f) AS x FROM support)),
-  kernel AS (SELECT v.id, avg(exp(-(SELECT gamma FROM g) * (power(v.f[1] - s.f[1], 2) + power(v.f[2] - s.f[2], 2) + power(v.f[3] - s.f[3], 2)))) AS raw
-    FROM v, support s GROUP BY v.id)"""
+DRAW = "CAST('0x' || substr({0}, {1}, 13) AS BIGINT)"
+
+
+def draw(text: str, start: int) -> str:
+    """A whole number below 2^52 from 13 hex digits of a digest."""
+    return DRAW.format(f"md5({text})", start)
+
+
+SHARE = novelty.SPAN
+W = "'42:' || j || ':' || i"
+KERNEL = f"""g AS (SELECT 1 / (3 * var_pop(x)) AS gamma FROM (SELECT unnest(f) AS x FROM v)),
+  w AS (SELECT j, list(sqrt(-2 * ln(({draw(W, 1)} + 1) / {SHARE}::DOUBLE)) * cos(2 * pi() * ({draw(W, 14)} / {SHARE}::DOUBLE)) * sqrt(2 * gamma) ORDER BY i) AS w
+    FROM range({novelty.FREQUENCIES}) a(j), range(3) b(i), g GROUP BY j),
+  turns AS (SELECT id, j, w[1] * f[1] + w[2] * f[2] + w[3] * f[3] AS turn FROM v, w),
+  sums AS (SELECT j, avg(cos(turn)) AS c, avg(sin(turn)) AS s FROM turns GROUP BY j),
+  kernel AS (SELECT id, avg(cos(turn) * c + sin(turn) * s) AS raw FROM turns JOIN sums USING (j) GROUP BY id)"""
 
 
 def kernel_scores(spark, d):
@@ -41,7 +54,7 @@ def kernel_scores(spark, d):
     return novelty.with_raw_scores(v, {"one_class_svm": novelty.fit_kernel(v)}, "raw_").select("id", "raw_one_class_svm")
 
 
-@plans.add("kernel_novelty", sql(LOGS, SIMPLE, sampled_sql("v", 500), KERNEL, """SELECT id, round(raw, 6) AS raw,
+@plans.add("kernel_novelty", sql(LOGS, SIMPLE, KERNEL, """SELECT id, round(raw, 6) AS raw,
   round(greatest(0, least(1, 0.5::DOUBLE - raw)), 6) AS score FROM kernel"""))
 def _(spark, d):
     from alertflow.operators.scoring import normalise
@@ -50,7 +63,7 @@ def _(spark, d):
     return kernel_scores(spark, d).select("id", F.round(raw, 6).alias("raw"), F.round(normalise(raw), 6).alias("score"))
 
 
-@plans.add("contamination_threshold", sql(LOGS, SIMPLE, sampled_sql("v", 500), KERNEL,
+@plans.add("contamination_threshold", sql(LOGS, SIMPLE, KERNEL,
   "SELECT 'one_class_svm' AS model, round(quantile_cont(raw, 0.1), 6) AS threshold FROM kernel"))
 def _(spark, d):
     scored = kernel_scores(spark, d).withColumnRenamed("raw_one_class_svm", "one_class_svm")
@@ -58,7 +71,7 @@ def _(spark, d):
     return cut.withColumn("threshold", F.round("threshold", 6))
 
 
-@plans.add("model_flags", sql(LOGS, SIMPLE, sampled_sql("v", 500), KERNEL,
+@plans.add("model_flags", sql(LOGS, SIMPLE, KERNEL,
   "SELECT id, raw < (SELECT quantile_cont(raw, 0.1) FROM kernel) AS one_class_svm_flag FROM kernel"))
 def _(spark, d):
     scored = kernel_scores(spark, d)
@@ -73,23 +86,56 @@ def embedding_vectors(spark, d):
 
 
 LOF = """near AS (SELECT a.id, b.id AS other, list_distance(a.f, b.f) AS d,
-    row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) AS r FROM support a JOIN support b ON a.id <> b.id QUALIFY r <= 20),
+    row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) AS r FROM v a JOIN v b ON a.id <> b.id QUALIFY r <= 20),
   kd AS (SELECT id, max(d) AS kd FROM near GROUP BY id),
   lrd AS (SELECT n.id, 1 / (avg(greatest(d, kd.kd)) + 1e-10::DOUBLE) AS lrd FROM near n JOIN kd ON kd.id = n.other GROUP BY n.id),
   seen AS (SELECT v.id, s.id AS other, list_distance(v.f, s.f) AS d,
-    row_number() OVER (PARTITION BY v.id ORDER BY list_distance(v.f, s.f), s.id) AS r FROM v, support s QUALIFY r <= 20),
+    row_number() OVER (PARTITION BY v.id ORDER BY list_distance(v.f, s.f), s.id) AS r FROM v, v s QUALIFY r <= 20),
   lof AS (SELECT s.id, -avg(lrd.lrd) * (avg(greatest(d, kd.kd)) + 1e-10::DOUBLE) AS raw FROM seen s JOIN kd ON kd.id = s.other JOIN lrd ON lrd.id = s.other GROUP BY s.id)"""
+EMBEDDED = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings)"
 
 
-@plans.add("local_outlier_factor", sql("v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings)", sampled_sql("v", 1000), LOF,
-  "SELECT id, round(raw, 5) AS raw FROM lof"))
+@plans.add("local_outlier_factor", sql(EMBEDDED, LOF, "SELECT id, round(raw, 5) AS raw FROM lof"))
 def _(spark, d):
-    v = embedding_vectors(spark, d)
-    scored = novelty.with_raw_scores(v, {"local_outlier_factor": novelty.fit_lof(v)}, "raw_")
-    return scored.select("id", F.round("raw_local_outlier_factor", 5).alias("raw"))
+    """Fitted on every row, and every row scored."""
+    _, scored = novelty.lof_of_all(embedding_vectors(spark, d))
+    return scored.select("id", F.round("raw", 5).alias("raw"))
 
 
-@plans.add("isolation_forest")
+@plans.add("nearest_neighbours", sql(EMBEDDED, """near AS (SELECT a.id, b.id AS other, round(list_distance(a.f, b.f), 6) AS d,
+    (row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id))::INTEGER AS rank FROM v a, v b QUALIFY rank <= 5)""", "SELECT * FROM near"))
+def _(spark, d):
+    """The five nearest rows of every row, itself among them, over cells of some fifty rows."""
+    v = embedding_vectors(spark, d).select("id", "features")
+    return neighbours.knn_join(v, v, 5, cell_rows=50, block=32).select("id", "other", F.round("d", 6).alias("d"), "rank")
+
+
+N = "'42:' || tree || ':' || node"
+SPLIT = f"""SELECT *, usable[{draw(N, 14)} % nullif(len(usable), 0) + 1] AS feature, {draw(N, 1)} / {SHARE}::DOUBLE AS share
+      FROM (SELECT *, list_filter([1, 2, 3], lambda i: n >= 2 AND depth < lim AND highs[i] > lows[i]) AS usable
+        FROM (SELECT *, (SELECT lim FROM size) AS lim FROM"""
+NORM = "CASE WHEN {0} > 2 THEN 2 * (ln({0} - 1) + 0.5772156649015329::DOUBLE) - 2 * ({0} - 1) / {0}::DOUBLE WHEN {0} = 2 THEN 1::DOUBLE ELSE 0::DOUBLE END"
+FOREST = (
+    f"draws AS (SELECT id, f, {draw("id || ':42'", 1)} AS h FROM v)",
+    f"""drawn AS (SELECT tree, id, f FROM draws, range({novelty.TREES}) t(tree)
+    QUALIFY row_number() OVER (PARTITION BY tree ORDER BY (h + tree * {novelty.STEP}) % {SHARE}, id) <= {novelty.TREE_SAMPLE})""",
+    "size AS (SELECT least(count(*), 256) AS n, ceil(log2(greatest(least(count(*), 256), 2))) AS lim FROM v)",
+    f"""m AS (SELECT tree, 1::BIGINT AS node, 0 AS depth, id, f FROM drawn
+    UNION ALL
+    SELECT tree, 2 * node + (f[feature] > lows[feature] + share * (highs[feature] - lows[feature]))::INT, depth + 1, id, f
+    FROM ({SPLIT} (SELECT *, count(*) OVER w AS n, [min(f[1]) OVER w, min(f[2]) OVER w, min(f[3]) OVER w] AS lows,
+      [max(f[1]) OVER w, max(f[2]) OVER w, max(f[3]) OVER w] AS highs FROM m WINDOW w AS (PARTITION BY tree, node)))))
+    WHERE feature IS NOT NULL)""",
+    f"""nodes AS (SELECT tree, node, depth, n, feature, lows[feature] + share * (highs[feature] - lows[feature]) AS cut
+    FROM ({SPLIT} (SELECT tree, node, depth, count(*) AS n, [min(f[1]), min(f[2]), min(f[3])] AS lows, [max(f[1]), max(f[2]), max(f[3])] AS highs
+      FROM m GROUP BY ALL)))))""",
+    f"""steps AS (SELECT id, f, tree::BIGINT AS tree, 1::BIGINT AS node FROM v, range({novelty.TREES}) t(tree)
+    UNION ALL SELECT s.id, s.f, s.tree, 2 * s.node + (s.f[feature] > cut)::INT FROM steps s JOIN nodes USING (tree, node) WHERE feature IS NOT NULL)""",
+    f"""paths AS (SELECT id, sum(depth + {NORM.format("n")}) / {novelty.TREES} AS path FROM steps JOIN nodes USING (tree, node) WHERE feature IS NULL GROUP BY id)""",
+)
+
+
+@plans.add("isolation_forest", sql(LOGS, SIMPLE, *FOREST, f"""SELECT id, round(-pow(2::DOUBLE, -path / (SELECT {NORM.format("n")} FROM size)), 9) AS raw FROM paths"""))
 def _(spark, d):
     v = simple_vectors(spark, d)
     scored = novelty.with_raw_scores(v, {"isolation_forest": novelty.fit_isolation_forest(v)}, "raw_")
@@ -99,11 +145,11 @@ def _(spark, d):
 def scored_by_models(spark, d, with_text=False):
     rows = logs(spark, d, True)
     fitted = features.fit_features(rows, with_text=with_text)
-    v = novelty.model_vectors(rows, fitted)
+    sizes = novelty.category_sizes(fitted["categories"])
+    v = novelty.model_vectors(rows, fitted, sizes=sizes)
     terms = fitted["vocabulary"].count() if with_text else 0
-    sample = novelty.training_sample(v, terms=terms)
-    tables = novelty.fit_models(sample)
-    return novelty.score_ensemble(v, tables, novelty.fit_thresholds(sample, tables))
+    tables, scored, cuts = novelty.fit_and_score(novelty.training_rows(v, terms))
+    return novelty.verdicts(v.join(scored, "id"), list(tables), cuts, feature_names=novelty.vector_names(sizes, terms=terms))
 
 
 def verdicts(spark, d, with_text):

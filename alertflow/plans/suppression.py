@@ -43,6 +43,12 @@ def _(spark, d):
     return suppress.suppress_duplicates(build(spark, d)).select("alert_id", "fingerprint", "created_at")
 
 
+@plans.add("suppression_without_cap_decisions", sql(*BASE, chain_sql(300), """SELECT a.alert_id,
+  CASE WHEN e.alert_id IS NULL THEN 'suppressed' ELSE 'emitted' END AS decision FROM alerts a LEFT JOIN emitted e USING (alert_id)"""))
+def _(spark, d):
+    return suppress.label_alerts(build(spark, d), 300, None).select("alert_id", "decision")
+
+
 @plans.add("suppress_duplicates_long_window", sql(*BASE, chain_sql(7200), "SELECT * FROM emitted"))
 def _(spark, d):
     return suppress.suppress_duplicates(build(spark, d), 7200).select("alert_id", "fingerprint", "created_at")

@@ -134,3 +134,23 @@ def test_even_repeats_of_one_fingerprint_need_no_long_walk(spark, cap):
         )
         assert set(got) == want and len(got) == len(want)
     assert counts[32] <= counts[8] + 2
+
+
+@pytest.mark.parametrize("windows", [0.1, 1, 1.5, 2.5])
+def test_even_spacing_gives_one_row_an_alert(spark, windows):
+    rows = [(f"id{i:04d}", "s", f"f{i % 2}", START + dt.timedelta(seconds=300 * windows * (i // 2))) for i in range(400)]
+    got = suppress.label_alerts(frame(spark, rows), 300, None).select("alert_id", "decision").collect()
+    assert len(got) == len(rows) and {r.alert_id: r.decision for r in got} == loop(rows, 300, None)
+    times = spark.createDataFrame([("f", int(300e6 * windows * i)) for i in range(200)], "fp string, t bigint")
+    reached = suppress.emitted_chain(times, 300_000_000)
+    assert reached.count() == reached.distinct().count() <= 200
+
+
+def test_pauses_and_bursts_mixed(spark):
+    rnd = random.Random(9)
+    at, rows = 0.0, []
+    for i in range(500):
+        at += rnd.choice([1, 10, 299, 300, 301, 450, 599, 600, 2000])
+        rows.append((f"id{i:04d}", "s", "f", START + dt.timedelta(seconds=at)))
+    got = suppress.label_alerts(frame(spark, rows), 300, None).select("alert_id", "decision").collect()
+    assert len(got) == 500 and {r.alert_id: r.decision for r in got} == loop(rows, 300, None)
