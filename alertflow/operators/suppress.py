@@ -15,11 +15,11 @@ along (key, time) ranges:
 1. rows shrink to one candidate per (key, fingerprint, instant);
 2. the candidates are range-partitioned by (key, time), so a hot key spreads
    over many partitions, and are written to the checkpoint folder once;
-3. every partition is walked in parallel, one Arrow batch at a time, starting
-   from the state that the alerts before it would leave if no cap applied, and
+3. every partition is walked in parallel, one Arrow batch at a time, and
    reports the little state it leaves behind;
 4. partitions that turn out to start from another state are walked again with
-   that state until nothing changes.
+   that state until nothing changes; after a few passes the open ones start from
+   the state that the alerts before them would leave if no cap applied.
 
 Only the state summaries (live fingerprints and a counter per partition) reach
 the driver. Where the cap does not bind the first state is already right; where
@@ -43,6 +43,8 @@ from alertflow.session import cut_lineage
 
 MICROS = 1_000_000
 EMITTED, SUPPRESSED, LIMITED = "emitted", "suppressed", "limited"
+# Passes over the ranges before their starting states are worked out without handing them on.
+PATIENCE = 3
 
 
 def epoch_micros(col: str):
@@ -180,7 +182,8 @@ def emitted_chain(rows: DataFrame, window: int) -> DataFrame:
         fresh = cut_lineage(reached.join(jump, ["fp", "t"]).select("fp", F.col("n").alias("t")))
         if fresh.isEmpty():
             return reached
-        reached = cut_lineage(reached.unionByName(fresh))
+        # every part is written already, so the union reads and moves nothing anew
+        reached = reached.unionByName(fresh)
         twice = jump.select("fp", F.col("t").alias("n"), F.col("n").alias("nn"))
         jump = cut_lineage(jump.join(twice, ["fp", "n"]).select("fp", "t", F.col("nn").alias("n")))
 
@@ -213,12 +216,23 @@ def _expected(chunks: DataFrame, window: int, cap: int, reset: int) -> dict[int,
 
 
 def _settle(chunks: DataFrame, window: int, cap: int, reset: int) -> dict[int, dict]:
-    """Left-over state each partition must start from, found by repeated parallel passes."""
+    """Left-over state each partition must start from, found by repeated parallel passes.
+
+    A range that holds a pause and the turn of an hour leaves the same state whatever it started from, so two or three
+    passes settle most data. If some ranges are still open after PATIENCE passes, they start anew from the state that
+    holds if no cap applies, which does not hand a state from range to range.
+    """
     schema = "chunk int, first_k string, last_k string, first_t bigint, state string"
-    used = _expected(chunks, window, cap, reset)
+    used: dict[int, dict] = {}
     ends: dict[int, tuple] = {}
-    todo = None
+    todo, passes = None, 0
     while todo is None or todo:
+        if passes == PATIENCE:
+            guess, open_from = _expected(chunks, window, cap, reset), min(todo)
+            later = [c for c in ends if c >= open_from]
+            todo |= {c for c in later if guess.get(c, fresh_state()) != used.get(c, fresh_state())}
+            used = {c: v for c, v in used.items() if c < open_from} | {c: guess[c] for c in later if c in guess}
+        passes += 1
         part = chunks if todo is None else chunks.filter(F.col("chunk").isin(sorted(todo)))
         found = part.mapInPandas(_walker(window, cap, reset, used, True), schema).collect()
         for r in found:
