@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,19 +58,22 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
 def _cut(vocabulary: str, end: int, size: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.asarray([end], "<u4").tobytes()
+        context = TaskContext.get()
+        row = (context.partitionId() if context else 0) << 33
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
+                out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", "ids")}
                 texts = map(encoder(vocabulary).encode, piece.column("text").to_pylist())
                 for doc, raw in zip(piece.column("doc_id").to_pylist(), texts, strict=True):
                     raw += tail
+                    row += 1
                     for low in range(0, len(raw), 4 * size):
                         part = raw[low : low + 4 * size]
-                        row = (doc, low // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4, part)
-                        for column, value in zip(out.values(), row, strict=True):
+                        values = (doc, low // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4, row, part)
+                        for column, value in zip(out.values(), values, strict=True):
                             column.append(value)
-                types = [pa.int64()] * 5 + [pa.binary()]
+                types = [pa.int64()] * 6 + [pa.binary()]
                 columns = [pa.array(v, t) for v, t in zip(out.values(), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=list(out))
 
@@ -84,28 +88,32 @@ def token_pieces(
     end: int = END,
     size: int = LENGTH,
 ) -> DataFrame:
-    """Each text's ids and the end id, cut into pieces of ``size`` and a rest; ``ids`` has them, little-endian 32 bits."""
-    return narrow(docs, id_col, text_col).mapInArrow(_cut(vocabulary, end, size), f"{PIECE}, ids binary")
+    """Each text's ids and the end id, cut into pieces of ``size`` and a rest; ``ids`` has them, little-endian 32 bits.
+
+    ``row`` numbers the input rows, so that rows equal in id and text are told apart.
+    """
+    return narrow(docs, id_col, text_col).mapInArrow(_cut(vocabulary, end, size), f"{PIECE}, row long, ids binary")
 
 
 def _pack(size: int):
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("row", "ascending"), ("start", "ascending")])
         bins, offset = first_fit_decreasing(table.column("length").to_numpy(), size)
         ids = bins + (table.column("group").to_numpy().astype(np.int64) << 32)
-        return table.drop_columns(["group"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
+        return table.drop_columns(["group", "row"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
 
     return pack
 
 
 def pack_pieces(pieces: DataFrame, n_docs: int, size: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Place pieces into sequences: documents are dealt into groups by a hash, each packed on its own.
+    """Place pieces into sequences: documents are dealt into groups by a hash of id and row, each packed on its own.
 
-    A group has about ``group_docs`` documents whatever the table holds, so its task and its tree stay small. Sequence
+    A group has about ``group_docs`` documents whatever the table holds, also where most rows are equal, so its task and
+    its tree stay small. The pieces of a document are one group's. Sequence
     ids are the group's number and the bin's. Only lengths and names travel, no ids.
     """
     groups = max(1, -(-n_docs // group_docs))
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(SEED)), F.lit(groups))
+    group = F.pmod(F.xxhash64("doc_id", "row", F.lit(SEED)), F.lit(groups))
     return pieces.withColumn("group", group).groupBy("group").applyInArrow(_pack(size), PLACED)
 
 

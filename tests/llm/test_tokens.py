@@ -12,6 +12,8 @@ from tokenizers import Tokenizer
 from alertflow.llm import packing, token_count, token_files
 from alertflow.llm.encode import ChunkEncoder
 
+from .conftest import frame
+
 
 def library(name):
     return Tokenizer.from_file(public_tokenizers.path(name))
@@ -94,6 +96,23 @@ def test_packing_places_every_id_once(odd, empty, documents):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_equal_rows_are_many_groups(spark):
+    """A table that is mostly one row: no group grows with it, and a document's pieces are one group's."""
+    rows = [(None, "")] * 20_000 + [(5, "same text")] * 5000 + [(k, "word " * 9000) for k in range(100, 110)]
+    docs = frame(spark, rows).repartition(6)
+    got = packing.pack_documents(docs, group_docs=500).collect()
+    members, of = defaultdict(int), defaultdict(set)
+    for r in got:
+        members[r.sequence_id >> 32] += r.start == 0
+        of[r.doc_id].add(r.sequence_id >> 32)
+    assert sum(members.values()) == len(rows) and max(members.values()) < 1000 and len(members) >= 45
+    assert all(len(of[k]) == 1 for k in range(100, 110))
+    used = defaultdict(int)
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048
+
+
 def test_tournament_tree_is_first_fit():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 101, 500)
