@@ -16,6 +16,8 @@ from alertflow.llm.common import SLICE, byte_rows, small_batches
 BUCKET_BITS, GRAMS = 15, (2, 3, 4)
 #: With more languages than this the code is random instead of exhaustive, of CODE_BITS bits.
 EXHAUSTIVE, CODE_BITS, SEED = 6, 31, 5
+#: Draws of a random code before it is given up.
+TRIES = 200
 #: Scale of a mean margin before the loss, and the least lead of the nearest codeword that is not called ambiguous.
 SHARPNESS, LEAD = 12.0, 0.02
 UNKNOWN = "und"
@@ -38,19 +40,37 @@ def gram_buckets(raw: bytes, bits: int = BUCKET_BITS) -> np.ndarray:
 
 
 def codewords(n: int, code_bits: int = CODE_BITS, seed: int = SEED) -> np.ndarray:
-    """One row of +1 and -1 per language: all splits of few languages, else random ones that tell every two apart."""
+    """One row of +1 and -1 per language: all splits of few languages, else random ones that tell every two apart.
+
+    A random code has ``code_bits`` bits, or four for each doubling of the languages and eight more, so that any number of
+    labels, clean or not, finds one in a few draws.
+    """
     if n <= 1:
         return np.ones((n, 0), np.int8)
     if n <= EXHAUSTIVE:
         columns = [[1, *(1 if (m >> k) & 1 else -1 for k in range(n - 1))] for m in range(2 ** (n - 1) - 1)]
         return np.asarray(columns, np.int8).T
-    rng = np.random.default_rng(seed)
-    while True:
-        code = rng.choice(np.asarray([-1, 1], np.int8), (n, code_bits))
-        apart = code.astype(int) @ code.T.astype(int)
-        np.fill_diagonal(apart, -code_bits)
-        if abs(code.sum(axis=0)).max() < n and apart.max() <= code_bits - 2 * (code_bits // 5):
+    rng, sides = np.random.default_rng(seed), np.asarray([-1, 1], np.int8)
+    bits = max(code_bits, 4 * (n - 1).bit_length() + 8)
+    most = bits - 2 * (bits // 5)
+    code = rng.choice(sides, (n, bits))
+    for _ in range(TRIES):
+        clash = _too_near(code, most)
+        if not len(clash) and abs(code.sum(axis=0, dtype=int)).max() < n:
             return code
+        # only the later row of a pair is drawn again
+        code[clash if len(clash) else slice(None)] = rng.choice(sides, (len(clash) or n, bits))
+    raise ValueError(f"no code of {bits} bits for {n} languages after {TRIES} draws")
+
+
+def _too_near(code: np.ndarray, most: int, block: int = 1024) -> np.ndarray:
+    """Rows that agree with an earlier row in more bits than allowed, by blocks of rows."""
+    whole, found = code.astype(np.float32), []
+    for low in range(0, len(code), block):
+        like = whole[low : low + block] @ whole[: low + block].T
+        later = np.arange(low, low + len(like))[:, None] > np.arange(like.shape[1])[None, :]
+        found.append(low + np.flatnonzero(((like > most) & later).any(axis=1)))
+    return np.concatenate(found)
 
 
 @dataclass

@@ -100,6 +100,24 @@ def test_codewords_are_apart():
         assert all(0 < (column > 0).sum() < n for column in code.T)
 
 
+def test_codewords_of_very_many_labels():
+    """A dirty language column: some thousand labels."""
+    for n in (600, 7000):
+        code = langid.codewords(n).astype("float32")
+        like = code @ code.T
+        assert (like.diagonal() == code.shape[1]).all()
+        assert (like > code.shape[1] - 2 * (code.shape[1] // 5)).sum() == n
+
+
+def test_noisy_labels_do_not_stop_a_fit(spark):
+    rows = [(k, f"plain english words number {k} and the others", "en") for k in range(300)]
+    rows += [(300 + k, f"ganz andere deutsche worte nummer {k} und weiter", "de") for k in range(300)]
+    rows += [(1000 + k, f"x{k}", f"label-{k}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = langid.identify(docs, langid.fit_on_rest(docs)).collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
+
+
 def test_licenses(spark, empty):
     rows = [
         (1, "Licensed under the Apache License, Version 2.0.\nmore", "a/LICENSE"),
