@@ -9,6 +9,7 @@ from alertflow.plans.alerting import BASE, QUEUES, build
 from alertflow.plans.registry import Plans
 from alertflow.plans.scoring import DEFAULT
 from alertflow.plans.tables import LOGS, logs, sql
+from alertflow.session import new_folder
 from alertflow.sources import intake
 from alertflow.sources import tables as src
 from alertflow.streaming import flow
@@ -61,8 +62,8 @@ def _(spark, d):
 
 
 @plans.add("default_id_and_time", sql(LOGS, FEED, f"""n AS (SELECT *, coalesce(sent_ts, {NOW}) AS t FROM good)""",
-  """SELECT coalesce(sent_id, 'LOG-' || substr(sha256(concat_ws('|', service_name, hostname, sent_level, message, epoch_us(t),
-    row_number() OVER (PARTITION BY sent_id, service_name, hostname, sent_level, message, t ORDER BY event_id))), 1, 16)) AS id,
+  """SELECT coalesce(sent_id, 'LOG-' || substr(sha256(concat_ws('|', service_name, hostname, sent_level, message, coalesce(epoch_us(sent_ts)::VARCHAR, '\\N'),
+    row_number() OVER (PARTITION BY sent_id, service_name, hostname, sent_level, message, sent_ts ORDER BY event_id))), 1, 16)) AS id,
   t AS event_ts, message FROM n"""))
 def _(spark, d):
     good, _ = intake.split_malformed(parsed(spark, d))
@@ -146,6 +147,19 @@ def _(spark, d):
     return rows.select("alert_id", "batch", folder.alias("folder"))
 
 
+@plans.add("restarted_read", sql(LOGS, DEFAULT, "SELECT id, anomaly_score FROM scored_default"))
+def _(spark, d):
+    """Scored logs that arrive in two parts, read by a stream that stops after the first and goes on: each row once."""
+    folder = new_folder(spark, "restarted-read")
+    scored = scoring.score_default(logs(spark, d))
+    for part in (0, 1):
+        src.write_scored(scored.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == part), f"{folder}/scored")
+        stream = src.read_scored(spark, f"{folder}/scored", streaming=True).select("id", "anomaly_score")
+        sink = stream.writeStream.format("parquet").option("path", f"{folder}/seen").option("checkpointLocation", f"{folder}/offsets")
+        sink.trigger(**flow.ONCE).start().awaitTermination()
+    return spark.read.schema("id string, anomaly_score double").parquet(f"{folder}/seen")
+
+
 @plans.add("running_counters", sql(*BASE, """SELECT service_name, severity, status, count(*) AS alerts, max(created_at) AS last_seen
   FROM alerts GROUP BY ALL"""))
 def _(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def listed(name, where, fn):
 
 
 listed("incident_by_alert_id", "alert_id = 'ALERT-' || upper(substr(sha256('log-4'), 1, 16))",
-       lambda i: i.filter(F.col("alert_id") == F.concat(F.lit("ALERT-"), F.upper(F.substring(F.sha2(F.lit("log-4"), 256), 1, 16)))))
+       lambda i: iq.by_alert(i, "ALERT-" + hashlib.sha256(b"log-4").hexdigest()[:16].upper()))
 listed("incidents_by_service", "service_name = 'order-service'", lambda i: iq.by_fields(i, service_name="order-service"))
 listed("incidents_by_status", "status = 'RESOLVED'", lambda i: iq.by_fields(i, status="RESOLVED"))
 listed("incidents_by_severity", "severity = 'HIGH'", lambda i: iq.by_fields(i, severity="HIGH"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from alertflow.operators import alerts, features, incidents, neighbours, novelty, scoring, suppress
 from alertflow.plans.registry import Plans
 from alertflow.plans.tables import LOGS, logs, sql, table
+from alertflow.session import new_folder
 
 plans = Plans()
 
@@ -216,3 +217,24 @@ def _(spark, d):
     )
     out = novelty.evaluate(judged)
     return out.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1_score")])
+
+
+@plans.add("model_store_newest", sql(LOGS, SIMPLE, KERNEL.replace(f"range({novelty.FREQUENCIES}) a(j)", "range(16) a(j)"),
+  """SELECT j::INTEGER AS frequency, round(c, 6) AS cosine, round(s, 6) AS sine, (SELECT count(*) FROM v)::VARCHAR AS training_samples FROM sums"""))
+def _(spark, d):
+    """A model stored twice, the second time from all rows: the newest version and its metadata."""
+    folder, v = new_folder(spark, "model-store"), simple_vectors(spark, d)
+    for version, rows in ((1, v.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == 0)), (2, v)):
+        novelty.save_model(novelty.fit_kernel(rows, 16), folder, "one_class_svm", version, {"training_samples": rows.count()})
+    model, metadata = novelty.load_model(spark, folder, "one_class_svm")
+    samples = metadata.filter(F.col("key") == "training_samples").select("model", F.col("value").alias("training_samples"))
+    shown = model.select("frequency", *[F.round(c, 6).alias(c) for c in ("cosine", "sine")], F.lit("one_class_svm").alias("model"))
+    return shown.join(samples, "model").drop("model")
+
+
+@plans.add("model_refit_status", sql(LOGS, """n AS (SELECT count(*) AS n FROM logs)""", """SELECT m AS model_name, '3' AS version, n AS training_samples,
+  CASE WHEN n >= 1000 THEN 'loaded' ELSE 'training' END AS status FROM n, (SELECT unnest(['isolation_forest', 'one_class_svm']) AS m)"""))
+def _(spark, d):
+    """A refit on all rows writes its version and reports it."""
+    folder = new_folder(spark, "refit")
+    return novelty.refit(simple_vectors(spark, d), folder, 3, ("isolation_forest", "one_class_svm"))

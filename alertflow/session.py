@@ -26,23 +26,32 @@ def get_session(app: str = "alertflow", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
-def cut_lineage(df, eager: bool = True):
-    """Checkpoint ``df`` in the folder the cluster names.
-
-    ``spark.checkpoint.dir`` wins; a local folder is set only when the session
-    runs in local mode and names none.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark) -> str:
+    """The folder the cluster names; one of its own only for a local session that names none."""
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="alertflow-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark, name: str) -> str:
+    """A folder name below the checkpoint folder that nothing else uses."""
+    import uuid
+
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df, eager: bool = True):
+    """Checkpoint ``df`` in the folder the cluster names."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="alertflow-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=eager)
 
 

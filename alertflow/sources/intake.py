@@ -56,15 +56,18 @@ def normalise_logs(logs: DataFrame, as_of: Column, position: Column | None = Non
 
     ``position`` is where a record comes from (topic, partition and offset; file and row; batch): it tells equal records
     apart and makes a replay give the same ids. In a batch, equal records are also numbered, so ``position`` may be left
-    out or be the same for all. On a stream a record is known by ``position`` and content only.
+    out or be the same for all. On a stream a record is known by ``position`` and content only. A missing time counts as
+    missing in the hash: the id does not depend on the clock that stands in for it.
     """
-    out = logs.withColumn("event_ts", F.coalesce("event_ts", as_of))
-    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', event_ts)")
-    told = [F.coalesce(c, F.lit("\\N")) for c in ("service_name", "hostname", "level", "message")] + [micros.cast("string")]
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', event_ts)").cast("string")
+    none = F.lit("\\N")
+    told = [F.coalesce(c, none) for c in ("service_name", "hostname", "level", "message")] + [F.coalesce(micros, none)]
     told += [] if position is None else [position.cast("string")]
+    filled = F.coalesce("event_ts", as_of)
     if logs.isStreaming:
-        return out.withColumn("id", F.coalesce("id", _log_id(told)))
-    lacking = out.filter(F.col("id").isNull()).withColumn("_content", F.concat_ws("|", *told))
+        return logs.withColumn("id", F.coalesce("id", _log_id(told))).withColumn("event_ts", filled)
+    out = logs.withColumn("_content", F.concat_ws("|", *told)).withColumn("event_ts", filled)
+    lacking, out = out.filter(F.col("id").isNull()), out.drop("_content")
     same = Window.partitionBy("_content").orderBy(F.to_json(F.struct(*logs.columns)))
     lacking = lacking.withColumn("_nth", F.row_number().over(same))
     named = lacking.withColumn("id", _log_id([F.col("_content"), F.col("_nth").cast("string")]))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertflow.operators import alerts as al
-from alertflow.operators import scoring
+from alertflow.operators import incidents, scoring
 from alertflow.sources import intake
-from alertflow.sources.incident_store import IncidentStore
 from alertflow.sources.tables import write_routed
 
 EVERY = {"processingTime": "30 seconds"}
@@ -70,9 +69,31 @@ def start_routing(emitted: DataFrame, path: str, checkpoint: str, deliveries: st
     return run_batches(emitted, each, checkpoint, trigger)
 
 
-def start_incidents(versions: DataFrame, store: IncidentStore, checkpoint: str, trigger: dict | None = None):
-    """Fold alert versions into the incident table batch by batch."""
-    return run_batches(versions, lambda batch, batch_id: store.upsert(batch, batch_id), checkpoint, trigger)
+def current_incidents(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest row of every incident that ``start_incidents`` wrote; ``before`` leaves out that batch and later ones."""
+    rows = spark.read.parquet(path)
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    kept = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy("alert_id").agg(F.max_by(F.struct(*kept), "batch").alias("_r")).select("_r.*")
+
+
+def start_incidents(versions: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Fold alert versions into incidents batch by batch.
+
+    A batch writes the incidents it touches, as they are after it, to a folder of its own, and reads only folders of
+    earlier batches, so a repeated batch replaces itself. Where a table format with MERGE INTO is at hand, merge instead.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if batch_id:
+            known = current_incidents(batch.sparkSession, path, batch_id)
+            touched = known.join(batch.select("alert_id").distinct(), "alert_id", "left_semi")
+            out = incidents.apply_versions(touched, batch)
+        else:
+            out = incidents.fold_incidents(batch)
+        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return run_batches(versions, each, checkpoint, trigger)
 
 
 def running_counters(alerts: DataFrame) -> DataFrame:
