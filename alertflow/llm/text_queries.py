@@ -24,6 +24,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "lang_pred", "score", "ambiguous")
 
 
+#: First lines of what counts as a licence file here.
+HEADED = r"(?i)licen[cs]|copyright|spdx|public domain|permission is hereby"
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has no paths: a document lies in a folder of its source and of its id, by thousands and hundreds.
 
@@ -36,7 +40,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
     path = F.concat_ws("/", F.when(F.col("doc_id") % 1000 == 0, F.col("source")).otherwise(folder), name)
     first = F.substring_index(F.col("text"), "\n", 1)
-    is_file = first.rlike(licenses.TRIGGER) | (F.col("doc_id") % 1000 == 0)
+    is_file = first.rlike(HEADED) | (F.col("doc_id") % 1000 == 0)
     return licenses.scan_licenses(docs, path, is_file)
 
 

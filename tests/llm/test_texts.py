@@ -1,6 +1,8 @@
 """Decontamination, language and licences."""
 
+import functools
 import hashlib
+import math
 import re
 
 import pytest
@@ -145,21 +147,78 @@ def test_licenses(spark, empty):
     assert none.count() == 0
 
 
-def test_cosine_is_that_of_the_formula(spark):
-    import math
-
-    lines = spark.createDataFrame([(1, 0, "Released under the very MIT licence License 2.0")], "doc_id long, line_no int, line string")
-    (got,) = licenses.match_headers(lines, least=0.0).collect()
-    split = lambda t: re.findall(r"\d+(?:\.\d+)*|\w+", t.lower())
-    texts = [(n, split(t)) for n, t in licenses.TEMPLATES]
-    idf = lambda t: math.log((1 + len(texts)) / (1 + sum(t in w for _, w in texts))) + 1
-
-    def vector(w):
-        v = {t: w.count(t) * idf(t) for t in w}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()}
-
-    own = vector(split("Released under the very MIT licence License 2.0"))
-    best = max(texts, key=lambda x: sum(own.get(t, 0) * w for t, w in vector(x[1]).items()))
-    assert got.license == best[0]
-    assert got.score == pytest.approx(sum(own.get(t, 0) * w for t, w in vector(best[1]).items()), abs=1e-8)
+HEADERS = [
+    ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("BSD 3-Clause License", "BSD-3-Clause"), ("GNU GENERAL PUBLIC LICENSE", "GPL"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "GPL-3.0"),
+    ("Licensed under the GNU General Public License v3.0", "GPL-3.0"),
+    ("This project is licensed under the MIT License - see the LICENSE file for details", "MIT"),
+    ("Mozilla Public License Version 2.0", "MPL-2.0"),
+    ("import os\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the\n"
+     "# following conditions are met:\nx = 1", "BSD"),
+    ("MIT", None), ("license", None), ("students of MIT protest against license fees", None), ("the terms of use of this software", None),
+]
+
+
+def test_headers_and_whole_files(spark):
+    long = "\n".join(f"word{i % 997} and the other" for i in range(200_000))
+    mit = f"The MIT License (MIT)\n\nCopyright (c) 2024 Jane Doe\n\n{licenses._MIT_GRANT}\n\n{licenses._PERMISSIVE}\n"
+    two = f"Copyright (c) 2024, Jane Doe\nAll rights reserved.\n\n{licenses._BSD_OPENING}\n\n{licenses._BSD_TWO}\n\n{licenses._BSD_DISCLAIMER}"
+    three = two.replace(licenses._BSD_DISCLAIMER, f"{licenses._BSD_THIRD}\n\n{licenses._BSD_DISCLAIMER}")
+    texts = [*HEADERS, (mit, "MIT"), (two, "BSD-2-Clause"), (three, "BSD-3-Clause"), (long, None), (f"{long}\n\n{HEADERS[0][0]}", "MIT")]
+    rows = [(i, t, f"f{i}/LICENSE", "x", "y", "z", "w") for i, (t, _) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string, line string, best string, score string, whole string")
+    got = {r.doc_id: r.own_license for r in licenses.scan_licenses(docs, F.col("path"), F.lit(True)).collect()}
+    assert [got[i] for i in range(len(texts))] == [want for _, want in texts]
+
+
+@functools.cache
+def _vectors():
+    split = lambda t: re.findall(r"\d+(?:\.\d+)*|[^\W_]+", t.lower())
+    sets = [(name, split(t)) for name, t in licenses.all_templates()]
+    idf = {t: math.log((1 + len(sets)) / (1 + sum(t in w for _, w in sets))) + 1 for _, w in sets for t in w}
+    weigh = lambda w: {t: (1 + math.log(w.count(t))) * idf.get(t, math.log(1 + len(sets)) + 1) for t in set(w)}
+    return split, weigh, [(name, weigh(words)) for name, words in sets]
+
+
+def _brute(text, whole):
+    """Every line, window, block and whole text against every template, without any test beforehand."""
+    split, weigh, sets = _vectors()
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    lines = [split(line) for line in text.split("\n")]
+    spans = [(i, i + n) for i in range(len(lines)) for n in range(1, 5) if i + n <= len(lines) and all(lines[i : i + n])]
+    edges = [-1, *[i for i, line in enumerate(lines) if not line], len(lines)]
+    spans += [(a + 1, b) for a, b in zip(edges, edges[1:], strict=False) if b > a + 1] + ([(0, len(lines))] if whole else [])
+    found = []
+    for a, b in spans:
+        own = weigh([t for line in lines[a:b] for t in line])
+        best = None
+        for k, (name, other) in enumerate(sets):
+            shared = own.keys() & other.keys()
+            cos = round(sum(own[t] * other[t] for t in shared) / size(own) / size(other), 9) if len(shared) > 1 else 0
+            best = max(best or (0, 0, ""), (cos, -k, name, size(other)), key=lambda x: x[:2])
+        if best[0] >= 0.75:
+            found.append((round(best[0] * best[3], 6), best[0], -a, best[2]))
+    return max(found, default=(0, None, 0, None))
+
+
+def test_scan_is_that_of_all_units_against_all_templates(spark):
+    import random
+
+    draw = random.Random(5)
+    pool = [*[t for t, _ in HEADERS], *[t for _, t in licenses.TEMPLATES], "", "", "plain words here", "Copyright 2020 The Authors", "or and the"]
+
+    def made():
+        parts = []
+        for _ in range(draw.randrange(1, 6)):
+            words = draw.choice(pool).split(" ")
+            words = [draw.choice(["other", w.upper(), w, w, w, w]) if draw.random() < 0.3 else w for w in words]
+            parts.append(" ".join(w + ("\n" if draw.random() < 0.08 else "") for w in words))
+        return "\n".join(parts)
+
+    rows = [(i, made(), i % 2 == 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, f boolean")
+    got = {r.doc_id: (r.license, r.score) for r in licenses.match_documents(docs, F.col("f")).collect()}
+    for i, text, whole in rows:
+        _, score, _, name = _brute(text, whole)
+        assert got.get(i, (None, None)) == (name, score if score is None else pytest.approx(score, abs=1e-8)), text
