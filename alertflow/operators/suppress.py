@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertflow.functions import rules
+from alertflow.operators import ordered
 from alertflow.session import cut_lineage
 
 MICROS = 1_000_000
@@ -344,6 +345,39 @@ def cap_per_service(alerts: DataFrame, max_alerts: int = 10, window_s: int = 300
     return emit(alerts, window_s, max_alerts, reset_s, **cols)
 
 
+def corrections(
+    alerts: DataFrame, decided: DataFrame, window_s: int = 300, cap: int | None = 10, reset_s: int = 3600, **cols
+) -> DataFrame:
+    """What late alerts change: ``alert_id``, ``previous_decision`` (null for a late alert) and ``decision``.
+
+    ``alerts`` holds all alerts, ``decided`` (alert_id, decision) the answers given without the late ones, that is all
+    alerts it does not name. A pause of a window, under a cap one that also crosses the turn of an hour, leaves nothing to
+    remember; so only the alerts between the two pauses around a late one are decided again. Only keys with a late alert
+    are read further, and pauses are found in time buckets, so a hot key is many tasks.
+    """
+    names = {"key": "service_name", "fingerprint": "fingerprint", "ts": "created_at", "id_col": "alert_id", **cols}
+    ts, id_col = names["ts"], names["id_col"]
+    k = suppression_key(alerts, names["fingerprint"], id_col) if cap is None else rules.text_or_null(F.col(names["key"]))
+    keyed = alerts.withColumn("_k", k)
+    given = decided.select(F.col(id_col), F.col("decision").alias("previous_decision"))
+    late = keyed.join(given.select(id_col), id_col, "left_anti")
+    touched = keyed.join(late.select("_k").distinct(), "_k", "left_semi")
+
+    gaps = ordered.previous_values(touched, "_k", [ts, id_col], [ts])
+    t, before = epoch_micros(ts), epoch_micros(f"previous_{ts}")
+    alone = t - before >= window_s * MICROS
+    if cap is not None:
+        alone = alone & (F.floor(t / (reset_s * MICROS)) != F.floor(before / (reset_s * MICROS)))
+    starts = gaps.withColumn("_start", F.when(F.col("is_first") | alone, F.col(ts))).drop("is_first", f"previous_{ts}")
+    spans = ordered.previous_values(starts, "_k", [ts, id_col], [id_col], ["_start"])
+    spans = cut_lineage(spans.withColumn("_span", F.coalesce("_start", "previous__start")).select(*keyed.columns, "_span"))
+    open_ = spans.join(given.select(id_col), id_col, "left_anti").select("_k", "_span").distinct()
+    again = spans.join(open_, ["_k", "_span"], "left_semi").select(*alerts.columns)
+    new = label_alerts(again, window_s, cap, reset_s, **cols).select(id_col, "decision")
+    both = new.join(given, id_col, "left")
+    return both.filter(~F.col("decision").eqNullSafe(F.col("previous_decision"))).select(id_col, "previous_decision", "decision")
+
+
 def expire_suppression(last_emitted: DataFrame, as_of, window_s: int = 300) -> DataFrame:
     """Suppression entries still needed at ``as_of``; dropping the others changes no decision."""
     return last_emitted.filter(F.col("last_ts") + F.expr(f"make_dt_interval(0, 0, 0, {int(window_s)})") >= as_of)

@@ -74,6 +74,24 @@ def _(spark, d):
     return suppress.expire_suppression(last, F.to_timestamp_ntz(F.lit("2024-01-30 12:00:00")))
 
 
+def late_corrections(name: str, key: str, window_s: int, cap: int | None) -> None:
+    """Every seventh alert comes late; the corrections are exactly where both answers differ."""
+    many = 10**9 if cap is None else cap
+
+    @plans.add(name, sql(*BASE, "early AS (SELECT * FROM alerts WHERE event_id % 7 <> 3)",
+        walk_sql("early", key, "fingerprint", window_s, many, "given"), walk_sql("alerts", key, "fingerprint", window_s, many, "wanted"),
+        """SELECT w.alert_id, g.decision AS previous_decision, w.decision FROM wanted w LEFT JOIN given g USING (alert_id)
+  WHERE w.decision IS DISTINCT FROM g.decision"""))
+    def _(spark, d):
+        alerts = build(spark, d)
+        early = alerts.filter(F.substring("source_log_id", 5, 20).cast("bigint") % 7 != 3)
+        return suppress.corrections(alerts, suppress.label_alerts(early, window_s, cap), window_s, cap)
+
+
+late_corrections("late_alert_corrections", "fingerprint", 7200, None)
+late_corrections("late_alert_corrections_capped", "service_name", 300, 10)
+
+
 PLANNED = """planned AS (SELECT alert_id, service_name, created_at, CASE WHEN severity = 'CRITICAL' THEN 'POD_RESTART' ELSE 'SERVICE_SCALE_UP' END AS action_type
   FROM alerts WHERE regexp_full_match(service_name, 'order-service.*|payment-service.*|user-service.*')
   AND ((severity = 'CRITICAL' AND anomaly_score >= 0.9::DOUBLE) OR (severity = 'HIGH' AND anomaly_score >= 0.7::DOUBLE)))"""

@@ -12,7 +12,7 @@ from alertflow.plans import lifecycle, tables
 from alertflow.schemas import ALERT
 from alertflow.sources import intake
 from alertflow.sources import tables as src
-from alertflow.streaming import flow, suppression
+from alertflow.streaming import flow, suppression, waiting
 
 FAR = dt.datetime(2025, 1, 1)
 
@@ -67,6 +67,122 @@ def test_stream_decides_like_batch(spark, alert_rows, tmp_path, window, cap):
     assert suppression.late_alerts(alert_rows, spark.read.parquet(out)).count() == 0
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, ROCKS)
+    yield spark
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("window,cap", [(3600, 2), (300, None)])
+def test_rows_in_chunks_are_decided_like_batch(rocks, alert_rows, tmp_path, window, cap):
+    path, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
+    in_files(alert_rows, path, 3, "created_at")
+    # late: comes when the watermark is weeks past it
+    late = alert_rows.orderBy("created_at").limit(1).withColumns({"alert_id": F.lit("late"), "created_at": F.col("created_at") - F.expr("INTERVAL '1' SECOND")})
+    late = rocks.createDataFrame(late.collect(), late.schema)
+
+    def run():
+        stream = src.read_folder(rocks, path, ALERT, streaming=True, files_per_trigger=1)
+        decided = waiting.decide_rows(stream, window, cap, lateness="0 seconds")
+        q = (
+            decided.select("alert_id", "decision").writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", chk).outputMode("append").trigger(availableNow=True).start()
+        )
+        assert q.awaitTermination(240) and q.exception() is None
+
+    run()
+    flush_row(rocks, alert_rows, "none").coalesce(1).write.mode("append").parquet(path)
+    run()
+    late.coalesce(1).write.mode("append").parquet(path)
+    run()
+    rows = [(r.alert_id, r.decision) for r in rocks.read.parquet(out).collect() if not r.alert_id.startswith("flush")]
+    want = {r.alert_id: r.decision for r in suppress.label_alerts(alert_rows, window, cap).collect()}
+    assert len(rows) == len(want) and dict(rows) == want
+
+    # stream and corrections together are the answer of one batch over everything
+    everything = alert_rows.unionByName(late)
+    given = rocks.read.parquet(out).filter(~F.col("alert_id").startswith("flush"))
+    fixed = dict(rows) | {r.alert_id: r.decision for r in suppress.corrections(everything, given, window, cap).collect()}
+    assert fixed == {r.alert_id: r.decision for r in suppress.label_alerts(everything, window, cap).collect()}
+
+
+class _Map(dict):
+    """State of one key, with a count of what is written."""
+
+    def __init__(self):
+        super().__init__()
+        self.writes = 0
+
+    def getValue(self, k):
+        return self[k]
+
+    def containsKey(self, k):
+        return k in self
+
+    def updateValue(self, k, v):
+        self.writes += sum(len(x) for x in v if isinstance(x, list))
+        self[k] = v
+
+    def removeKey(self, k):
+        del self[k]
+
+
+class _Value:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+    def clear(self):
+        self.value = None
+
+
+def test_a_ripe_row_rewrites_its_chunk_only():
+    import pandas as pd
+
+    class Handle:
+        timers: list = []
+
+        def getMapState(self, *a):
+            return _Map()
+
+        def getValueState(self, *a):
+            return _Value()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    s = waiting.Suppressor(300 * suppress.MICROS, None, 3600 * suppress.MICROS)
+    s.init(Handle())
+    n = 100_000
+    rows = pd.DataFrame({"t": [i * suppress.MICROS for i in range(n)], "fp": "f", "id": [f"{i:06d}" for i in range(n)]})
+    list(s.handleInputRows(("f",), iter([rows]), At(0)))
+    assert s.waiting.writes == 3 * n
+    (got,) = s.handleExpiredTimer(("f",), At(10_000), None)
+    assert len(got) == 11 and s.waiting.writes - 3 * n <= 3 * waiting.CHUNK
+    (got,) = s.handleExpiredTimer(("f",), At((n + 10_000) * 1000), None)
+    assert len(got) == n - 11 and (got["decision"] == suppress.EMITTED).sum() == (n - 1) // 300
+    assert not s.waiting and not s.last and not s.ends and not s.hour.exists()
+
+
 def test_raw_records_to_logs_and_dead_letters(spark, tmp_path):
     good = '{"id":"a","serviceName":"s","level":"ERROR","message":"m","timestamp":"2024-01-01T00:00:00"}'
     rows = [
