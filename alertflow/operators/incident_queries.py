@@ -118,6 +118,26 @@ def search_tokens(columns: Sequence[str] = SEARCHED, reasons: str | None = "anom
     return F.split(F.lower(F.concat_ws(" ", *texts)), r"[^\p{L}\p{N}_]+")
 
 
+def parse_query(query: str) -> tuple[list[str], list[str], list[str]]:
+    """Lower-case phrases, plain words and excluded words."""
+    text = query.lower()
+    phrases = [p for p in re.findall(r'"([^"]+)"', text) if p.strip()]
+    rest = re.sub(r'"[^"]*"', " ", text).split()
+    banned = [w[1:] for w in rest if w.startswith("-") and len(w) > 1]
+    return phrases, [t for w in rest if not w.startswith("-") for t in re.findall(r"\w+", w)], banned
+
+
+def holds_phrase(phrase: str, columns: Sequence[str], reasons: str | None) -> Column:
+    """The lower-case phrase is a part of one of the searched texts."""
+    parts = [F.coalesce(F.lower(c), F.lit("")) for c in columns]
+    if reasons:
+        parts.append(F.lower(F.coalesce(F.array_join(reasons, " "), F.lit(""))))
+    found = F.lit(False)
+    for part in parts:
+        found = found | part.contains(phrase)
+    return found
+
+
 def text_search(
     incidents: DataFrame,
     query: str,
@@ -126,21 +146,11 @@ def text_search(
     limit: int | None = None,
 ) -> DataFrame:
     """Any plain word matches; quoted phrases must all occur; ``-word`` excludes. No stemming."""
-    text = query.lower()
-    phrases = [p for p in re.findall(r'"([^"]+)"', text) if p.strip()]
-    rest = re.sub(r'"[^"]*"', " ", text).split()
-    banned = [w[1:] for w in rest if w.startswith("-") and len(w) > 1]
-    words = [t for w in rest if not w.startswith("-") for t in re.findall(r"\w+", w)]
+    phrases, words, banned = parse_query(query)
     hay = search_tokens(columns, reasons)
     hit = F.lit(True) if phrases else (F.arrays_overlap(hay, _words(words)) if words else F.lit(False))
-    parts = [F.coalesce(F.lower(c), F.lit("")) for c in columns]
-    if reasons:
-        parts.append(F.lower(F.coalesce(F.array_join(reasons, " "), F.lit(""))))
     for p in phrases:
-        found = F.lit(False)
-        for part in parts:
-            found = found | part.contains(p)
-        hit = hit & found
+        hit = hit & holds_phrase(p, columns, reasons)
     if banned:
         hit = hit & ~F.arrays_overlap(hay, _words(banned))
     out = incidents.filter(hit)

@@ -35,11 +35,47 @@ def plan_actions(
 
     The pattern list is configuration: it becomes one filter, not a join.
     """
+    return _with_action(alerts.filter(_matches(patterns)), critical, high)
+
+
+def _with_action(alerts: DataFrame, critical: float, high: float) -> DataFrame:
     sev, score = F.col("severity"), F.col("anomaly_score")
     action = F.when((sev == "CRITICAL") & (score >= F.lit(critical)), F.lit("POD_RESTART")).when(
         (sev == "HIGH") & (score >= F.lit(high)), F.lit("SERVICE_SCALE_UP")
     )
-    return alerts.filter(_matches(patterns)).withColumn("action_type", action).filter(F.col("action_type").isNotNull())
+    return alerts.withColumn("action_type", action).filter(F.col("action_type").isNotNull())
+
+
+def literal_prefix(pattern: Column) -> Column:
+    """What every name that matches the pattern begins with; empty where the pattern has an alternative."""
+    start = F.regexp_extract(pattern, r"^((?:[\p{L}\p{Nd} _/-](?![*?+{]))*)", 1)
+    return F.when(pattern.contains("|"), F.lit("")).otherwise(start)
+
+
+def match_patterns(names: DataFrame, patterns: DataFrame, name: str = "service_name") -> DataFrame:
+    """(name, pattern) of each distinct name and each pattern that it matches as a whole.
+
+    A pattern meets only names that begin with its literal prefix: names are spread into their prefixes of the lengths
+    that occur, joined on the prefix, and tested there. Patterns without a literal prefix meet every name. Null names and
+    null patterns match nothing.
+    """
+    p = patterns.select("pattern").distinct().select("pattern", literal_prefix(F.col("pattern")).alias("_prefix"))
+    p = p.filter(F.col("pattern").isNotNull()).withColumn("_n", F.length("_prefix"))
+    lengths = p.agg(F.collect_set("_n").alias("v")).scalar()
+    fits = F.filter("_lengths", lambda n: n <= F.length(name))
+    each = names.select(name).filter(F.col(name).isNotNull()).distinct().withColumn("_lengths", lengths)
+    spread = each.select(name, F.explode(F.transform(fits, lambda n: F.substring(F.col(name), F.lit(1), n))).alias("_prefix"))
+    hit = F.rlike(F.col(name), F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$")))
+    return spread.join(p, "_prefix").filter(hit).select(name, "pattern")
+
+
+def plan_actions_from(
+    alerts: DataFrame, patterns: DataFrame, critical: float = CRITICAL_SCORE, high: float = HIGH_SCORE
+) -> DataFrame:
+    """As ``plan_actions`` with the service patterns as a table (``pattern``), of any length."""
+    planned = _with_action(alerts, critical, high)
+    wanted = match_patterns(planned, patterns).select("service_name").distinct()
+    return planned.join(wanted, "service_name", "left_semi").select(*planned.columns)
 
 
 def exclude_services(planned: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -114,6 +114,20 @@ def _(spark, d):
     return planned(spark, d).select("alert_id", "service_name", "action_type")
 
 
+@plans.add("plan_actions_from_table", sql(*BASE, """patterns AS (SELECT lower(n_name) || '-service.*' AS pattern FROM nation
+  UNION ALL SELECT substr(service_name, 1, 3) || '[a-z]+-serv(er|ice)' FROM alerts WHERE length(service_name) % 2 = 1),
+names AS (SELECT DISTINCT service_name FROM alerts, (SELECT DISTINCT pattern FROM patterns) WHERE regexp_full_match(service_name, pattern))""",
+  """SELECT alert_id, CASE WHEN severity = 'CRITICAL' THEN 'POD_RESTART' ELSE 'SERVICE_SCALE_UP' END AS action_type
+  FROM alerts JOIN names USING (service_name)
+  WHERE (severity = 'CRITICAL' AND anomaly_score >= 0.9::DOUBLE) OR (severity = 'HIGH' AND anomaly_score >= 0.7::DOUBLE)"""))
+def _(spark, d):
+    a = build(spark, d)
+    listed = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lower("n_name"), F.lit("-service.*")).alias("pattern"))
+    made = a.filter(F.length("service_name") % 2 == 1)
+    made = made.select(F.concat(F.substring("service_name", 1, 3), F.lit("[a-z]+-serv(er|ice)")).alias("pattern"))
+    return responder.plan_actions_from(a, listed.union(made)).select("alert_id", "action_type")
+
+
 @plans.add("exclude_services", sql(*BASE, PLANNED, """SELECT alert_id, action_type FROM planned
   WHERE service_name NOT IN (SELECT lower(n_name) || '-service' FROM nation) AND service_name <> 'payment-service'"""))
 def _(spark, d):

@@ -7,11 +7,12 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from alertflow.operators import dashboards
+from alertflow.operators import dashboards, postings
 from alertflow.operators import incident_queries as iq
 from alertflow.plans.lifecycle import INCIDENTS, folded
 from alertflow.plans.registry import Plans
 from alertflow.plans.tables import sql
+from alertflow.session import new_folder
 
 plans = Plans()
 A, B = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 12, 12)
@@ -86,6 +87,22 @@ searched("text_search_limited", "list_has_any(hay, ['timeout']) ORDER BY created
          lambda i: iq.text_search(i, "timeout", limit=500))
 
 
+def posted(name, like, query, **kw):
+    """The same answer as the scan, from a posting table written for it."""
+
+    @plans.add(name, plans.sql[like])
+    def _(spark, d):
+        path = new_folder(spark, "postings")
+        incidents = folded(spark, d)
+        postings.write_postings(incidents, path)
+        return postings.search(incidents, postings.Postings(spark, path), query, **kw).select("alert_id", "title")
+
+
+posted("posting_search_any_word", "text_search_any_word", "Timeout authentication")
+posted("posting_search_phrase_without_word", "text_search_phrase_without_word", '"Authentication failed" -order')
+posted("posting_search_limited", "text_search_limited", "timeout", limit=500)
+
+
 # -- summaries ---------------------------------------------------------------
 
 SUMMARIES = """summaries AS (SELECT service_name, time_bucket(INTERVAL 15 MINUTE, created_at, TIMESTAMP '2000-01-01') AS window_start,

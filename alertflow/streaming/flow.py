@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertflow.operators import alerts as al
-from alertflow.operators import incidents, scoring
+from alertflow.operators import incidents, postings, scoring
 from alertflow.sources import intake
 from alertflow.sources.tables import write_routed
 
@@ -58,6 +58,29 @@ def start_intake(raw: DataFrame, logs_path: str, dead_path: str, checkpoint: str
     return run_batches(intake.ingest_logs(raw), each, checkpoint, trigger)
 
 
+def start_scoring(logs: DataFrame, settings: str, path: str, checkpoint: str, trigger: dict | None = None):
+    """Logs to scored rows. The settings table (name, value) below ``settings`` is read anew for every batch, so a changed
+    ``anomaly_threshold`` holds from the next batch on without a restart; a batch that is repeated takes the newest value."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        config = batch.sparkSession.read.schema("name string, value double").parquet(settings)
+        threshold = scoring.setting(config, "anomaly_threshold", scoring.MODEL_THRESHOLD)
+        scoring.score_heuristic(batch, threshold).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return run_batches(logs, each, checkpoint, trigger)
+
+
+def start_postings(versions: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Incident rows to the search table. The last row of an incident in a batch, by ``updated_at``, counts."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        kept = [c for c in batch.columns if c != "alert_id"]
+        newest = batch.groupBy("alert_id").agg(F.max_by(F.struct(*kept), "updated_at").alias("_r")).select("alert_id", "_r.*")
+        postings.write_postings(newest, path, batch_id)
+
+    return run_batches(versions, each, checkpoint, trigger)
+
+
 def start_routing(emitted: DataFrame, path: str, checkpoint: str, deliveries: str | None = None, trigger: dict | None = None):
     """Emitted alerts to topic folders, and one row per queue to the delivery table."""
 
