@@ -21,6 +21,8 @@ SHINGLE = 5
 SCHEME = Scheme(percent=80, rows=4, bands=8, minima=32, bits=4, slack=3.0)
 #: Other bins whose minimum an empty bin borrows, in turn, in each of two rounds, before it takes the least of all.
 BORROW = 2
+#: 64-bit words of a set's bitmap, in which each shingle sets the bit that its hash names.
+MAP_WORDS = 32
 
 
 def band(number: int, scheme: Scheme = SCHEME) -> list[int]:
@@ -128,6 +130,29 @@ def shared_enough(a: Column, b: Column, size_a: Column, size_b: Column, percent:
     return possible & ((100 + percent) * F.size(F.array_intersect(shingles_of(a), shingles_of(b))) >= percent * (size_a + size_b))
 
 
+def bitmaps(found: DataFrame) -> DataFrame:
+    """``node`` and ``map``, the bitmap of its line's set, of ``found`` (``node``, ``line``)."""
+    each = found.select("node", F.explode(shingles_of(F.col("line"))).alias("h"))
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MAP_WORDS - 1)), F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
+    each = each.select("node", word.alias("word"), bit.alias("bit"))
+    words = [F.coalesce(F.expr(f"bit_or(bit) FILTER (WHERE word = {w})"), F.lit(0).cast("long")) for w in range(MAP_WORDS)]
+    return each.groupBy("node").agg(*(x.alias(f"w{w}") for w, x in enumerate(words))).select(
+        "node", F.array(*(F.col(f"w{w}") for w in range(MAP_WORDS))).alias("map")
+    )
+
+
+def may_share_enough(a: Column, b: Column, size_a: Column, size_b: Column, percent: int) -> Column:
+    """False only where the bitmaps prove that ``shared_enough`` is.
+
+    A bit that differs needs a shingle of its own that the other set lacks, so bits that differ are never more than such
+    shingles, and a pair at ``percent`` has (100 - percent) / (100 + percent) of both sizes of them at most.
+    """
+    differ = F.lit(0)
+    for w in range(MAP_WORDS):
+        differ = differ + F.bit_count(a[w].bitwiseXOR(b[w]))
+    return (100 + percent) * differ <= (100 - percent) * (size_a + size_b)
+
+
 def line_components(items: DataFrame, names: DataFrame, lines_of: Callable[[DataFrame], DataFrame], scheme: Scheme = SCHEME) -> DataFrame:
     """``node`` and ``root``, the smallest node linked with it, of all lines that have a link.
 
@@ -137,8 +162,9 @@ def line_components(items: DataFrame, names: DataFrame, lines_of: Callable[[Data
 
     1. Every member of a bucket is compared with its leader, the member that occurs most often (of equals the smallest).
     2. In buckets of several components, members outside the bucket's main component are compared with those of other
-       components. Two semi-joins on the bits keep the rows that have a partner at all; only these get their line, and the
-       exact comparison is part of the join's condition, so only links become rows, each in the first band it shares.
+       components. Two semi-joins on the bits keep the rows that have a partner at all, on either side; only these get
+       their line and its bitmap. What the bitmaps leave is compared exactly, as part of the join's condition, so only
+       links become rows, each in the first band it shares.
     """
     banded = items.select("node", F.explode("keys").alias("key"))
     counts = banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -162,7 +188,9 @@ def line_components(items: DataFrame, names: DataFrame, lines_of: Callable[[Data
     p = rest.where(F.col("root") != F.col("main")).alias("p")
     p = saved(p.join(rest.alias("q"), _against("p", "q", scheme), "left_semi"), "open-outside")
     q = saved(rest.alias("q").join(p.alias("p"), _against("q", "p", scheme), "left_semi"), "open-any")
-    found = saved(lines_of(q.select("node").distinct()), "found").join(items.select("node", "keys"), "node")
+    # a row outside whose partners are all in main components is no partner of another row outside: both sides are read
+    found = saved(lines_of(p.select("node").union(q.select("node")).distinct()), "found")
+    found = saved(found.join(bitmaps(found), "node").join(items.select("node", "keys"), "node"), "mapped")
     p, q = p.join(found, "node").alias("p"), q.join(found, "node").alias("q")
     number = F.col("p.key").bitwiseAND(F.lit(255)).cast("int")
     seen = F.exists(
@@ -171,7 +199,8 @@ def line_components(items: DataFrame, names: DataFrame, lines_of: Callable[[Data
     )
     once = (F.col("q.root") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))
     alike = shared_enough(F.col("p.line"), F.col("q.line"), F.col("p.size"), F.col("q.size"), scheme.percent)
-    more = p.join(q, _against("p", "q", scheme) & once & ~seen & alike)
+    may = may_share_enough(F.col("p.map"), F.col("q.map"), F.col("p.size"), F.col("q.size"), scheme.percent)
+    more = p.join(q, _against("p", "q", scheme) & once & may & ~seen & alike)
     more = more.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
     more = saved(more.distinct(), "links")
     if more.isEmpty():
@@ -191,7 +220,8 @@ def _against(a: str, b: str, scheme: Scheme) -> Column:
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SCHEME) -> tuple[DataFrame, DataFrame]:
     """The written places (``row``, ``line_no``, ``node``, ``proof``) of all lines that are not blank, and per ``node``
-    and ``proof`` what its group keeps: ``keep`` (row and line_no) and ``group_size``.
+    and ``proof`` what its group keeps: ``keep`` (row and line_no) and ``group_size``. Lines alone in their group are left
+    out of the second table.
 
     Exact copies are one node from the start, so a group is put together from one row per distinct line. Two different
     lines of one name (found by ``proof``) are not compared; they keep to their exact copies.
@@ -215,7 +245,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
     # lines without a link are grouped with their exact copies; ``proof`` keeps apart those whose names clash
     lone = F.when(F.col("root").isNull(), F.col("proof"))
-    nodes = saved(firsts.join(roots, "node", "left").withColumn("lone", lone).withColumn("root", F.coalesce("root", "node")), "grouped")
+    nodes = firsts.join(roots, "node", "left").where((F.col("copies") > 1) | F.col("root").isNotNull())
+    nodes = saved(nodes.withColumn("lone", lone).withColumn("root", F.coalesce("root", "node")), "grouped")
     groups = nodes.groupBy("root", "lone").agg(F.min("first").alias("keep"), F.sum("copies").alias("group_size"))
     groups = groups.select(F.col("root").alias("g"), F.col("lone").alias("l"), "keep", "group_size")
     found = nodes.join(groups, (F.col("root") == F.col("g")) & F.col("lone").eqNullSafe(F.col("l")))
@@ -232,7 +263,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are ignored. An empty table gives an empty result.
     """
     places, groups = line_groups(docs, id_col, text_col, scheme)
-    return places.join(groups, ["node", "proof"]).select(
+    rows = places.join(groups, ["node", "proof"], "left")
+    rows = rows.withColumn("keep", F.coalesce("keep", F.struct("row", "line_no"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
+    return rows.select(
         F.col("row.id").alias("doc_id"),
         "line_no",
         F.col("keep.row.id").alias("keep_doc"),

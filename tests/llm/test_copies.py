@@ -255,6 +255,43 @@ def test_lines_are_compared_in_full(spark, empty):
     assert len(links) > 30 and top[0] != top[1] and top[4] == top[5] != top[6]
 
 
+def test_a_line_apart_from_the_leader_meets_the_other_members(spark):
+    """B is like A and like C, which are not alike; A occurs twice and so leads the buckets."""
+    import random
+
+    rng = random.Random(9)
+    made = []
+    for _ in range(12):
+        a = [rng.choice("abcdefghijklmnop") for _ in range(700)]
+        b, c = list(a), list(a)
+        for k in range(8):
+            b[30 + 40 * k] = c[30 + 40 * k] = "x"
+            c[370 + 40 * k] = "z"
+        made += ["".join(x) for x in (a, a, b, c)]
+    links = links_of([dense_set(x) for x in made], 80)
+    assert all((4 * k, 4 * k + 2) in links and (4 * k + 2, 4 * k + 3) in links and (4 * k, 4 * k + 3) not in links for k in range(12))
+    got = {r.doc_id: (r.keep_doc, r.group_size) for r in lines.line_dedup(frame(spark, list(enumerate(made))).repartition(3)).collect()}
+    assert got == {k: (k // 4 * 4, 4) for k in range(48)}
+
+
+def test_bitmaps_reject_no_link(spark):
+    """Whatever the bitmaps reject is no pair at 0.8, and they reject most others."""
+    import random
+
+    rng = random.Random(12)
+    made = []
+    for n in (6, 40, 150, 400, 1500):
+        base = [rng.choice("abcdefgh é") for _ in range(n)]
+        made += ["".join(x if rng.random() >= part else rng.choice("ijkl") for x in base) for part in (0, 0.004, 0.008, 0.012, 0.02, 0.04, 0.1, 1)]
+    rows = spark.createDataFrame(list(enumerate(made)), "node long, line string")
+    rows = rows.withColumn("size", F.size(F.array_distinct(lines.shingles_of(F.col("line"))))).join(lines.bitmaps(rows), "node").cache()
+    a, b = rows.alias("a"), rows.alias("b")
+    may = lines.may_share_enough(F.col("a.map"), F.col("b.map"), F.col("a.size"), F.col("b.size"), 80)
+    kept = {tuple(r) for r in a.join(b, F.col("a.node") < F.col("b.node")).where(may).select("a.node", "b.node").collect()}
+    links = links_of([dense_set(x) for x in made], 80)
+    assert len(links) > 10 and links <= kept and len(kept) < 2 * len(links) + 20
+
+
 def test_recall_of_line_links(spark, small):
     """Of all pairs of different lines at 0.8 or more, by brute force, at least 99 % end in one group."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
