@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +31,17 @@ class Text:
     """Words of a text with their places in its UTF-8 bytes, and a 64-bit hash of every run of SHINGLE words."""
 
     def __init__(self, raw: bytes):
-        blank = BLANK[np.frombuffer(raw, np.uint8)]
-        edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+        blank = np.ones(len(raw) + 2, bool)
+        blank[1:-1] = BLANK[np.frombuffer(raw, np.uint8)]
+        edge = np.flatnonzero(blank[1:] != blank[:-1])
         self.raw, self.starts, self.ends = raw, edge[::2], edge[1::2]
-        words = raw.lower().split()
-        self.flat = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
-        self.begin, self.end = (ends - [len(w) for w in words]).tolist(), ends.tolist()
-        of, last = xxhash.xxh3_64_intdigest, len(words) - SHINGLE + 1
-        self.hashes = np.asarray(
-            [of(self.flat[a:b]) for a, b in zip(self.begin[: max(last, 0)], self.end[SHINGLE - 1 :], strict=True)], np.uint64
-        )
+        self.flat = flat = b" ".join(raw.lower().split())
+        gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+        self.begin, self.end = ([0, *(gaps + 1).tolist()], [*gaps.tolist(), len(flat)]) if flat else ([], [])
+        of = xxhash.xxh3_64_digest
+        # zip ends with the last whole shingle
+        digests = b"".join([of(flat[a:b]) for a, b in zip(self.begin, self.end[SHINGLE - 1 :], strict=False)])
+        self.hashes = np.frombuffer(digests, ">u8").astype(np.uint64)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -50,14 +51,11 @@ class Text:
 
     def paragraphs(self) -> list[tuple[int, int]]:
         """First word and number of words of what lies between blank lines, and of each line in it, if long enough."""
-        breaks = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 10)
-        at = np.unique(np.concatenate([[0], np.searchsorted(self.starts, breaks), [len(self)]]))
-        out = set(zip(at[:-1].tolist(), np.diff(at).tolist(), strict=True))
+        before = np.searchsorted(self.starts, np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 10)).tolist()
+        at = sorted({0, len(self), *before})
         # a line without words leaves two breaks before the same word
-        before = np.searchsorted(self.starts, breaks)
-        blank = np.unique(np.concatenate([[0], before[1:][np.diff(before) == 0], [len(self)]]))
-        out |= set(zip(blank[:-1].tolist(), np.diff(blank).tolist(), strict=True))
-        return sorted((first, n) for first, n in out if n >= LEAST_WORDS)
+        blank = sorted({0, len(self), *(y for x, y in pairwise(before) if x == y)})
+        return sorted({(a, b - a) for cuts in (at, blank) for a, b in pairwise(cuts) if b - a >= LEAST_WORDS})
 
     def anchors(self) -> np.ndarray:
         """Words at which a passage starts: the least hash of every REACH neighbours, the first of equals."""
@@ -67,11 +65,42 @@ class Text:
         h = self.hashes[:n]
         if n < REACH:
             return np.asarray([int(h.argmin())])
-        return np.unique(sliding_window_view(h, REACH).argmin(axis=1) + np.arange(n - REACH + 1))
+        # a word is the least somewhere if the largest of the minima of the runs that hold it is its own hash
+        least = _sliding(np.minimum, h)
+        edge = np.zeros(REACH - 1, np.uint64)
+        found = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, least, edge])) == h)
+        chosen = h[found]
+        if len(np.unique(chosen)) < len(chosen):
+            # repeats: which of equals is the first depends on the run
+            return np.unique(sliding_window_view(h, REACH).argmin(axis=1) + np.arange(n - REACH + 1))
+        return found
 
+    def set_of(self, first: int, n: int) -> np.ndarray:
+        """Sorted distinct hashes of the shingles of ``n`` words."""
+        x = np.sort(self.hashes[first : first + n - SHINGLE + 1])
+        new = np.ones(len(x), bool)
+        np.not_equal(x[1:], x[:-1], out=new[1:])
+        return x[new]
 
-def _signed(x: int) -> int:
-    return x - (1 << 63)
+
+def _sliding(of: np.ufunc, x: np.ndarray) -> np.ndarray:
+    """``of`` over every REACH neighbours, in steps that double the run."""
+    n = 1
+    while 2 * n <= REACH:
+        x, n = of(x[:-n], x[n:]), 2 * n
+    rest = REACH - n
+    return of(x[:-rest], x[rest:]) if rest else x
+
+
+def _names(digests: list[bytes]) -> pa.Array:
+    """64-bit digests as signed numbers, 2^63 less than the unsigned ones."""
+    return pa.array((np.frombuffer(b"".join(digests), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64))
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * np.int32(width), rows.reshape(-1))
 
 
 def _spots(scheme: Scheme):
@@ -80,31 +109,33 @@ def _spots(scheme: Scheme):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                rows: list[tuple] = []
                 sets: list[np.ndarray] = []
+                found: dict[str, list[tuple]] = {"paragraph": [], "passage": []}
                 for doc, raw in zip(piece.column("doc_id").to_pylist(), byte_rows(piece.column("text")), strict=True):
                     text = Text(bytes(raw))
-                    for first, n in text.paragraphs():
-                        run = text.run(first, n)
-                        name, proof = _signed(xxhash.xxh3_64_intdigest(run)), _signed(xxhash.xxh64_intdigest(run))
-                        rows.append(("paragraph", doc, int(text.starts[first]), int(text.ends[first + n - 1]), name, proof))
-                        sets.append(np.unique(text.hashes[first : first + n - SHINGLE + 1]))
-                    for first in text.anchors().tolist():
-                        run = text.run(first, PASSAGE)
-                        name, proof = _signed(xxhash.xxh3_64_intdigest(run)), _signed(xxhash.xxh64_intdigest(run))
-                        rows.append(("passage", doc, int(text.starts[first]), int(text.ends[first + PASSAGE - 1]), name, proof))
-                if not rows:
-                    continue
-                planes, keys = [None] * len(rows), [None] * len(rows)
-                if sets:
-                    minima = signer.minima(sets)
-                    signed = zip(signer.planes(minima), signer.keys(minima), strict=True)
-                    for k in (k for k, r in enumerate(rows) if r[0] == "paragraph"):
-                        planes[k], keys[k] = next(signed)
-                types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                columns += [pa.array(planes, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SPOT.split(", ")])
+                    spans = text.paragraphs()
+                    sets += [text.set_of(first, n) for first, n in spans]
+                    anchors = text.anchors().tolist()
+                    for kind, places in (("paragraph", spans), ("passage", [(first, PASSAGE) for first in anchors])):
+                        if places:
+                            first = np.asarray([at for at, _ in places])
+                            last = first + [n - 1 for _, n in places]
+                            runs = [text.run(at, n) for at, n in places]
+                            found[kind].append((doc, text.starts[first], text.ends[last], runs))
+                for kind, texts in found.items():
+                    if not texts:
+                        continue
+                    runs = [run for t in texts for run in t[3]]
+                    docs = np.repeat(np.asarray([t[0] for t in texts], np.int64), [len(t[3]) for t in texts])
+                    columns = [pa.array([kind]).take(pa.array(np.zeros(len(runs), np.int32))), pa.array(docs)]
+                    columns += [pa.array(np.concatenate([t[k] for t in texts]).astype(np.int32)) for k in (1, 2)]
+                    columns += [_names([xxhash.xxh3_64_digest(run) for run in runs]), _names([xxhash.xxh64_digest(run) for run in runs])]
+                    if kind == "paragraph":
+                        minima = signer.minima(sets)
+                        columns += [_lists(signer.planes(minima)), _lists(signer.keys(minima))]
+                    else:
+                        columns += [pa.nulls(len(runs), pa.list_(pa.int64()))] * 2
+                    yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SPOT.split(", ")])
 
     return spots
 
@@ -116,9 +147,9 @@ def _paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for raw in byte_rows(batch.slice(at, SLICE).column("text")):
                 text = Text(bytes(raw))
                 for first, n in text.paragraphs():
-                    names.append(_signed(xxhash.xxh3_64_intdigest(text.run(first, n))))
-                    sets.append(np.unique(text.hashes[first : first + n - SHINGLE + 1]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+                    names.append(xxhash.xxh3_64_digest(text.run(first, n)))
+                    sets.append(text.set_of(first, n).view(np.int64))
+            yield pa.RecordBatch.from_arrays([_names(names), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
 
 def _first_of(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -228,6 +228,29 @@ def test_winnowing_meets_in_every_copy():
         assert runs[0] & runs[1]
 
 
+def test_words_shingles_and_anchors_are_those_of_the_plain_definitions():
+    import random
+
+    import xxhash
+
+    rng = random.Random(7)
+    made = ["", " \n ", "one", "a b " * 90, "w " * 50 + "\n\n" + "v " * 32, "É ü\x0bZ " * 60]
+    for words in (1, 2, 300):  # few words: many equal hashes among neighbours
+        for _ in range(40):
+            made.append("".join(f"W{rng.randrange(words)}" + rng.choice([" ", " ", " ", "  ", "\n", "\n\t\n"]) for _ in range(rng.randint(1, 200))))
+    for text in made:
+        t, words = passages.Text(text.encode()), ascii_words(text)
+        assert [t.raw[a:b].lower() for a, b in zip(t.starts, t.ends, strict=True)] == words
+        assert [t.run(k, 1) for k in range(len(words))] == words
+        hashes = [xxhash.xxh3_64_intdigest(b" ".join(words[k : k + 5])) for k in range(len(words) - 4)]
+        assert t.hashes.tolist() == hashes
+        h = hashes[: max(len(words) - 31, 0)]
+        runs = [range(k, k + 19) for k in range(len(h) - 18)] or [range(len(h))] * bool(h)
+        assert t.anchors().tolist() == sorted({min(r, key=lambda k: (h[k], k)) for r in runs})
+        for first, n in t.paragraphs():
+            assert t.set_of(first, n).tolist() == sorted(set(hashes[first : first + n - 4]))
+
+
 def dense_set(line):
     return {line[k : k + 5] for k in range(max(1, len(line) - 4))}
 
