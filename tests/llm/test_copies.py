@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertflow.llm import exact, lines, minhash, passages
-from alertflow.llm.common import components
+from alertflow.llm.common import CLEANUP, components, saved
 from alertflow.llm.near import Scheme
 
 from .conftest import ODD, frame
@@ -104,6 +104,17 @@ def test_components_of_paths_and_stars(spark):
     assert got == want
 
 
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    def shuffled():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for x in (found.apply(k).getName() for k in range(found.size())) if x.startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP)
+    written = saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    assert not shuffled() - before and spark.conf.get(CLEANUP) == setting
+    assert sorted(r["count"] for r in written.collect()) == [142] + [143] * 6
+
+
 def brute_exact(rows):
     groups = defaultdict(list)
     for i, t in rows:
