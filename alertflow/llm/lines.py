@@ -47,6 +47,13 @@ def shingle_at(characters: Column, start: Column, n: int = SHINGLE) -> Column:
     return F.substring(characters, start, F.lit(4 * n))
 
 
+def hashed(lines: DataFrame) -> DataFrame:
+    """``node`` and 64-bit ``h`` of every shingle of ``lines`` (``node``, ``line``), repeats included: a row each, compiled."""
+    rows = lines.withColumn("chars", characters(F.col("line")))
+    rows = rows.select("node", "chars", F.explode(starts(F.col("line"))).alias("start"))
+    return rows.select("node", F.xxhash64(shingle_at(F.col("chars"), F.col("start"))).alias("h"))
+
+
 def shingles_of(line: Column) -> Column:
     """Hashes of the shingles of a line, repeats included. The characters are bound to a name, so they are made once a line."""
     each = lambda chars: F.transform(starts(line), lambda at: F.xxhash64(shingle_at(chars, at)))
@@ -81,9 +88,8 @@ def signatures(lines: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
     Equal lines meet in the partial aggregate of each task, so a line that is everywhere is shuffled once per task.
     """
     k = scheme.k
-    rows = lines.withColumn("node", F.xxhash64("line")).withColumn("chars", characters(F.col("line")))
-    rows = rows.select("node", "chars", F.explode(starts(F.col("line"))).alias("start"))
-    rows = rows.select("node", F.hash(shingle_at(F.col("chars"), F.col("start")), F.lit(scheme.seed)).alias("h"))
+    rows = hashed(lines.withColumn("node", F.xxhash64("line")))
+    rows = rows.select("node", F.shiftright("h", 32).cast("int").alias("h"))
     rows = rows.withColumn("bin", F.col("h").bitwiseAND(F.lit(k - 1)))
     found = rows.groupBy("node").agg(*(F.expr(f"min(h) FILTER (WHERE bin = {i})").alias(f"m{i}") for i in range(k)))
     found = _apart(found).withColumn("least", F.least(*(F.col(f"m{i}") for i in range(k))))
@@ -132,7 +138,7 @@ def shared_enough(a: Column, b: Column, size_a: Column, size_b: Column, percent:
 
 def bitmaps(found: DataFrame) -> DataFrame:
     """``node`` and ``map``, the bitmap of its line's set, of ``found`` (``node``, ``line``)."""
-    each = found.select("node", F.explode(shingles_of(F.col("line"))).alias("h"))
+    each = hashed(found)
     word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MAP_WORDS - 1)), F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
     each = each.select("node", word.alias("word"), bit.alias("bit"))
     words = [F.coalesce(F.expr(f"bit_or(bit) FILTER (WHERE word = {w})"), F.lit(0).cast("long")) for w in range(MAP_WORDS)]
@@ -160,18 +166,26 @@ def line_components(items: DataFrame, names: DataFrame, lines_of: Callable[[Data
     ``lines_of`` gives ``node``, ``line`` and ``size`` (of its set) of the nodes in a one-column table. Buckets hold names
     and packed bits only; a line is fetched when a pair it is in has passed the estimate.
 
-    1. Every member of a bucket is compared with its leader, the member that occurs most often (of equals the smallest).
+    1. Every member of a bucket is compared with its leader, the member that occurs most often.
     2. In buckets of several components, members outside the bucket's main component are compared with those of other
        components. Two semi-joins on the bits keep the rows that have a partner at all, on either side; only these get
        their line and its bitmap. What the bitmaps leave is compared exactly, as part of the join's condition, so only
        links become rows, each in the first band it shares.
+
+    The sides hashed in joins have one row per name or bucket, so a bucket of many members is never on them.
     """
     banded = items.select("node", F.explode("keys").alias("key"))
     counts = banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    members = banded.join(counts, "key").join(items.select("node", "planes"), "node").join(names, "node")
+    members = banded.join(_hashed_side(counts), "key")
+    members = members.join(_hashed_side(items.select("node", "planes")), "node").join(_hashed_side(names), "node")
     members = saved(members.select("key", "node", "n", "copies", "planes"), "members")
-    best = F.max_by(F.struct("node", "planes"), F.struct("copies", -F.col("node"))).alias("leader")
-    members = saved(members.drop("copies").join(members.groupBy("key").agg(best), "key"), "buckets")
+    # one number to order by, so that the aggregate needs no sort; any member may lead, so counts beyond 2^20 are as good
+    order = F.shiftleft(F.least("copies", F.lit(1 << 20)), 42).bitwiseOR(F.shiftrightunsigned("node", 22))
+    words = [f"w{w}" for w in range(-(-scheme.k * scheme.bits // 64))]
+    best = members.select("key", "node", order.alias("order"), *(F.col("planes")[w].alias(x) for w, x in enumerate(words)))
+    best = best.groupBy("key").agg(*(F.max_by(c, "order").alias(c) for c in ("node", *words)))
+    best = best.select("key", F.struct("node", F.array(*words).alias("planes")).alias("leader"))
+    members = saved(members.drop("copies").join(_hashed_side(best), "key"), "buckets")
     other = F.col("leader.node")
     pairs = members.where((other != F.col("node")) & (unlike(F.col("planes"), F.col("leader.planes"), scheme) <= scheme.most_unlike))
     pairs = saved(pairs.select(F.least(other, "node").alias("a"), F.greatest(other, "node").alias("b")).distinct(), "pairs")
@@ -180,10 +194,10 @@ def line_components(items: DataFrame, names: DataFrame, lines_of: Callable[[Data
     links = both.where(shared_enough(F.col("line_a"), F.col("line_b"), F.col("size_a"), F.col("size_b"), scheme.percent))
     roots = saved(components(saved(links.select("a", "b"), "links")), "roots")
 
-    large = members.where(F.col("n") > 2).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = members.where(F.col("n") > 2).join(_hashed_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = large.groupBy("key", "root").agg(F.count("*").alias("members"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("roots"))
-    rest = large.join(main.where(F.col("roots") > 1), "key").where(F.col("node") != other)
+    rest = large.join(_hashed_side(main.where(F.col("roots") > 1)), "key").where(F.col("node") != other)
     rest = saved(rest.select("key", "node", "root", "main", "planes"), "open")
     p = rest.where(F.col("root") != F.col("main")).alias("p")
     p = saved(p.join(rest.alias("q"), _against("p", "q", scheme), "left_semi"), "open-outside")
@@ -208,8 +222,15 @@ def line_components(items: DataFrame, names: DataFrame, lines_of: Callable[[Data
     # the components found so far stand for their members
     low, high = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     joined = more.join(low, "a", "left").join(high, "b", "left")
-    joined = joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    return saved(components(joined.union(roots.select("root", "node"))), "roots")
+    joined = saved(components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "joined")
+    lowest = joined.select(F.col("node").alias("root"), F.col("root").alias("lowest"))
+    moved = roots.join(lowest, "root", "left").select("node", F.coalesce("lowest", "root").alias("root"))
+    return saved(moved.union(joined), "roots")
+
+
+def _hashed_side(df: DataFrame) -> DataFrame:
+    """The side of a join of which a task hashes its part, so that the longer side need not be sorted."""
+    return df.hint("shuffle_hash")
 
 
 def _against(a: str, b: str, scheme: Scheme) -> Column:
@@ -263,7 +284,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are ignored. An empty table gives an empty result.
     """
     places, groups = line_groups(docs, id_col, text_col, scheme)
-    rows = places.join(groups, ["node", "proof"], "left")
+    rows = places.join(_hashed_side(groups), ["node", "proof"], "left")
     rows = rows.withColumn("keep", F.coalesce("keep", F.struct("row", "line_no"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     return rows.select(
         F.col("row.id").alias("doc_id"),
