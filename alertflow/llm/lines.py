@@ -71,8 +71,8 @@ def named(lines: DataFrame) -> DataFrame:
     return lines.withColumn("node", F.xxhash64("line")).withColumn("proof", F.hash("line"))
 
 
-def signatures(lines: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
-    """``node``, ``planes`` and ``keys`` of every distinct line.
+def signatures(lines: DataFrame, names: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
+    """``node``, ``rank``, ``planes`` and ``keys`` of every distinct line that is in ``names`` (``node`` and ``copies``).
 
     One permutation: a shingle's hash names its bin and competes there only, which costs a comparison of bins and not a
     minimum for each function. A bin without a shingle borrows the minimum of another, by a fixed order of its own
@@ -86,12 +86,14 @@ def signatures(lines: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
     rows = rows.select("node", F.hash(shingle_at(F.col("chars"), F.col("start")), F.lit(scheme.seed)).alias("h"))
     rows = rows.withColumn("bin", F.col("h").bitwiseAND(F.lit(k - 1)))
     found = rows.groupBy("node").agg(*(F.expr(f"min(h) FILTER (WHERE bin = {i})").alias(f"m{i}") for i in range(k)))
+    # both sides lie by node, so the merged minima move no further
+    found = found.join(names.hint("shuffle_hash"), "node").withColumn("rank", most_first("copies", "node")).drop("copies")
     found = _apart(found).withColumn("least", F.least(*(F.col(f"m{i}") for i in range(k))))
     rng = random.Random(scheme.seed)
     for _ in range(2):
         others = [rng.sample([j for j in range(k) if j != i], min(BORROW, k - 1)) for i in range(k)]
-        found = _apart(found).select("node", "least", *(F.coalesce(*(F.col(f"m{j}") for j in (i, *others[i]))).alias(f"m{i}") for i in range(k)))
-    found = _apart(found).select("node", *(F.coalesce(f"m{i}", "least").alias(f"m{i}") for i in range(k)))
+        found = _apart(found).select("node", "rank", "least", *(F.coalesce(*(F.col(f"m{j}") for j in (i, *others[i]))).alias(f"m{i}") for i in range(k)))
+    found = _apart(found).select("node", "rank", *(F.coalesce(f"m{i}", "least").alias(f"m{i}") for i in range(k)))
     # the lowest bits name the bin, those above them are as good as random
     shift, per = k.bit_length() - 1, 64 // scheme.bits
     nibble = lambda i: F.shiftrightunsigned(f"m{i}", shift).bitwiseAND(F.lit((1 << scheme.bits) - 1)).cast("long")
@@ -105,7 +107,7 @@ def signatures(lines: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
     for b in range(scheme.bands):
         key = F.xxhash64(F.lit(b), *(f"m{i}" for i in band(b, scheme)))
         keys.append(key.bitwiseAND(F.lit(~255)).bitwiseOR(F.lit(b)))
-    return _apart(found).select("node", F.array(*planes).alias("planes"), F.array(*keys).alias("keys"))
+    return _apart(found).select("node", "rank", F.array(*planes).alias("planes"), F.array(*keys).alias("keys"))
 
 
 def _apart(df: DataFrame) -> DataFrame:
@@ -132,7 +134,9 @@ def shared_enough(a: Column, b: Column, size_a: Column, size_b: Column, percent:
 
 def bitmaps(found: DataFrame) -> DataFrame:
     """``node`` and ``map``, the bitmap of its line's set, of ``found`` (``node``, ``line``)."""
-    each = found.select("node", F.explode(shingles_of(F.col("line"))).alias("h"))
+    each = found.select("node", characters(F.col("line")).alias("chars"), starts(F.col("line")).alias("starts"))
+    each = each.select("node", "chars", F.explode("starts").alias("start"))
+    each = each.select("node", F.xxhash64(shingle_at(F.col("chars"), F.col("start"))).alias("h"))
     word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MAP_WORDS - 1)), F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
     each = each.select("node", word.alias("word"), bit.alias("bit"))
     words = [F.coalesce(F.expr(f"bit_or(bit) FILTER (WHERE word = {w})"), F.lit(0).cast("long")) for w in range(MAP_WORDS)]
@@ -153,12 +157,21 @@ def may_share_enough(a: Column, b: Column, size_a: Column, size_b: Column, perce
     return (100 + percent) * differ <= (100 - percent) * (size_a + size_b)
 
 
-def line_components(items: DataFrame, names: DataFrame, lines_of: Callable[[DataFrame], DataFrame], scheme: Scheme = SCHEME) -> DataFrame:
+def most_first(count: str, node: str) -> Column:
+    """One number by which the largest ``count`` is first, of equals the smallest node.
+
+    An aggregate by a number needs no sort, by a struct it does. Counts from 2^23 and nodes that agree in 40 bits are equal.
+    """
+    after = F.shiftrightunsigned(F.bitwise_not(F.col(node)).bitwiseXOR(F.lit(-(1 << 63))), 24)
+    return F.shiftleft(F.least(F.col(count), F.lit((1 << 23) - 1)), 40).bitwiseOR(after)
+
+
+def line_components(items: DataFrame, lines_of: Callable[[DataFrame], DataFrame], scheme: Scheme = SCHEME) -> DataFrame:
     """``node`` and ``root``, the smallest node linked with it, of all lines that have a link.
 
-    ``items`` is the written table of ``signatures``, ``names`` has ``node`` and ``copies`` of the lines to compare;
-    ``lines_of`` gives ``node``, ``line`` and ``size`` (of its set) of the nodes in a one-column table. Buckets hold names
-    and packed bits only; a line is fetched when a pair it is in has passed the estimate.
+    ``items`` is the written table of ``signatures``; ``lines_of`` gives ``node`` and ``line`` of the nodes in a
+    one-column table. Buckets hold names and packed bits only; a line is fetched when a pair it is in has passed the
+    estimate.
 
     1. Every member of a bucket is compared with its leader, the member that occurs most often (of equals the smallest).
     2. In buckets of several components, members outside the bucket's main component are compared with those of other
@@ -166,31 +179,42 @@ def line_components(items: DataFrame, names: DataFrame, lines_of: Callable[[Data
        their line and its bitmap. What the bitmaps leave is compared exactly, as part of the join's condition, so only
        links become rows, each in the first band it shares.
     """
-    banded = items.select("node", F.explode("keys").alias("key"))
-    counts = banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    members = banded.join(counts, "key").join(items.select("node", "planes"), "node").join(names, "node")
-    members = saved(members.select("key", "node", "n", "copies", "planes"), "members")
-    best = F.max_by(F.struct("node", "planes"), F.struct("copies", -F.col("node"))).alias("leader")
-    members = saved(members.drop("copies").join(members.groupBy("key").agg(best), "key"), "buckets")
+    words = range(-(-scheme.k * scheme.bits // 64))
+    bits = [F.col("planes")[w].alias(f"p{w}") for w in words]
+    # both uses of ``banded`` read one exchange, so they ask for the same columns
+    banded = items.select("node", "rank", *bits, F.explode("keys").alias("key")).where(F.col("key").isNotNull()).repartition("key")
+    best = [F.max_by(c, "rank").alias(f"best_{c}") for c in ("node", *(f"p{w}" for w in words))]
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), *best).where(F.col("n") > 1)
+    planes = F.array(*(f"p{w}" for w in words)).alias("planes")
+    leader = F.struct(F.col("best_node").alias("node"), F.array(*(f"best_p{w}" for w in words)).alias("planes"))
+    members = banded.join(buckets.hint("shuffle_hash"), "key")
+    members = saved(members.select("key", "node", "n", "rank", planes, leader.alias("leader")), "buckets")
     other = F.col("leader.node")
     pairs = members.where((other != F.col("node")) & (unlike(F.col("planes"), F.col("leader.planes"), scheme) <= scheme.most_unlike))
     pairs = saved(pairs.select(F.least(other, "node").alias("a"), F.greatest(other, "node").alias("b")).distinct(), "pairs")
     found = saved(lines_of(pairs.select("a").union(pairs.select("b")).distinct()), "found")
-    both = pairs.join(found.toDF("a", "line_a", "size_a"), "a").join(found.toDF("b", "line_b", "size_b"), "b")
-    links = both.where(shared_enough(F.col("line_a"), F.col("line_b"), F.col("size_a"), F.col("size_b"), scheme.percent))
-    roots = saved(components(saved(links.select("a", "b"), "links")), "roots")
-
-    large = members.where(F.col("n") > 2).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = large.groupBy("key", "root").agg(F.count("*").alias("members"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("roots"))
-    rest = large.join(main.where(F.col("roots") > 1), "key").where(F.col("node") != other)
+    both = pairs.join(found.toDF("a", "line_a"), "a").join(found.toDF("b", "line_b"), "b")
+    set_a, set_b = shingles_of(F.col("line_a")), shingles_of(F.col("line_b"))
+    # written before they are compared: a filter would be moved to where the sets are made, and make them again
+    shared, any_ = F.size(F.array_intersect(set_a, set_b)).alias("shared"), F.size(F.array_union(set_a, set_b)).alias("any")
+    links = saved(both.select("a", "b", shared, any_), "measured").where(100 * F.col("shared") >= scheme.percent * F.col("any"))
+    roots = saved(components(links.select("a", "b")), "roots")
+
+    large = members.where(F.col("n") > 2).select("key", "node", "planes", other.alias("other"))
+    large = large.join(roots.hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = large.groupBy("key", "root").agg(F.count("*").alias("members")).withColumn("rank", most_first("members", "root"))
+    main = sizes.groupBy("key").agg(F.max_by("root", "rank").alias("main"), F.count("*").alias("roots"))
+    rest = large.join(main.where(F.col("roots") > 1).hint("shuffle_hash"), "key").where(F.col("node") != F.col("other"))
     rest = saved(rest.select("key", "node", "root", "main", "planes"), "open")
     p = rest.where(F.col("root") != F.col("main")).alias("p")
     p = saved(p.join(rest.alias("q"), _against("p", "q", scheme), "left_semi"), "open-outside")
     q = saved(rest.alias("q").join(p.alias("p"), _against("q", "p", scheme), "left_semi"), "open-any")
     # a row outside whose partners are all in main components is no partner of another row outside: both sides are read
     found = saved(lines_of(p.select("node").union(q.select("node")).distinct()), "found")
-    found = saved(found.join(bitmaps(found), "node").join(items.select("node", "keys"), "node"), "mapped")
+    # a line is much smaller than its set, which is made where it is compared
+    found = found.withColumn("size", F.size(F.array_distinct(shingles_of(F.col("line")))))
+    keys = pick(items.select("node", "keys"), found.select("node"), "node")
+    found = saved(found.join(bitmaps(found), "node").join(keys, "node"), "mapped")
     p, q = p.join(found, "node").alias("p"), q.join(found, "node").alias("q")
     number = F.col("p.key").bitwiseAND(F.lit(255)).cast("int")
     seen = F.exists(
@@ -230,22 +254,20 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = saved(named(exploded(texts)).drop("line"), "lines")
     firsts = places.groupBy("node", "proof").agg(F.min(F.struct("row", "line_no")).alias("first"), F.count("*").alias("copies"))
     firsts = saved(firsts, "distinct-lines")
-    items = saved(signatures(exploded(texts), scheme), "line-signatures")
     names = firsts.groupBy("node").agg(F.sum("copies").alias("copies"), F.count("*").alias("proofs"))
     names = names.where(F.col("proofs") == 1).drop("proofs")
+    items = saved(signatures(exploded(texts), names, scheme), "line-signatures")
 
     def lines_of(nodes: DataFrame) -> DataFrame:
         nodes = saved(nodes.toDF("node"), "nodes")
         holders = pick(firsts, nodes, "node").select("first.row")
-        some = pick(named(exploded(pick(texts, holders, "row"))), nodes, "node").groupBy("node").agg(F.min("line").alias("line"))
-        # a line is much smaller than its set, which is made where it is compared
-        return some.withColumn("size", F.size(F.array_distinct(shingles_of(F.col("line")))))
+        return pick(named(exploded(pick(texts, holders, "row"))), nodes, "node").groupBy("node").agg(F.min("line").alias("line"))
 
-    roots = line_components(items, names, lines_of, scheme)
+    roots = line_components(items, lines_of, scheme)
     roots = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
     # lines without a link are grouped with their exact copies; ``proof`` keeps apart those whose names clash
     lone = F.when(F.col("root").isNull(), F.col("proof"))
-    nodes = firsts.join(roots, "node", "left").where((F.col("copies") > 1) | F.col("root").isNotNull())
+    nodes = firsts.join(roots.hint("shuffle_hash"), "node", "left").where((F.col("copies") > 1) | F.col("root").isNotNull())
     nodes = saved(nodes.withColumn("lone", lone).withColumn("root", F.coalesce("root", "node")), "grouped")
     groups = nodes.groupBy("root", "lone").agg(F.min("first").alias("keep"), F.sum("copies").alias("group_size"))
     groups = groups.select(F.col("root").alias("g"), F.col("lone").alias("l"), "keep", "group_size")

@@ -326,6 +326,31 @@ def test_bitmaps_reject_no_link(spark):
     assert len(links) > 10 and links <= kept and len(kept) < 2 * len(links) + 20
 
 
+def test_one_number_orders_by_count_then_node(spark):
+    """The leader of a bucket is found without a sort; negative names and very large counts have their place."""
+    import random
+
+    rng = random.Random(5)
+    nodes = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(200)] + [-(1 << 63), (1 << 63) - 1, 0, -1 << 40, 1 << 40]
+    made = [(n, rng.choice([1, 1, 1, 2, 3, 900, (1 << 23) - 1])) for n in nodes] + [(7 << 50, 1 << 23), (8 << 50, 1 << 40)]
+    rows = spark.createDataFrame(made, "node long, copies long").withColumn("rank", lines.most_first("copies", "node"))
+    got = [r.node for r in rows.orderBy(F.desc("rank")).collect()]
+    assert got == [n for n, c in sorted(made, key=lambda x: (-min(x[1], (1 << 23) - 1), x[0]))]
+    best = rows.groupBy().agg(F.max_by("node", "rank").alias("node"))
+    assert best.first().node == got[0]
+    plan = rows.groupBy("copies").agg(F.max_by("node", "rank"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_signatures_of_the_lines_to_compare(spark):
+    """One row per distinct line among the names, with its rank; the others have none."""
+    rows = spark.createDataFrame([("some line of text",), ("some line of text",), ("another",), ("left out",)], "line string")
+    names = rows.where("line != 'left out'").groupBy(F.xxhash64("line").alias("node")).agg(F.count("*").alias("copies"))
+    got = lines.signatures(rows, names).orderBy(F.desc("rank")).collect()
+    want = {r.node: r.copies for r in names.collect()}
+    assert [want[r.node] for r in got] == [2, 1] and all(len(r["keys"]) == lines.SCHEME.bands for r in got)
+
+
 def test_recall_of_line_links(spark, small):
     """Of all pairs of different lines at 0.8 or more, by brute force, at least 99 % end in one group."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
