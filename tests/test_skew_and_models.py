@@ -158,6 +158,40 @@ def test_neighbour_blocks_are_bounded(spark):
     assert len(seen) == 15 * 15 and max(max(s) for s in seen) < 300 and sum(a * b for a, b in seen) == 3000 * 3000
 
 
+@pytest.mark.parametrize("task_rows,block", [(40, 16), (150, 2048)])
+def test_neighbours_in_other_cells(spark, task_rows, block):
+    """Many cells, one of them cut into blocks, single precision at odd scales, rows with gaps, and ids that come twice."""
+    rng = np.random.default_rng(8)
+    y = np.vstack([rng.normal(0, 1, (400, 3)), rng.normal(0, 1e-9, (80, 3)) + 1e6, np.zeros((300, 3)), rng.normal(0, 1, (60, 3)) * 1e18])
+    names = [f"r{i:04d}" for i in range(len(y))]
+    rows = [(n, list(map(float, v))) for n, v in zip(names, y, strict=True)]
+    kind = "id string, features array<double>"
+    refs = spark.createDataFrame([*rows, ("gap", [1.0, None, 2.0]), ("none", None)], kind).repartition(3)
+    found = neighbours.knn_join(refs, refs, 6, block=block, task_rows=task_rows).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.id, r["rank"])):
+        got.setdefault(r.id, []).append((r.other, r.d))
+    want = brute_near(y, names, y, names, 6)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert [o for o, _ in got[i]] == [o for o, _ in want[i]]
+        np.testing.assert_allclose([d for _, d in got[i]], [d for _, d in want[i]], rtol=1e-12)
+    twice = spark.createDataFrame([*rows[:50], (names[0], rows[300][1])], kind)
+    found = neighbours.knn_join(twice, refs.limit(500).filter("features is not null"), 6, block=block, task_rows=task_rows)
+    assert found.filter(F.col("id") == names[0]).count() == 6 and found.count() == 300
+
+
+def test_evenly_spread_rows_are_not_copied_to_every_small_cell(spark, monkeypatch):
+    """Where distances exclude nothing, the copies of a row are bounded by what a task holds, not by small cells."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (1200, 24))
+    rows = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "features": [list(map(float, r)) for r in x]}), "id bigint, features array<double>")
+    routed, copies = neighbours._routed, []
+    monkeypatch.setattr(neighbours, "_routed", lambda *a: copies.append(routed(*a)) or copies[-1])
+    assert neighbours.knn_join(rows, rows, 3, cell_rows=10, block=32).count() == 3 * len(x)
+    assert sum(c.count() for c in copies) < 30 * len(x)
+
+
 def test_lof_equals_numpy(spark):
     df, x = vectors(spark)
     k = 20
