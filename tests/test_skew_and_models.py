@@ -192,6 +192,45 @@ def test_evenly_spread_rows_are_not_copied_to_every_small_cell(spark, monkeypatc
     assert sum(c.count() for c in copies) < 30 * len(x)
 
 
+def test_search_meets_few_rows_of_other_groups(monkeypatch):
+    """Rows that lie in groups, some of them equal, meet a small part of all pairs and find what all pairs find."""
+    rng = np.random.default_rng(10)
+    y = np.hstack([rng.integers(0, 12, (6000, 1)) * 4.0, rng.integers(0, 7, (6000, 1)) * 4.0, rng.normal(0, 0.3, (6000, 3))])
+    y[:500] = y[0]
+    met, hits = [], neighbours.Search._hits
+    count = lambda left, right, rows, columns, *a: met.append(len(rows) * right[:, columns].shape[1]) or hits(left, right, rows, columns, *a)
+    monkeypatch.setattr(neighbours.Search, "_hits", staticmethod(count))
+    q, r, d = neighbours.Search(y, 256, 21).nearest(y, 21, np.full(len(y), np.inf))
+    assert sum(met) < 0.25 * len(y) ** 2 and (np.bincount(q) == 21).all()
+    for i in (0, 499, *range(500, 6000, 97)):
+        far = np.sqrt(((y[i] - y) ** 2).sum(1))
+        want = np.lexsort((np.arange(len(y)), far))[:21]
+        assert r[q == i].tolist() == want.tolist() and d[q == i].tolist() == far[want].tolist()
+
+
+def test_lof_joins_numbers_and_keeps_rows_of_one_id_together(spark):
+    """Rows have places in the order of their ids: one for all rows of an id, none for a null id."""
+    rows = [("b", [1.0]), ("a", [2.0]), (None, [3.0]), ("b", [4.0]), ("c", [5.0])]
+    got = novelty.placed(spark.createDataFrame(rows, "id string, features array<double>").repartition(3)).collect()
+    place = {r.id: r.place for r in got}
+    assert place[None] is None and place["a"] < place["b"] < place["c"]
+    assert len({r.place for r in got if r.id == "b"}) == 1 and len({r["at"] for r in got}) == 5
+
+
+def test_forest_scores_follow_each_tree(spark):
+    df, x = vectors(spark)
+    forest = novelty.Forest.load(novelty.fit_isolation_forest(df, trees=7))
+    x = np.vstack([x, np.full((1, x.shape[1]), np.nan)])
+
+    def length(t, row, at=0):
+        while t["feature"][at] >= 0:
+            at = t["low"][at] if row[t["feature"][at]] <= t["cut"][at] else t["high"][at]
+        return t["depth"][at] + float(novelty.path_norm(t["size"][at]))
+
+    mean = np.array([np.mean([length(t, row) for t in forest.trees]) for row in x])
+    np.testing.assert_allclose(forest.raw(x), -np.exp2(-mean / float(novelty.path_norm(forest.sample))), rtol=1e-12)
+
+
 def test_lof_equals_numpy(spark):
     df, x = vectors(spark)
     k = 20
