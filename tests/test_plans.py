@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from alertflow.operators import alerts, dashboards, incident_queries, outbox, scoring
+from alertflow.operators import alerts, dashboards, features, incident_queries, outbox, scoring
 from alertflow.plans import tables
 from alertflow.sources import intake
 
@@ -45,6 +45,27 @@ def test_top_k_is_cut_before_the_shuffle(spark, stored):
     assert plan(dashboards.newest_per_service(table)).count("WindowGroupLimit") == 2
 
 
+def test_terms_are_counted_in_their_row_and_dealt_by_id_without_text(spark, monkeypatch):
+    """One row a distinct term is joined, by hash where the vocabulary is large; rows dealt by id carry no term."""
+    docs = [(1, "tea tea tea milk"), (2, "tea milk milk"), (3, ""), (4, None), (4, "milk sugar"), (None, "tea sugar"), (None, "tea")]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    terms = sorted(tuple(r) for r in features.counted_terms(table.filter("doc_id < 3"), "text").collect())
+    assert terms == [
+        (1, "milk", 1), (1, "tea", 3), (1, "tea milk", 1), (1, "tea tea", 2),
+        (2, "milk", 2), (2, "milk milk", 1), (2, "tea", 1), (2, "tea milk", 1),
+    ]
+    monkeypatch.setattr(features, "LOOKED_UP", 1)
+    vocabulary = features.fit_vocabulary(table, "doc_id", "text", max_df=1.0)
+    assert sorted((r.term, r.idx, r.df) for r in vocabulary.collect()) == [("milk", 0, 3), ("sugar", 1, 2), ("tea", 2, 4), ("tea milk", 3, 2)]
+    got = features.tfidf(table, vocabulary, "doc_id", "text")
+    assert got.groupBy("doc_id", "term").count().filter("count > 1").isEmpty()  # rows of one id are one text
+    assert got.filter("doc_id is null").count() == 2 and got.filter("doc_id = 4").count() == 2
+    once = features.tfidf(table.filter("doc_id < 3"), vocabulary, "doc_id", "text").groupBy("doc_id").agg(F.sum("weight"))
+    p = plan(once)
+    assert "ShuffledHashJoin" in p and "SortMergeJoin" not in p
+    assert not re.search(r"hashpartitioning\(doc_id[^\n]*\n[^\n]*term#", p) and len(re.findall(r"hashpartitioning\(doc_id", p)) == 1
+
+
 def test_json_is_parsed_once(spark):
     raw = spark.createDataFrame([("{}",)], "value string")
     good, _ = intake.split_malformed(intake.ingest_logs(raw))
