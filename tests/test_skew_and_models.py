@@ -192,6 +192,18 @@ def test_evenly_spread_rows_are_not_copied_to_every_small_cell(spark, monkeypatc
     assert sum(c.count() for c in copies) < 30 * len(x)
 
 
+def test_lof_of_evenly_spread_rows_copies_a_row_a_few_times(spark, monkeypatch):
+    """Rows of several cells' size where nothing is excluded: a bounded number of copies, and all rows are scored."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (2600, 16))
+    rows = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "features": [list(map(float, r)) for r in x]}), "id bigint, features array<double>")
+    routed, copies = neighbours._routed, []
+    monkeypatch.setattr(neighbours, "_routed", lambda *a: copies.append(routed(*a)) or copies[-1])
+    _, scored = novelty.lof_of_all(rows)
+    assert scored.filter("raw < 0").count() == len(x)
+    assert sum(c.count() for c in copies) <= 5 * len(x)
+
+
 def test_search_meets_few_rows_of_other_groups(monkeypatch):
     """Rows that lie in groups, some of them equal, meet a small part of all pairs and find what all pairs find."""
     rng = np.random.default_rng(10)
